@@ -42,6 +42,8 @@ GROUP, RARE = 48, 48
 #: One in so many large groups links its members to one of them.
 STARS = 8
 SEEN = 200_000
+#: Cells of a sketch; at most so many sketches are broadcast.
+SKETCH, BROADCAST_SKETCHES = 128, 100_000
 
 
 def shingle_set(words: np.ndarray, n: int = SHINGLE) -> np.ndarray:
@@ -201,16 +203,32 @@ def grouped_pairs(rows: DataFrame, group: int, stars: int) -> DataFrame:
     return stored(found.select(F.when(F.col("large"), F.col("a")).otherwise(F.greatest("a", "b")).alias("a"), F.when(F.col("large"), F.col("b")).otherwise(F.least("a", "b")).alias("b"), "large").distinct(), "pairs")
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """Shingles counted in SKETCH cells, up to 255. The cells' differences add up to no more than the sets' distance."""
+    return np.minimum(np.bincount((mix(s ^ np.uint64(0x165667B19E3779F9)) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH), 255).astype(np.uint8)
+
+
 def checked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of pairs (a, b) of classes whose sets are similar, as (a, b) of nodes."""
-    left = sets.select(F.col("c1").alias("a"), F.col("node").alias("na"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("c1").alias("b"), F.col("node").alias("nb"), F.col("shingles").alias("sb"))
+    """Those of pairs (a, b) of classes whose sets are similar, as (a, b) of nodes. Sizes and sketches rule out most pairs,
+    so few meet whole sets."""
+
+    @F.pandas_udf("boolean")
+    def near(x: pd.Series, y: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
+        a, b = (np.frombuffer(b"".join(v), dtype=np.uint8).reshape(-1, SKETCH).astype(np.int16) for v in (x, y))
+        apart = np.abs(a - b).sum(axis=1, dtype=np.int64)
+        return pd.Series(apart * (100 + percent) <= (n + m).to_numpy() * (100 - percent))
 
     @F.pandas_udf("boolean")
     def same(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([similar(np.frombuffer(p, dtype="<u8"), np.frombuffer(q, dtype="<u8"), percent) for p, q in zip(x, y, strict=True)], dtype=bool)
 
-    return pairs.join(left, "a").join(right, "b").filter(F.col("na") != F.col("nb")).filter(same("sa", "sb")).select(F.col("na").alias("a"), F.col("nb").alias("b"))
+    slim = small(sets.select("c1", "node", "n", "sketch"), BROADCAST_SKETCHES)
+    left = slim.select(F.col("c1").alias("a"), F.col("node").alias("na"), F.col("n").alias("za"), F.col("sketch").alias("ka"))
+    right = slim.select(F.col("c1").alias("b"), F.col("node").alias("nb"), F.col("n").alias("zb"), F.col("sketch").alias("kb"))
+    both = pairs.join(left, "a").join(right, "b").filter(F.col("na") != F.col("nb")).filter(F.least("za", "zb") * 100 >= F.greatest("za", "zb") * percent)
+    close = stored(both.filter(near("ka", "kb", "za", "zb")).select("a", "b", "na", "nb"), "close")
+    whole = close.join(sets.select(F.col("c1").alias("a"), F.col("node").alias("na"), F.col("shingles").alias("sa")), ["a", "na"]).join(sets.select(F.col("c1").alias("b"), F.col("node").alias("nb"), F.col("shingles").alias("sb")), ["b", "nb"])
+    return whole.filter(same("sa", "sb")).select(F.col("na").alias("a"), F.col("nb").alias("b"))
 
 
 def second_pass(sets: DataFrame, large: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -239,7 +257,7 @@ def second_pass(sets: DataFrame, large: DataFrame, percent: int) -> tuple[DataFr
             out = rows_of(sigs, classes)
             yield pd.concat([out.assign(sparse=False), pd.DataFrame({"sig": 0, "cls": np.array(rest, dtype=np.int64), "sparse": True})])
 
-    made = stored(member.select("c1", F.expr("octet_length(shingles) div 8").cast("long").alias("n")).join(kept, "c1", "left").mapInPandas(run, "sig long, cls long, sparse boolean"), "rare")
+    made = stored(member.select("c1", "n").join(kept, "c1", "left").mapInPandas(run, "sig long, cls long, sparse boolean"), "rare")
     pairs = grouped_pairs(made.filter("not sparse").select("sig", "cls"), RARE, STARS).filter("not large").select("a", "b")
     return pairs, made.filter("sparse").select("cls")
 
@@ -258,12 +276,12 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
             rows = []
             for node, c1, c2, s in zip(b["node"], b["c1"], b["c2"], sets_of(b["text"]), strict=True):
                 if digest(s) == (c1, c2):  # rows of one id may have several texts
-                    rows.append((node, c1, c2, s.astype("<u8").tobytes()))
-            yield pd.DataFrame(rows, columns=["node", "c1", "c2", "shingles"])
+                    rows.append((node, c1, c2, len(s), sketch(s).tobytes(), s.astype("<u8").tobytes()))
+            yield pd.DataFrame(rows, columns=["node", "c1", "c2", "n", "sketch", "shingles"])
 
     kind = df.schema[id_col].dataType.simpleString()
     texts = df.select(F.col(id_col).alias("node"), F.col(text_col).alias("text")).join(small(chosen), "node")
-    sets = stored(texts.mapInPandas(load, f"node {kind}, c1 long, c2 long, shingles binary").dropDuplicates(["node", "c1", "c2"]), "sets")
+    sets = stored(texts.mapInPandas(load, f"node {kind}, c1 long, c2 long, n long, sketch binary, shingles binary").dropDuplicates(["node", "c1", "c2"]), "sets")
     links = stored(checked(pairs, sets, percent), "links")
     if not large.isEmpty():
         more, sparse = second_pass(sets, large, percent)
