@@ -13,8 +13,9 @@ Equal sets are one class, named by a 128-bit digest, and only classes are joined
 sort and are read as a stream. Groups of up to `GROUP` classes give all their pairs. For larger ones:
   1. some groups link all members to one of them, which connects copies that resemble each other (a line of pairs);
   2. classes in such groups are joined once more on rare shingles only: leaving shingles out never adds to the distance,
-     a shingle that few classes share keeps groups small, and with 3k parts few sets are sparse;
-  3. what is left, pairs of classes that are sparse there and still in different components, is compared in full.
+     and a shingle that few classes share keeps groups small; sets that are sparse there meet at every rare shingle;
+  3. what is left shares no rare shingle, so both sets together have at most as many as the distance of a linked pair:
+     such pairs of classes that are still in different components are compared in full.
 Every candidate is checked exactly on the sets, and links become components by star contraction.
 
 Edge cases: null texts and texts without words have empty sets and link with nothing; fewer than 5 words are one shingle;
@@ -38,7 +39,7 @@ from .hashing import mix, ranges, windows, word_hashes, RUN
 
 SHINGLE, PERCENT = 5, 80
 #: Groups of more classes are large; a shingle of more of the large groups' classes is common.
-GROUP, RARE = 48, 48
+GROUP, RARE = 16, 16
 #: One in so many large groups links its members to one of them.
 STARS = 8
 SEEN = 200_000
@@ -93,8 +94,7 @@ def signatures(s: np.ndarray, percent: int = PERCENT, spread: float = 0.0, size:
             out.append(mix(sums ^ mix((p[starts] * 4096 + band).astype(np.uint64))))
         if len(starts) <= k:
             sparse = True
-            if not spread:
-                out.append(mix(s ^ np.uint64(0x27D4EB2F165667C5 + 13 * band)))
+            out.append(mix(s ^ np.uint64(0x27D4EB2F165667C5 + 13 * band)))
     return (np.concatenate(out) if out else np.empty(0, dtype=np.uint64)), sparse
 
 
@@ -232,7 +232,8 @@ def checked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def second_pass(sets: DataFrame, large: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs from rare shingles of the classes in large groups, and (cls) of those that are sparse there."""
+    """Pairs from rare shingles of the classes in large groups, and (a, m, n) of classes a that may link without sharing
+    one: those with so few rare shingles (m of n) that they are within the distance of a pair."""
     member = stored(sets.join(large.select(F.col("a").alias("c1")).distinct(), "c1", "left_semi"), "large")
 
     def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -246,20 +247,23 @@ def second_pass(sets: DataFrame, large: DataFrame, percent: int) -> tuple[DataFr
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            sigs, classes, rest = [], [], []
+            sigs, classes, rest, sizes, left = [], [], [], [], []
             for c, n, x in zip(b["c1"].tolist(), b["n"].tolist(), b["rare"], strict=True):
                 some = np.unique(np.asarray(x if x is not None else [], dtype=np.int64).view(np.uint64))
                 made, sparse = signatures(some, percent, spread=3.0, size=n)
                 sigs.append(made)
                 classes.append(c)
-                if sparse:
+                if sparse and len(some) * (100 + percent) <= (n + n * 100 // percent) * (100 - percent):
                     rest.append(c)
+                    sizes.append(n)
+                    left.append(len(some))
             out = rows_of(sigs, classes)
-            yield pd.concat([out.assign(sparse=False), pd.DataFrame({"sig": 0, "cls": np.array(rest, dtype=np.int64), "sparse": True})])
+            few = pd.DataFrame({"sig": np.array(left, dtype=np.int64), "cls": np.array(rest, dtype=np.int64), "n": np.array(sizes, dtype=np.int64)})
+            yield pd.concat([out.assign(n=-1), few])
 
-    made = stored(member.select("c1", "n").join(kept, "c1", "left").mapInPandas(run, "sig long, cls long, sparse boolean"), "rare")
-    pairs = grouped_pairs(made.filter("not sparse").select("sig", "cls"), RARE, STARS).filter("not large").select("a", "b")
-    return pairs, made.filter("sparse").select("cls")
+    made = stored(member.select("c1", "n").join(kept, "c1", "left").mapInPandas(run, "sig long, cls long, n long"), "rare")
+    pairs = grouped_pairs(made.filter("n < 0").select("sig", "cls"), RARE, STARS).filter("not large").select("a", "b")
+    return pairs, made.filter("n >= 0").select(F.col("cls").alias("a"), F.col("sig").alias("m"), "n")
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -281,26 +285,29 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     kind = df.schema[id_col].dataType.simpleString()
     texts = df.select(F.col(id_col).alias("node"), F.col(text_col).alias("text")).join(small(chosen), "node")
-    sets = stored(texts.mapInPandas(load, f"node {kind}, c1 long, c2 long, n long, sketch binary, shingles binary").dropDuplicates(["node", "c1", "c2"]), "sets")
+    sets = stored(texts.mapInPandas(load, f"node {kind}, c1 long, c2 long, n long, sketch binary, shingles binary"), "sets")  # equal rows only repeat links
     links = stored(checked(pairs, sets, percent), "links")
     if not large.isEmpty():
-        more, sparse = second_pass(sets, large, percent)
+        more, few = second_pass(sets, large, percent)
         links = stored(links.unionByName(checked(more, sets, percent)), "links")
-        links = links.unionByName(checked(leftover(large, sparse, sets, components(links)), sets, percent))
+        links = links.unionByName(checked(leftover(large, few, sets, components(links), percent), sets, percent))
     named = components(links).withColumnRenamed("component", "label")
     labels = nodes.join(named, "node", "left").select("c1", "c2", F.coalesce("label", "node").alias("component_id"))
     out = member.join(labels, ["c1", "c2"], "left")
     return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc")).alias("component_id"))
 
 
-def leftover(large: DataFrame, sparse: DataFrame, sets: DataFrame, comps: DataFrame) -> DataFrame:
-    """Pairs of sparse classes that share a large group and are in different components."""
-    nodes = sets.select(F.col("c1").alias("a"), "node").join(sparse.withColumnRenamed("cls", "a"), "a", "left_semi")
-    placed = large.join(nodes, "a").join(comps, "node", "left").select("b", "a", F.coalesce("component", "node").alias("comp"))
+def leftover(large: DataFrame, few: DataFrame, sets: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
+    """Pairs of classes that share a large group, are in different components, and have so few rare shingles together that
+    they could link without sharing one."""
+    nodes = sets.select(F.col("c1").alias("a"), "node").join(few, "a")
+    placed = large.join(nodes, "a").join(comps, "node", "left").select("b", "a", "m", "n", F.coalesce("component", "node").alias("comp"))
     mixed = placed.groupBy("b").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("b")
     rest = stored(placed.join(mixed, "b").distinct(), "rest")
-    other = rest.select("b", F.col("a").alias("a2"), F.col("comp").alias("comp2"))
-    return rest.join(other, "b").filter("comp < comp2").select(F.greatest("a", "a2").alias("a"), F.least("a", "a2").alias("b")).distinct()
+    other = rest.select("b", *(F.col(c).alias(f"{c}2") for c in ("a", "m", "n", "comp")))
+    near = (F.col("m") + F.col("m2")) * (100 + percent) <= (F.col("n") + F.col("n2")) * (100 - percent)
+    found = rest.join(other, (rest["b"] == other["b"]) & (F.col("comp") < F.col("comp2")) & near)
+    return found.select(F.greatest("a", "a2").alias("a"), F.least("a", "a2").alias("b")).distinct()
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
