@@ -97,7 +97,7 @@ def match_labels_interleaved(truth: DataFrame, predicted: DataFrame, keys: list[
 
 def last_wins(truth: DataFrame, predicted: DataFrame, keys: list[str]) -> DataFrame:
     """Every truth gets the last prediction of its key, else Other."""
-    last = predicted.groupBy(*keys).agg(F.max_by("surface", "pos").alias("y_pred"))
+    last = predicted.groupBy(*keys).agg(F.max_by("surface", F.struct("pos", "surface")).alias("y_pred"))
     return truth.join(last, keys, "left").select(*keys, "pos", F.col("surface").alias("y_true"), F.coalesce("y_pred", F.lit("Other")).alias("y_pred"))
 
 

@@ -292,7 +292,7 @@ def _(spark, sf):
     return matching.match_labels_interleaved(*_labels(spark, sf), ["group_id"])
 
 
-@query("jn9_last_wins", """~l AS (SELECT group_id, arg_max(y_pred_a, sample_id) AS y_pred FROM v_label_pairs WHERE sample_id % 3 <> 0 GROUP BY ALL)
+@query("jn9_last_wins", """~l AS (SELECT group_id, y_pred_a AS y_pred FROM v_label_pairs WHERE sample_id % 3 <> 0 QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY sample_id DESC, y_pred_a DESC) = 1)
 SELECT v.group_id, sample_id AS pos, y_true, coalesce(y_pred, 'Other') AS y_pred FROM v_label_pairs v LEFT JOIN l USING (group_id)""", "v_label_pairs")
 def _(spark, sf):
     return matching.last_wins(*_labels(spark, sf), ["group_id"])
