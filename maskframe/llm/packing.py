@@ -45,27 +45,52 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.dtype, self.stems = Tokenizer.from_file(path), dtype, {}
+        self.final = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        self.final[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
 
     def encode(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
-    def stem(self, part: str) -> bytes:
-        found = self.stems.get(part)
-        if found is None:
-            if len(self.stems) >= CACHE:
-                self.stems.clear()
-            found = self.stems[part] = self.encode(part)
-        return found
-
-    def __missing__(self, word: str) -> bytes:
+    def learn(self, parts: set[str]) -> None:
+        """Adds stems. They are encoded in a row: a stem is one piece for the tokenizer, whose last id ends a word."""
+        some = list(parts)
+        for lo in range(0, len(some), 1000):
+            group = some[lo : lo + 1000]
+            ids = np.array(self.tokenizer.encode(" ".join(group), add_special_tokens=False).ids, dtype=self.dtype)
+            cuts = np.flatnonzero(self.final[ids]) + 1
+            if len(cuts) == len(group) and (not len(cuts) or cuts[-1] == len(ids)):
+                raw, width = ids.tobytes(), ids.itemsize
+                at = [0, *(cuts * width).tolist()]
+                self.stems.update((x, raw[i:j]) for x, i, j in zip(group, at, at[1:], strict=False))
+            else:
+                self.stems.update((x, self.encode(x)) for x in group)
+
+    def prepare(self, words: set[str]) -> None:
+        """Fills the caches for words in few calls of the tokenizer."""
         if len(self) >= CACHE:
             self.clear()
-        m = self.STEM.fullmatch(word) if max(word) < "ɐ" else None
-        found = (self.stem(m[1].lower()) + (self.stem(m[2]) if m[2] else b"")) if m else self.encode(word)
+        if len(self.stems) >= CACHE:
+            self.stems.clear()
+        found = {}
+        for w in words.difference(self):
+            m = self.STEM.fullmatch(w) if len(w) <= 40 and max(w) < "ɐ" else None
+            if m:
+                found[w] = (m[1].lower(), m[2])
+        self.learn({p for two in found.values() for p in two if p}.difference(self.stems))
+        for w, (core, tail) in found.items():
+            self[w] = self.stems[core] + (self.stems[tail] if tail else b"")
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.encode(word)
         if len(word) <= 40:
             self[word] = found
         return found
 
+    def texts(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
+        self.prepare(set().union(*(t.split() for t in texts)))
+        return [self.ids(t) for t in texts]
+
     def ids(self, text: str) -> bytes:
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # blanks for Python, not for the tokenizer
             return b"".join(map(self.__getitem__, re.findall(r"[^ \t\n\r]+", text)))
@@ -85,9 +110,9 @@ def tokenized(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_c
         code, part, before = coder(tokenizer_path, dtype), TaskContext.get().partitionId(), 0
         end, width = np.array([end_id], dtype=dtype).tobytes(), np.dtype(dtype).itemsize
         for b in batches:
-            for lo in range(0, len(b), 2000):
-                some = b.iloc[lo : lo + 2000]
-                ids = [code.ids(t or "") + end for t in some["text"]]
+            for lo in range(0, len(b), 1000):
+                some = b.iloc[lo : lo + 1000]
+                ids = [x + end for x in code.texts([t or "" for t in some["text"]])]
                 n = np.array([len(x) // width for x in ids], dtype=np.int64)
                 yield pd.DataFrame({"part": part, "before": before + np.cumsum(n) - n, "doc_id": some["doc_id"].array, "n": n, "ids": ids})
                 before += int(n.sum())

@@ -75,7 +75,7 @@ def test_word_ids_equal_whole_text(text):
     from tokenizers import Tokenizer
 
     path = str(packing.default_tokenizer())
-    assert np.frombuffer(packing.WordIds(path, "<u2").ids(text), "<u2").tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(packing.WordIds(path, "<u2").texts([text])[0], "<u2").tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
 
 
 def test_mixture_is_near_its_targets(spark, odd):
