@@ -39,7 +39,7 @@ class WordIds(dict):
     letters with marks behind it splits at that boundary too, which keeps the cache of stems small.
     """
 
-    STEM = re.compile(r"([^\W\d_]+)([^\w\s]*)")
+    STEM = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-/:-@\[-`{-~]*)")
 
     def __init__(self, path: str, dtype: str) -> None:
         from tokenizers import Tokenizer
@@ -71,14 +71,17 @@ class WordIds(dict):
             self.clear()
         if len(self.stems) >= CACHE:
             self.stems.clear()
-        found = {}
+        split, found = self.STEM.fullmatch, []
         for w in words.difference(self):
-            m = self.STEM.fullmatch(w) if len(w) <= 40 and max(w) < "ɐ" else None
+            m = split(w) if len(w) <= 40 else None
             if m:
-                found[w] = (m[1].lower(), m[2])
-        self.learn({p for two in found.values() for p in two if p}.difference(self.stems))
-        for w, (core, tail) in found.items():
-            self[w] = self.stems[core] + (self.stems[tail] if tail else b"")
+                core, tail = m.groups()
+                found.append((w, core.lower(), tail))
+        parts = {x for _, x, _ in found} | {x for _, _, x in found if x}
+        self.learn(parts.difference(self.stems))
+        stems = self.stems
+        stems[""] = b""
+        self.update((w, stems[core] + stems[tail]) for w, core, tail in found)
 
     def __missing__(self, word: str) -> bytes:
         found = self.encode(word)
