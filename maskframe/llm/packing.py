@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -25,7 +26,7 @@ from .common import stored, table
 
 LENGTH, END_ID = 2048, 1
 #: Entries of a worker's word caches; a full cache starts anew.
-CACHE = 300_000
+CACHE = 600_000
 #: A table of task totals of at most so many rows (16 bytes each) is broadcast.
 BROADCAST_TASKS = 2_000_000
 
@@ -40,6 +41,7 @@ class WordIds(dict):
     """
 
     STEM = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-/:-@\[-`{-~]*)")
+    SEPARATORS = re.compile(r"[\x1c-\x1f]")
 
     def __init__(self, path: str, dtype: str) -> None:
         from tokenizers import Tokenizer
@@ -56,7 +58,7 @@ class WordIds(dict):
         some = list(parts)
         for lo in range(0, len(some), 1000):
             group = some[lo : lo + 1000]
-            ids = np.array(self.tokenizer.encode(" ".join(group), add_special_tokens=False).ids, dtype=self.dtype)
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(group)], add_special_tokens=False)[0].ids, dtype=self.dtype)
             cuts = np.flatnonzero(self.final[ids]) + 1
             if len(cuts) == len(group) and (not len(cuts) or cuts[-1] == len(ids)):
                 raw, width = ids.tobytes(), ids.itemsize
@@ -91,13 +93,13 @@ class WordIds(dict):
 
     def texts(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
-        self.prepare(set().union(*(t.split() for t in texts)))
-        return [self.ids(t) for t in texts]
+        words = [self.split(t) for t in texts]
+        self.prepare(set(chain.from_iterable(words)))
+        return [b"".join(map(self.__getitem__, w)) for w in words]
 
-    def ids(self, text: str) -> bytes:
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # blanks for Python, not for the tokenizer
-            return b"".join(map(self.__getitem__, re.findall(r"[^ \t\n\r]+", text)))
-        return b"".join(map(self.__getitem__, text.split()))
+    def split(self, text: str) -> list[str]:
+        # \x1c to \x1f are blanks for Python, not for the tokenizer
+        return re.findall(r"[^ \t\n\r]+", text) if self.SEPARATORS.search(text) else text.split()
 
 
 def coder(path: str, dtype: str) -> WordIds:
