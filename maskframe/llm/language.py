@@ -172,6 +172,7 @@ class Predictor:
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         langs = self.tagger.languages
         words = [LETTERS.findall(t.lower()) if t else [] for t in texts]
+        words = [w if any(c.isalpha() for x in w for c in x) else [] for w in words]  # ½ and ² are no letters
         lengths = np.array([len(w) for w in words], dtype=np.int64)
         label, score = ["und"] * len(texts), [0.0] * len(texts)
         if not langs or not lengths.sum():

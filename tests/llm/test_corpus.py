@@ -111,6 +111,7 @@ def test_language_edges(spark, odd):
     p = language.predict(odd, t).toPandas()
     assert len(p) == 10 and (p[p["doc_id"].isin([1, 2, 3])]["lang_pred"] == "und").all()
     assert language.Predictor(t).predict(["le la des"])[0] == ["fr"]
+    assert language.Predictor(t).predict(["½ ² 12", "½ la"])[0] == ["und", "fr"]
 
 
 def plain(kind, text):
