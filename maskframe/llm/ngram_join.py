@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small, stored, table
+from .common import release, small, stored, table
 from .components import components
 from .hashing import mix, ranges, windows, word_hashes, RUN
 
@@ -111,17 +111,17 @@ def sets_of(batch: pd.Series, n: int = SHINGLE) -> Iterator[np.ndarray]:
 
 
 def membership(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, c1, c2, n): each document's class and set size."""
+    """(doc, c1, c2, n, sketch): each document's class, set size and sketch."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(*digest(s), len(s)) for s in sets_of(b["text"])]
-            out = pd.DataFrame(rows, columns=["c1", "c2", "n"])
+            rows = [(*digest(s), len(s), sketch(s).tobytes()) for s in sets_of(b["text"])]
+            out = pd.DataFrame(rows, columns=["c1", "c2", "n", "sketch"])
             out.insert(0, "doc", b["doc"].array)
             yield out
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).mapInPandas(run, f"doc {kind}, c1 long, c2 long, n long")
+    return df.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).mapInPandas(run, f"doc {kind}, c1 long, c2 long, n long, sketch binary")
 
 
 def signature_rows(df: DataFrame, text_col: str, percent: int) -> DataFrame:
@@ -208,9 +208,24 @@ def sketch(s: np.ndarray) -> np.ndarray:
     return np.minimum(np.bincount((mix(s ^ np.uint64(0x165667B19E3779F9)) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH), 255).astype(np.uint8)
 
 
-def checked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of pairs (a, b) of classes whose sets are similar, as (a, b) of nodes. Sizes and sketches rule out most pairs,
-    so few meet whole sets."""
+def sets_for(docs: DataFrame, need: DataFrame) -> DataFrame:
+    """(node, c1, n, shingles) of the classes in need (node, c1, c2), from docs (node, text)."""
+
+    def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for node, c1, c2, s in zip(b["node"], b["c1"], b["c2"], sets_of(b["text"]), strict=True):
+                if digest(s) == (c1, c2):  # rows of one id may have several texts
+                    rows.append((node, c1, len(s), s.astype("<u8").tobytes()))
+            yield pd.DataFrame(rows, columns=["node", "c1", "n", "shingles"])
+
+    kind = docs.schema["node"].dataType.simpleString()
+    return docs.join(small(need), "node").mapInPandas(load, f"node {kind}, c1 long, n long, shingles binary")
+
+
+def checked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Those of pairs (a, b) of classes whose sets are similar, as (a, b) of nodes. Sizes and sketches, which are small, rule
+    out most pairs; only sets of classes in a pair that is left are made again from their texts and shuffled."""
 
     @F.pandas_udf("boolean")
     def near(x: pd.Series, y: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
@@ -222,19 +237,26 @@ def checked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def same(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([similar(np.frombuffer(p, dtype="<u8"), np.frombuffer(q, dtype="<u8"), percent) for p, q in zip(x, y, strict=True)], dtype=bool)
 
-    slim = small(sets.select("c1", "node", "n", "sketch"), BROADCAST_SKETCHES)
-    left = slim.select(F.col("c1").alias("a"), F.col("node").alias("na"), F.col("n").alias("za"), F.col("sketch").alias("ka"))
-    right = slim.select(F.col("c1").alias("b"), F.col("node").alias("nb"), F.col("n").alias("zb"), F.col("sketch").alias("kb"))
-    both = pairs.join(left, "a").join(right, "b").filter(F.col("na") != F.col("nb")).filter(F.least("za", "zb") * 100 >= F.greatest("za", "zb") * percent)
-    close = stored(both.filter(near("ka", "kb", "za", "zb")).select("a", "b", "na", "nb"), "close")
-    whole = close.join(sets.select(F.col("c1").alias("a"), F.col("node").alias("na"), F.col("shingles").alias("sa")), ["a", "na"]).join(sets.select(F.col("c1").alias("b"), F.col("node").alias("nb"), F.col("shingles").alias("sb")), ["b", "nb"])
-    return whole.filter(same("sa", "sb")).select(F.col("na").alias("a"), F.col("nb").alias("b"))
+    slim = small(classes, BROADCAST_SKETCHES)
+
+    def side(name: str) -> DataFrame:
+        return slim.select(F.col("c1").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in ("node", "c2", "n", "sketch")))
 
+    both = pairs.join(side("a"), "a").join(side("b"), "b").filter("node_a <> node_b").filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+    close = stored(both.filter(near("sketch_a", "sketch_b", "n_a", "n_b")).select("a", "b", "node_a", "node_b", "c2_a", "c2_b"), "close")
+    ends = [close.select(F.col(f"node_{x}").alias("node"), F.col(x).alias("c1"), F.col(f"c2_{x}").alias("c2")) for x in "ab"]
+    sets = sets_for(docs, stored(ends[0].union(ends[1]).distinct(), "need"))
+    left, right = (sets.select(F.col("c1").alias(x), F.col("node").alias(f"node_{x}"), F.col("shingles").alias(f"set_{x}")) for x in "ab")
+    whole = close.select("a", "b", "node_a", "node_b").join(left, ["a", "node_a"]).join(right, ["b", "node_b"])
+    links = stored(whole.filter(same("set_a", "set_b")).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), "links")
+    return links
 
-def second_pass(sets: DataFrame, large: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+
+def second_pass(classes: DataFrame, docs: DataFrame, large: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Pairs from rare shingles of the classes in large groups, and (a, m, n) of classes a that may link without sharing
     one: those with so few rare shingles (m of n) that they are within the distance of a pair."""
-    member = stored(sets.join(large.select(F.col("a").alias("c1")).distinct(), "c1", "left_semi"), "large")
+    need = stored(classes.select("node", "c1", "c2").join(large.select(F.col("a").alias("c1")).distinct(), "c1", "left_semi"), "need")
+    member = stored(sets_for(docs, need), "large")
 
     def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -273,34 +295,28 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     found = grouped_pairs(signature_rows(df, text_col, percent), GROUP, STARS)
     pairs, large = found.filter("not large").select("a", "b"), found.filter("large").select("a", "b")
     wanted = pairs.select(F.col("a").alias("c1")).union(pairs.select(F.col("b").alias("c1"))).union(large.select(F.col("a").alias("c1"))).distinct()
-    chosen = stored(nodes.join(wanted, "c1"), "chosen")
-
-    def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for node, c1, c2, s in zip(b["node"], b["c1"], b["c2"], sets_of(b["text"]), strict=True):
-                if digest(s) == (c1, c2):  # rows of one id may have several texts
-                    rows.append((node, c1, c2, len(s), sketch(s).tobytes(), s.astype("<u8").tobytes()))
-            yield pd.DataFrame(rows, columns=["node", "c1", "c2", "n", "sketch", "shingles"])
-
-    kind = df.schema[id_col].dataType.simpleString()
-    texts = df.select(F.col(id_col).alias("node"), F.col(text_col).alias("text")).join(small(chosen), "node")
-    sets = stored(texts.mapInPandas(load, f"node {kind}, c1 long, c2 long, n long, sketch binary, shingles binary"), "sets")  # equal rows only repeat links
-    links = stored(checked(pairs, sets, percent), "links")
+    chosen = small(stored(nodes.join(wanted, "c1").withColumnRenamed("node", "doc"), "chosen"))
+    classes = stored(member.join(chosen, ["doc", "c1", "c2"]).dropDuplicates(["doc", "c1", "c2"]).withColumnRenamed("doc", "node"), "classes")
+    docs = df.select(F.col(id_col).alias("node"), F.col(text_col).alias("text"))  # equal rows only repeat links
+    release(df.sparkSession)
+    links = checked(pairs, classes, docs, percent)
     if not large.isEmpty():
-        more, few = second_pass(sets, large, percent)
-        links = stored(links.unionByName(checked(more, sets, percent)), "links")
-        links = links.unionByName(checked(leftover(large, few, sets, components(links), percent), sets, percent))
+        release(df.sparkSession)
+        more, few = second_pass(classes, docs, large, percent)
+        release(df.sparkSession)
+        links = stored(links.unionByName(checked(more, classes, docs, percent)), "links")
+        links = links.unionByName(checked(leftover(large, few, classes, components(links), percent), classes, docs, percent))
+        release(df.sparkSession)
     named = components(links).withColumnRenamed("component", "label")
     labels = nodes.join(named, "node", "left").select("c1", "c2", F.coalesce("label", "node").alias("component_id"))
     out = member.join(labels, ["c1", "c2"], "left")
     return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc")).alias("component_id"))
 
 
-def leftover(large: DataFrame, few: DataFrame, sets: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
+def leftover(large: DataFrame, few: DataFrame, classes: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
     """Pairs of classes that share a large group, are in different components, and have so few rare shingles together that
     they could link without sharing one."""
-    nodes = sets.select(F.col("c1").alias("a"), "node").join(few, "a")
+    nodes = classes.select(F.col("c1").alias("a"), "node").join(few, "a")
     placed = large.join(nodes, "a").join(comps, "node", "left").select("b", "a", "m", "n", F.coalesce("component", "node").alias("comp"))
     mixed = placed.groupBy("b").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("b")
     rest = stored(placed.join(mixed, "b").distinct(), "rest")
