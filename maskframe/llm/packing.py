@@ -26,7 +26,7 @@ from .common import stored, table
 
 LENGTH, END_ID = 2048, 1
 #: Entries of a worker's word caches; a full cache starts anew.
-CACHE = 600_000
+CACHE = 200_000
 #: A table of task totals of at most so many rows (16 bytes each) is broadcast.
 BROADCAST_TASKS = 2_000_000
 
