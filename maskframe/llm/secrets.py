@@ -1,12 +1,15 @@
 """Secret scans: fixed patterns, and guess costs of values in credential contexts.
 
-The patterns give the base spans. Beyond them, a value behind a credential word (also "pwd", "passphrase",
-"credential", "auth", with "is" or "->" as separators) is judged by the cost of guessing it: dynamic programming finds
-the cheapest segmentation into words, dates, repeats, keyboard walks, sequences and brute-force spans, costs in log10
-of guesses. A value of at least `least_cost` is a secret and adds an "assign" span.
+The patterns give the base spans. Beyond them, a value of at least 8 characters behind a credential word (also "pwd",
+"passphrase", "credential", "auth", with "is", "->" or a blank as separators, and as the end of a longer name such as
+DB_PASSWORD) is judged by the cost of guessing it: dynamic programming finds the cheapest segmentation into words, dates,
+repeats, keyboard walks, sequences and brute-force spans, costs in log10 of guesses. Words are those that guessers try
+first and the pieces of the tokenizer's vocabulary by rank, so that words of a sentence are cheap. A value of at least
+`least_cost` is a secret, whatever its letters, and adds an "assign" span.
 
 Edge cases: null texts are empty; very long values cost linear time, as no segment but a repeat or brute force is
-longer than 32 characters; ties between segmentations have equal cost; equal rows get equal results.
+longer than 32 characters; long words that the vocabulary lacks (rare or of other languages) can cost as much as a
+secret; ties between segmentations have equal cost; equal rows get equal results.
 """
 
 from __future__ import annotations
@@ -15,12 +18,14 @@ import hashlib
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .packing import default_tokenizer
 from .spans import Span, as_text, free_of, ordered
 
 KINDS = ("assign", "access", "hex")
@@ -28,7 +33,7 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]{14,}"), re.compile(r"[0-9a-f]{16,}")
 #: Each match of ASSIGN or CONTEXT holds one of these in lower case.
 HINTS = ("passw", "secret", "token", "api", "pwd", "passphrase", "credential", "auth")
-CONTEXT = re.compile(r"""\b(?:password|passwd|pwd|passphrase|secret|token|api[_\x20-]?key|credentials?|auth(?:orization)?)["']?\x20*(?::|=|->|\x20is\x20|\x20)\x20*["'`]?([!-~]{8,})""", re.I | re.A)
+CONTEXT = re.compile(r"""(?:password|passwd|pwd|passphrase|secret|token|api[_\x20-]?key|credentials?|auth(?:orization)?)["']?\x20*(?::|=|->|\x20is\x20|\x20)\x20*(?=["'`]?([!-~]{8,}))""", re.I | re.A)
 #: Rows of a keyboard, and words that guessers try first.
 ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 WORDS = """password passwd secret admin login welcome letmein dragon monkey master hello freedom shadow summer winter spring
@@ -43,6 +48,20 @@ DATE = re.compile(r"(?:(?:19|20)\d\d[-/._]?[01]\d[-/._]?[0-3]\d|[0-3]?\d[-/._][0
 LONGEST, LEAST_COST, LEAST_LENGTH = 32, 12.0, 12
 
 
+@lru_cache(maxsize=None)
+def lexicon() -> dict[str, int]:
+    """WORDS, then the pieces of the tokenizer's vocabulary (at least 3 letters) by rank."""
+    from tokenizers import Tokenizer
+
+    vocab = Tokenizer.from_file(str(default_tokenizer())).get_vocab()
+    rank = dict(RANK)
+    for piece in sorted(vocab, key=vocab.get):
+        word = piece.removesuffix("</w>")
+        if len(word) >= 3 and word.isascii() and word.isalpha():
+            rank.setdefault(word.lower(), len(rank) + 1)
+    return rank
+
+
 def guess_cost(value: str, lexicon: dict[str, int] | None = None) -> float:
     """log10 of the guesses that the cheapest segmentation needs; each further segment doubles the guesses."""
     rank, low, n = RANK if lexicon is None else lexicon, value.lower(), len(value)
@@ -84,7 +103,7 @@ def base_spans(text: str, hinted: bool) -> list[Span]:
     if "AKIA" in text:
         found += [("access", m.start(), m.end()) for m in ACCESS.finditer(text)]
     if hinted:
-        found += [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
+        found += [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST_LENGTH]
     return ordered(found, KINDS)
 
 
@@ -97,8 +116,7 @@ def all_spans(text: str, least_cost: float = LEAST_COST) -> tuple[list[Span], li
     if hinted:
         for m in CONTEXT.finditer(text):
             value = m[1].rstrip("\"'`.,;)")
-            plain = value.isalpha() and value[1:].islower()  # a word of the sentence
-            if len(value) >= LEAST_LENGTH and not plain and guess_cost(value) >= least_cost:
+            if guess_cost(value, lexicon()) >= least_cost:
                 new.append(("assign", m.start(), m.start(1) + len(value)))
     return base, ordered(base + free_of(new, base), KINDS) if new else base
 

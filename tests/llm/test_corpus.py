@@ -155,6 +155,17 @@ def test_secrets_base_and_costs(spark, odd):
     assert len(secrets.scan(odd).toPandas()) == 10 and secrets.redact_secrets(odd).columns == odd.columns
 
 
+@pytest.mark.parametrize("text", ["DB_PASSWORD=Zr8!kQ2pLw9x", "my2token: Zr8!kQ2pLw9x", "pwd=qzxjkvbpwmfh", "pwd=Zr8!kQ2p", "secret password is Zr8!kQ2pLw9x"])
+def test_secrets_of_prefixed_names_plain_letters_and_short_values(text):
+    value = re.split(r"[=\x20]", text)[-1]
+    assert any(text[a:b].endswith(value) for _, a, b in secrets.all_spans(text)[1]) and value not in secrets.redacted(text, secrets.all_spans(text)[1])
+
+
+def test_words_of_a_sentence_are_no_secrets():
+    text = "The secret implementation, a token generator; password requirements: authentication. The password is unbelievable. pwd=username1"
+    assert secrets.all_spans(text) == ([], [])
+
+
 def brute_quality(text):
     w = WORD.findall(text or "")
     lines = [x for x in (text or "").split("\n") if WORD.search(x)]
