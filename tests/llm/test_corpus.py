@@ -214,6 +214,45 @@ def test_ngram_join_edges(spark, odd):
     assert kept.columns == odd.columns and sorted(x for x in kept.toPandas()["doc_id"].dropna()) == [1, 2, 3, 4, 6, 8]
 
 
+def brute_kept(rows):
+    """Indices of the rows that stay: the first of each component in the order of (has an id, id)."""
+    words = [WORD.findall((t or "").lower()) for _, t in rows]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+    label = list(range(len(rows)))
+    near = [(i, j) for i in label for j in range(i) if (100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) if sets[i] and sets[j] else not sets[i] and not sets[j] and rows[i][0] is not None and rows[i][0] == rows[j][0])]
+    for _ in rows:
+        for i, j in near:
+            label[i] = label[j] = min(label[i], label[j])
+    groups = {k: [i for i in range(len(rows)) if label[i] == k] for k in set(label)}
+    return [min((rows[i][0] is None, rows[i][0] or 0) for i in g) + (frozenset(rows[i][1] for i in g),) for g in groups.values()]
+
+
+@pytest.mark.parametrize("seed, ids", [(1, "nulls"), (2, "repeated"), (3, "both"), (4, "unique")])
+def test_keep_one_equals_brute_force(spark, seed, ids):
+    rng = random.Random(seed)
+    voc, rows = [f"w{i}" for i in range(400)], []
+    bases = [rng.choices(voc, k=rng.choice([3, 30, 90])) for _ in range(12)]
+    for k in range(60):
+        w = list(rng.choice(bases))
+        for _ in range(rng.choice([0, 0, 1, 2, 9])):
+            w[rng.randrange(len(w))] = rng.choice(voc)
+        n = {"nulls": k if rng.random() < 0.5 else None, "repeated": rng.randrange(20), "both": rng.choice([None, rng.randrange(20)]), "unique": k}[ids]
+        rows.append((n, " ".join(w)))
+    rows += [(100, ""), (101, None)] + [(None, ""), (None, " ")] * (ids in ("nulls", "both")) + [(100, "\n"), (7, "a b c"), (7, "d e f g h i")] * (ids in ("repeated", "both"))
+    got = [(r.doc_id, r.text) for r in ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    want = brute_kept(rows)
+    assert len(got) == len(want)
+    for no_id, n, texts in want:  # one row of each component, with its smallest id
+        some = next(g for g in got if g[1] in texts and (g[0] is None, g[0] or 0) == (no_id, n))
+        got.remove(some)
+
+
+def test_keep_one_loses_no_distinct_document(spark):
+    rows = [(1, "one two three"), (1, "four five six"), (2, "one two three"), (None, "seven eight"), (None, "nine ten"), (None, "nine  ten"), (None, "one two three")]
+    kept = ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, " ".join(r.text.split())) for r in kept) == [(0, "nine ten"), (0, "seven eight"), (1, "four five six"), (1, "one two three")]
+
+
 def test_ngram_join_large_groups(spark, monkeypatch):
     for k, v in {"GROUP": 4, "RARE": 4, "STARS": 2}.items():
         monkeypatch.setattr(ngram_join, k, v)
