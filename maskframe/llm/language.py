@@ -6,6 +6,10 @@ of columns. Weights and language-to-language transitions are learned together by
 Prediction runs forward-backward over the words of the whole text, cut into chains of CHAIN words, and averages the
 words' marginals weighted by their letters: the best language is the prediction, its average the score.
 
+A run of more than PIECE letters (a script without blanks, a long compound) counts as several words of up to PIECE letters, so
+that all its 3-grams are seen and a switch inside it can be: neighbours overlap by two letters, which count once, and
+only the first and last have the affixes of the run.
+
 The fit uses at most `per_language` documents of each language (those with the smallest hashes in as many hash
 buckets) and at most `words` words of each; everything else covers all rows.
 
@@ -31,11 +35,29 @@ from .common import table
 LETTERS = re.compile(r"[^\W\d_]+")
 COLUMNS, CHAIN, LEXICON = 1 << 15, 64, 200
 CACHE = 400_000
+#: Letters of a piece of a longer run, and the mark at a piece's end where the run goes on.
+PIECE, MORE = 24, "-"
+
+
+def words_in(text: str) -> list[str]:
+    """The runs of letters in lower case, long ones in pieces."""
+    out = []
+    for run in LETTERS.findall(text.lower()):
+        if len(run) <= PIECE:
+            out.append(run)
+        else:
+            out += [MORE * (at > 0) + run[at : at + PIECE] + MORE * (at + PIECE < len(run)) for at in range(0, len(run) - 2, PIECE - 2)]
+    return out
+
+
+def own_letters(word: str) -> int:
+    """Letters of a word; those that a piece shares with the next one count there."""
+    return len(word) - (word[0] == MORE) - 3 * (word[-1] == MORE)
 
 
 def word_features(word: str, lexicon: frozenset[str]) -> list[int]:
-    w = word[:24]
-    named = [f"<{w[:k]}" for k in (1, 2, 3)] + [f"{w[-k:]}>" for k in (1, 2, 3)] + [w[i : i + 3] for i in range(len(w) - 2)]
+    w = word.strip(MORE)
+    named = [f"<{w[:k]}" for k in (1, 2, 3) if word[0] != MORE] + [f"{w[-k:]}>" for k in (1, 2, 3) if word[-1] != MORE] + [w[i : i + 3] for i in range(len(w) - 2)]
     if word in lexicon:
         named.append(f"={word}")
     return [zlib.crc32(x.encode()) % COLUMNS for x in dict.fromkeys(named)]
@@ -81,7 +103,7 @@ class Tagger:
         k, streams = len(languages), []
         counts: dict[str, Counter] = {lang: Counter() for lang in languages}
         for text, lang in rows:
-            found = LETTERS.findall(text.lower())[:words]
+            found = words_in(text)[:words]
             counts[lang].update(found)
             for lo in range(0, len(found), 16):
                 streams.append([(w, languages.index(lang)) for w in found[lo : lo + 16]])
@@ -169,23 +191,26 @@ class Predictor:
         n = sum(map(len, words))
         return np.fromiter((self.index[x] for t in words for x in t), dtype=np.int64, count=n)
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
+        """Languages, scores, and how sure the words are: the average of each word's best marginal, weighted by letters."""
         langs = self.tagger.languages
-        words = [LETTERS.findall(t.lower()) if t else [] for t in texts]
+        words = [words_in(t) if t else [] for t in texts]
         words = [w if any(c.isalpha() for x in w for c in x) else [] for w in words]  # ½ and ² are no letters
         lengths = np.array([len(w) for w in words], dtype=np.int64)
-        label, score = ["und"] * len(texts), [0.0] * len(texts)
+        label, score, sure = ["und"] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
         if not langs or not lengths.sum():
-            return label, score
+            return label, score, sure
         ids = self.ids(words)
         post = self.tagger.marginals(self.scores[ids], lengths)
-        letters = np.fromiter((len(x) for t in words for x in t), dtype=np.float64, count=len(post))
+        letters = np.fromiter((own_letters(x) for t in words for x in t), dtype=np.float64, count=len(post))
         live = np.flatnonzero(lengths)
         starts = (np.cumsum(lengths) - lengths)[live]
-        mean = np.add.reduceat(post * letters[:, None], starts, axis=0) / np.add.reduceat(letters, starts)[:, None]
-        for i, row in zip(live, mean, strict=True):
-            label[i], score[i] = langs[int(row.argmax())], float(min(1.0, row.max()))
-        return label, score
+        total = np.add.reduceat(letters, starts)
+        mean = np.add.reduceat(post * letters[:, None], starts, axis=0) / total[:, None]
+        best = np.add.reduceat(post.max(axis=1) * letters, starts) / total
+        for i, row, b in zip(live, mean, best, strict=True):
+            label[i], score[i], sure[i] = langs[int(row.argmax())], float(min(1.0, row.max())), float(min(1.0, b))
+        return label, score, sure
 
 
 def held_out(id_col: str = "doc_id"):
@@ -214,18 +239,19 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
 
 
 def predictions(tagger: Tagger):
-    """A pandas UDF from texts to struct<lang_pred, score>."""
+    """A pandas UDF from texts to struct<lang_pred, score, sure>."""
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, sure double")
     def tag(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         p = Predictor(tagger)
         for texts in batches:
-            label, score = [], []
+            label, score, sure = [], [], []
             for lo in range(0, len(texts), 500):
-                a, b = p.predict(list(texts.iloc[lo : lo + 500]))
+                a, b, c = p.predict(list(texts.iloc[lo : lo + 500]))
                 label += a
                 score += b
-            yield pd.DataFrame({"lang_pred": label, "score": score})
+                sure += c
+            yield pd.DataFrame({"lang_pred": label, "score": score, "sure": sure})
 
     return tag
 
@@ -235,10 +261,11 @@ def predict(df: DataFrame, tagger: Tagger, id_col: str = "doc_id", text_col: str
 
 
 def keep_known(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least_score: float = 0.5) -> DataFrame:
-    """The rows of df whose text has a language with a score of at least least_score, all columns unchanged."""
+    """The rows of df whose text has a language and whose words are sure of theirs with least_score on average, all columns
+    unchanged. Texts that switch between languages stay, whatever the share of the leading one."""
     tag = predictions(fit(df, id_col, text_col, lang_col))
     judged = df.withColumn("__p", tag(F.col(text_col)))
-    return judged.filter((F.col("__p.lang_pred") != "und") & (F.col("__p.score") >= least_score)).drop("__p")
+    return judged.filter((F.col("__p.lang_pred") != "und") & (F.col("__p.sure") >= least_score)).drop("__p")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -114,6 +114,29 @@ def test_language_edges(spark, odd):
     assert language.Predictor(t).predict(["½ ² 12", "½ la"])[0] == ["und", "fr"]
 
 
+def test_language_of_long_runs():
+    run = "abcdefghij" * 9
+    pieces = language.words_in(f"x {run}")[1:]
+    feature = lambda w: set(language.word_features(w, frozenset()))
+    grams = [p.strip("-")[i : i + 3] for p in pieces for i in range(len(p.strip("-")) - 2)]
+    assert grams == [run[i : i + 3] for i in range(88)] and sum(map(language.own_letters, pieces)) == 90
+    assert {zlib.crc32(x.encode()) % language.COLUMNS for x in ("j>", "ij>", "hij>")} <= feature(pieces[-1]) and zlib.crc32(b"<a") % language.COLUMNS in feature(pieces[0])
+    t = language.Tagger.fit([("the of and to in is that", "en"), ("le la de et les des une", "fr")] * 20)
+    assert language.Predictor(t).predict(["that" * 6 + "lesdesune" * 40])[0] == ["fr"]
+    for n in range(1, 120):
+        assert sum(map(language.own_letters, language.words_in("a" * n))) == n
+
+
+def test_language_keeps_switched_texts(spark):
+    words = {"en": "the of and to in is that", "fr": "le la des et les une", "de": "der und nicht ist das ein"}
+    rows = [(i, " ".join([w] * 4), lang) for i, (w, lang) in enumerate([(w, lang) for w, lang in zip(words.values(), words)] * 20)]
+    rows += [(1000, " ".join([f"{w} {w} {w}" for w in words.values()]), None), (1001, "123", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    p = language.detect(docs).filter("doc_id = 1000").first()
+    kept = {r.doc_id for r in language.keep_known(docs).collect()}
+    assert p.score < 0.5 and 1000 in kept and 1001 not in kept
+
+
 def plain(kind, text):
     """The contract's patterns, applied directly."""
     out = []
