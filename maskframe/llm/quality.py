@@ -6,8 +6,8 @@ if the exact binomial tail P(Bin(n, risk) <= k) for its k false rejections among
 delta / (rules x strata) (Bonferroni), and if all laxer cutoffs of the grid are certified too (fixed-sequence test, which
 needs no further correction). So with probability 1 - delta every stratum loses at most rules x risk of its good
 documents. Of the certified cutoffs, that with most bad documents rejected is used, the laxest on ties; without a
-certified cutoff a rule stays silent in that stratum. For more than EXACT_TERMS false rejections the Chernoff bound of
-the tail, which is larger, replaces the sum.
+certified cutoff a rule stays silent in that stratum. For more than EXACT_TERMS false rejections the tail is summed
+downwards from its largest term, which Stirling's series gives; what is left after EXACT_TERMS terms is bounded.
 
 Edge cases: null texts are empty and fail the base rules; null strata form one stratum; several labels of one
 document count once, as good if one of them is good; without labels only base rules act; equal rows get equal results.
@@ -34,22 +34,22 @@ BROADCAST_STRATA = 10_000
 def repeat_features(df: DataFrame) -> DataFrame:
     """Adds n_repeat_words: words covered by 3-word windows that occur at least twice in the row's own `words`.
 
-    Each window becomes hash * m + position, so one sort of longs brings equal windows together; neighbours with equal
-    hashes are compared word by word. n log n steps for a text of n words.
+    Each window becomes a struct of its 64-bit hash and its position, so one sort brings equal windows together; neighbours
+    with equal hashes are compared word by word. n log n steps for a text of n words.
     """
     n = F.size("words")
-    w = df.withColumn("m", F.when(n < 2**21, F.lit(2**21)).otherwise(F.lit(2**31)).cast("long"))
-    w = w.withColumn("keys", F.when(n >= 3, F.transform(F.slice("words", 1, F.greatest(n - 2, F.lit(1))), lambda x, i: F.pmod(F.xxhash64(x, F.get("words", i + 1), F.get("words", i + 2)), F.floor(F.lit(2**62) / F.col("m"))) * F.col("m") + i)).otherwise(F.array().cast("array<bigint>")))
+    key = lambda x, i: F.struct(F.xxhash64(x, F.get("words", i + 1), F.get("words", i + 2)).alias("h"), i.alias("p"))
+    w = df.withColumn("keys", F.when(n >= 3, F.transform(F.slice("words", 1, F.greatest(n - 2, F.lit(1))), key)).otherwise(F.array().cast("array<struct<h:bigint,p:int>>")))
     w = w.withColumn("sorted", F.sort_array("keys"))
 
     def same(x: Column, y: Column) -> Column:
-        p, q = (x % F.col("m")).cast("int"), (y % F.col("m")).cast("int")
-        return (F.floor(x / F.col("m")) == F.floor(y / F.col("m"))) & (F.get("words", p) == F.get("words", q)) & (F.get("words", p + 1) == F.get("words", q + 1)) & (F.get("words", p + 2) == F.get("words", q + 2))
+        p, q = x["p"], y["p"]
+        return (x["h"] == y["h"]) & (F.get("words", p) == F.get("words", q)) & (F.get("words", p + 1) == F.get("words", q + 1)) & (F.get("words", p + 2) == F.get("words", q + 2))
 
-    found = F.transform("sorted", lambda x, i: F.when(F.coalesce(same(x, F.get("sorted", i + 1)), F.lit(False)) | ((i > 0) & F.coalesce(same(x, F.get("sorted", i - 1)), F.lit(False))), x % F.col("m")))
+    found = F.transform("sorted", lambda x, i: F.when(F.coalesce(same(x, F.get("sorted", i + 1)), F.lit(False)) | ((i > 0) & F.coalesce(same(x, F.get("sorted", i - 1)), F.lit(False))), x["p"].cast("bigint")))
     w = w.withColumn("at", F.sort_array(F.filter(found, lambda x: x.isNotNull())))
     covered = F.aggregate("at", F.struct(F.lit(0).cast("bigint").alias("end"), F.lit(0).cast("bigint").alias("n")), lambda a, p: F.struct((p + 3).alias("end"), (a["n"] + p + 3 - F.greatest(p, a["end"])).alias("n")), lambda a: a["n"])
-    return w.withColumn("n_repeat_words", covered).drop("m", "keys", "sorted", "at")
+    return w.withColumn("n_repeat_words", covered).drop("keys", "sorted", "at")
 
 
 def features(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -69,7 +69,7 @@ def features(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def binomial_tail(k: Column, n: Column, p: float) -> Column:
-    """P(Bin(n, p) <= k); 1 where k is not below its mean, Chernoff's larger bound beyond EXACT_TERMS terms."""
+    """P(Bin(n, p) <= k); 1 where k is not below its mean."""
     odds = math.log(p / (1 - p))
     terms = F.aggregate(
         F.sequence(F.lit(0).cast("bigint"), F.least(k, F.lit(EXACT_TERMS))),
@@ -79,7 +79,15 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
     )
     q = k / n
     chernoff = F.exp(-n * (q * F.log(q / p) + (1 - q) * F.log((1 - q) / (1 - p))))
-    return F.when((n <= 0) | (k >= n * p), F.lit(1.0)).when(k > EXACT_TERMS, chernoff).otherwise(F.least(terms, F.lit(1.0)))
+    largest = chernoff * F.sqrt(n / (2 * math.pi * k * (n - k))) * F.exp(1 / (12 * n) - 1 / (12 * k) - 1 / (12 * (n - k)))
+    ratio = lambda j: j * (1 - p) / ((n - j + 1) * p)  # noqa: E731  of the term of j - 1 to that of j
+    down = F.aggregate(
+        F.sequence(F.lit(0).cast("bigint"), F.least(k, F.lit(EXACT_TERMS))),
+        F.struct(F.lit(1.0).alias("term"), F.lit(0.0).alias("sum")),
+        lambda a, i: F.struct((a["term"] * ratio(k - i)).alias("term"), (a["sum"] + a["term"]).alias("sum")),
+        lambda a: a["sum"] + a["term"] / (1 - ratio(k - EXACT_TERMS)),  # the rest falls faster than this geometric series
+    )
+    return F.when((n <= 0) | (k >= n * p), F.lit(1.0)).when(k > EXACT_TERMS, F.least(largest * down, F.lit(1.0))).otherwise(F.least(terms, F.lit(1.0)))
 
 
 def thresholds(measured: DataFrame, labels: DataFrame, id_col: str = "doc_id", stratum: str = "lang", risk: float = 0.004, delta: float = 0.05) -> DataFrame:

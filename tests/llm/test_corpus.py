@@ -217,6 +217,29 @@ def test_binomial_tail(spark):
         assert abs(x.p - want) < 1e-9
 
 
+def test_binomial_tail_of_many(spark, monkeypatch):
+    from math import exp, fsum, lgamma, log, log1p
+
+    from pyspark.sql import functions as F
+
+    pmf = lambda j, n, p: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * log(p) + (n - j) * log1p(-p))
+    monkeypatch.setattr(quality, "EXACT_TERMS", 500)
+    cases = [(900, 20_000), (980, 20_000), (999, 20_000), (4_800, 100_000)]
+    r = spark.createDataFrame(cases, "k long, n long").withColumn("p", quality.binomial_tail(F.col("k"), F.col("n"), 0.05)).collect()
+    for x in r:
+        want = fsum(pmf(j, x.n, 0.05) for j in range(x.k + 1))
+        assert abs(x.p / want - 1) < 1e-6
+    monkeypatch.undo()
+    x = spark.createDataFrame([(100_200, 25_200_000)], "k long, n long").withColumn("p", quality.binomial_tail(F.col("k"), F.col("n"), 0.004)).first()
+    assert abs(x.p / fsum(pmf(j, x.n, 0.004) for j in range(x.k - 10_000, x.k + 1)) - 1) < 1e-5
+
+
+def test_quality_windows_keep_the_whole_hash(spark):
+    first, again = (f"{i:x}" for i in range(2**21)), (f"{i:x} {i + 1:x} {i + 2:x} s{i}" for i in range(0, 300_000, 3))
+    d = spark.createDataFrame([(1, " ".join([*first, "|", *again]))], "doc_id long, text string").withColumn("words", quality.words_of("text"))
+    assert quality.repeat_features(d).select("n_repeat_words").first()[0] == 600_000
+
+
 def test_quality_keeps_the_good_and_rejects_the_bad(spark):
     rng = random.Random(3)
     good = [(i, " ".join(rng.choices([f"w{k}" for k in range(900)], k=80)), "en") for i in range(3000)]
