@@ -137,6 +137,11 @@ def _(spark, sf):
     return pixels.unassigned(view(spark, sf, "v_pixels").filter("tooth_id = '16'"), view(spark, sf, "v_roi"))
 
 
+@query("geo15_unassigned_every_tooth", "SELECT r.* FROM v_decay r ANTI JOIN v_pixels v ON r.case_id = v.case_id AND r.x = v.x AND r.y = v.y", "v_pixels", "v_decay")
+def _(spark, sf):
+    return pixels.unassigned(view(spark, sf, "v_pixels"), view(spark, sf, "v_decay"))
+
+
 @query("geo16_connected_components")
 def _(spark, sf):
     _, lesion = lesions(spark, sf)
@@ -157,7 +162,7 @@ def _(spark, sf):
 
 @query("geo19_unassigned_blobs")
 def _(spark, sf):
-    return pixels.unassigned_blobs(view(spark, sf, "v_pixels").filter("tooth_id = '16'"), view(spark, sf, "v_roi"), least=3)
+    return pixels.unassigned_blobs(view(spark, sf, "v_pixels"), view(spark, sf, "v_decay"), least=3)
 
 
 @query("geo21_convex_hull")
@@ -273,9 +278,12 @@ def _(spark, sf):
     return matching.greedy_first(view(spark, sf, "v_boxes")).select("case_id", "det_id")
 
 
-def _labels(spark, sf):
+THIRD_LEFT_OUT = " WHERE sample_id % 3 <> 0"
+
+
+def _labels(spark, sf, every=True):
     p = view(spark, sf, "v_label_pairs")
-    return p.select("group_id", F.col("sample_id").alias("pos"), F.col("y_true").alias("surface")), p.filter("sample_id % 3 <> 0").select("group_id", F.col("sample_id").alias("pos"), F.col("y_pred_a").alias("surface"))
+    return p.select("group_id", F.col("sample_id").alias("pos"), F.col("y_true").alias("surface")), (p if every else p.filter("sample_id % 3 <> 0")).select("group_id", F.col("sample_id").alias("pos"), F.col("y_pred_a").alias("surface"))
 
 
 @query("jn8_match_labels", """~t AS (SELECT group_id, sample_id AS pos, y_true AS s, row_number() OVER (PARTITION BY group_id, y_true ORDER BY sample_id) AS k FROM v_label_pairs),
@@ -283,6 +291,11 @@ p AS (SELECT group_id, sample_id AS pos, y_pred_a AS s, row_number() OVER (PARTI
 tl AS (SELECT t.*, row_number() OVER (PARTITION BY group_id ORDER BY pos) AS r FROM t ANTI JOIN p USING (group_id, s, k)),
 pl AS (SELECT p.*, row_number() OVER (PARTITION BY group_id ORDER BY pos) AS r FROM p ANTI JOIN t USING (group_id, s, k))
 SELECT t.group_id, t.pos, t.s AS y_true, t.s AS y_pred FROM t SEMI JOIN p USING (group_id, s, k) UNION ALL SELECT tl.group_id, tl.pos, tl.s, coalesce(pl.s, 'Other') FROM tl LEFT JOIN pl USING (group_id, r)""", "v_label_pairs")
+def _(spark, sf):
+    return matching.match_labels(*_labels(spark, sf, every=False), ["group_id"])
+
+
+@query("jn8_match_every_label", ORACLE_SQL["jn8_match_labels"].replace(THIRD_LEFT_OUT, ""))
 def _(spark, sf):
     return matching.match_labels(*_labels(spark, sf), ["group_id"])
 
@@ -294,6 +307,11 @@ def _(spark, sf):
 
 @query("jn9_last_wins", """~l AS (SELECT group_id, y_pred_a AS y_pred FROM v_label_pairs WHERE sample_id % 3 <> 0 QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY sample_id DESC, y_pred_a DESC) = 1)
 SELECT v.group_id, sample_id AS pos, y_true, coalesce(y_pred, 'Other') AS y_pred FROM v_label_pairs v LEFT JOIN l USING (group_id)""", "v_label_pairs")
+def _(spark, sf):
+    return matching.last_wins(*_labels(spark, sf, every=False), ["group_id"])
+
+
+@query("jn9_last_of_all_wins", ORACLE_SQL["jn9_last_wins"].replace(THIRD_LEFT_OUT, ""))
 def _(spark, sf):
     return matching.last_wins(*_labels(spark, sf), ["group_id"])
 

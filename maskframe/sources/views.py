@@ -14,6 +14,10 @@ from (select cast(l_suppkey % 10 as int) as case_id, cast(cast((1 + l_linenumber
 select distinct case_id, case when case_id % 2 = 0 then a else b end as x, case when case_id % 2 = 0 then b else a end as y
 from (select cast(l_suppkey % 10 as int) as case_id, cast(l_quantity as int) + (cast(l_suppkey % 5 as int) - 2) * cast(round(l_discount * 100) as int) as a,
         cast(round(l_discount * 100) as int) as b from {lineitem} where l_returnflag = 'R' and l_tax >= 0.07) t""",
+    # decay from other columns than the masks, so that a part lies on no tooth
+    "v_decay": """
+select distinct cast(l_suppkey % 10 as int) as case_id, cast(l_quantity as int) + (cast(l_partkey % 5 as int) - 2) * cast(round(l_tax * 100) as int) as x,
+  cast(round(l_tax * 100) as int) as y from {lineitem} where l_returnflag = 'R'""",
     "v_boxes": """
 select l_orderkey as case_id, l_partkey * 1000000 + l_suppkey * 10 + l_linenumber as det_id, case when l_returnflag = 'R' then 'lesion' else 'tooth' end as kind, l_tax + l_discount / 10 as confidence,
   cast(l_quantity as int) as x1, cast(round(l_discount * 100) as int) * 5 as y1, cast(l_quantity as int) + 8 + 2 * l_linenumber as x2,

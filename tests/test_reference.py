@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from maskframe.operators import matching, metrics, pixels, zones
 from maskframe.plans.registry import ORACLE_SQL, QUERIES
+from maskframe.sources.views import view
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -27,6 +28,19 @@ def test_matches_sql(spark, duck, name):
     pd.testing.assert_frame_equal(a, b, check_dtype=False)
 
 
+def test_no_blob_lies_on_a_tooth(spark, duck):
+    got = pd.DataFrame(QUERIES["geo19_unassigned_blobs"](spark, SF).collect())
+    free = duck.execute(ORACLE_SQL["geo15_unassigned_every_tooth"]).df().groupby("case_id").size()
+    assert len(got) and (got.groupby(0)[1].sum() <= free).all(), got.head()
+
+
+def test_every_prediction_takes_part(spark):
+    got = QUERIES["jn8_match_labels_interleaved"](spark, SF).toPandas()
+    want = view(spark, SF, "v_label_pairs").toPandas()
+    count = lambda d, c: d.groupby(["group_id", c]).size().to_dict()
+    assert count(got, "y_pred") == count(want, "y_pred_a")
+
+
 def tooth(spark, points, tooth_id="16", case=1):
     return spark.createDataFrame([(case, tooth_id, x, y) for x, y in points], "case_id int, tooth_id string, x int, y int")
 
