@@ -35,6 +35,8 @@ from .common import table
 LETTERS = re.compile(r"[^\W\d_]+")
 COLUMNS, CHAIN, LEXICON = 1 << 15, 64, 200
 CACHE = 400_000
+#: Up to so many ids are listed in a filter; more are joined.
+LISTED = 20_000
 #: Letters of a piece of a longer run, and the mark at a piece's end where the run goes on.
 PIECE, MORE = 24, "-"
 
@@ -224,8 +226,10 @@ def training_rows(df: DataFrame, id_col: str, text_col: str, lang_col: str, per_
     able = df.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     h = F.xxhash64(id_col)
     chosen = able.groupBy(lang_col, F.pmod(h, F.lit(per_language)).alias("bucket")).agg(F.min(F.struct(h.alias("h"), F.col(id_col).alias("id"))).alias("x")).select("x.id")
-    ids = [r["id"] for r in chosen.distinct().limit(20_000).collect()]  # per_language x languages
-    found = able.filter(F.col(id_col).isin(ids)).select(id_col, lang_col, F.substring(F.coalesce(F.col(text_col), F.lit("")), 1, 20_000).alias("t")).orderBy(id_col, lang_col, "t").collect()
+    ids = [r["id"] for r in chosen.distinct().collect()]  # per_language x languages
+    few = len(ids) <= LISTED
+    texts = able.filter(F.col(id_col).isin(ids)) if few else able.join(chosen.distinct().withColumnRenamed("id", id_col), id_col, "left_semi")
+    found = texts.select(id_col, lang_col, F.substring(F.coalesce(F.col(text_col), F.lit("")), 1, 20_000).alias("t")).orderBy(id_col, lang_col, "t").collect()
     return [(r["t"], r[lang_col]) for r in found]
 
 

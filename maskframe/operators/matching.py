@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 
 BOX = ("x1", "y1", "x2", "y2")
+BROADCAST_CENTRES = 1000
 
 
 def _box(prefix: str = "") -> tuple[Column, ...]:
@@ -35,8 +36,10 @@ def detections_to_teeth(detections: DataFrame, teeth: DataFrame, least_iou: floa
 
 
 def nearest_reference(points: DataFrame, reference: DataFrame, keys: list[str]) -> DataFrame:
-    """The nearest of a few fixed reference centres (tooth_id, center_x, center_y; at most some dozens) for each point."""
-    j = points.join(F.broadcast(reference.limit(1000)), F.lit(True))
+    """The nearest of all reference centres (tooth_id, center_x, center_y; usually some dozens) for each point. Up to
+    BROADCAST_CENTRES are broadcast; more are paired with the points without a broadcast hint."""
+    few = reference.limit(BROADCAST_CENTRES + 1).count() <= BROADCAST_CENTRES
+    j = points.join(F.broadcast(reference) if few else reference, F.lit(True))
     d = F.hypot(F.col("x") - F.col("center_x"), F.col("y") - F.col("center_y"))
     return j.groupBy(*keys).agg(F.min(F.struct(d.alias("d"), F.col("tooth_id").alias("t"))).alias("b")).select(*keys, F.col("b.t").alias("tooth_id"), F.col("b.d").alias("distance"))
 

@@ -109,13 +109,20 @@ def f1_difference(pairs: DataFrame, a: str = "y_pred_a", b: str = "y_pred_b") ->
     return one.join(two, F.lit(True)).withColumn("difference", F.col("f1_a") - F.col("f1_b"))  # two single rows
 
 
+#: Label combinations that bootstrap() takes.
+MOST_CELLS = 100_000
+
+
 def bootstrap(pairs: DataFrame, replicates: int = 1000, seed: int = 42, a: str = "y_pred_a", b: str = "y_pred_b") -> DataFrame:
     """(replicate, difference): paired resampling. The counts of (true, a, b) are all that a replicate needs, so rows are collapsed to
-    those cells and each replicate draws cell counts from a multinomial in its own task."""
+    those cells and each replicate draws cell counts from a multinomial in its own task. The cells are held by the driver and
+    each task: more than MOST_CELLS are an error, never dropped."""
     import numpy as np
     import pandas as pd
 
-    cells = pairs.groupBy("y_true", a, b).agg(F.count(F.lit(1)).alias("c")).orderBy("y_true", a, b).limit(100_000).toPandas()  # label combinations
+    cells = pairs.groupBy("y_true", a, b).agg(F.count(F.lit(1)).alias("c")).orderBy("y_true", a, b).limit(MOST_CELLS + 1).toPandas()  # label combinations
+    if len(cells) > MOST_CELLS:
+        raise ValueError(f"bootstrap: more than {MOST_CELLS} combinations of labels")
     counts = cells["c"].to_numpy()
     names = sorted({*cells["y_true"], *cells[a], *cells[b]})
     at = {n: i for i, n in enumerate(names)}

@@ -137,6 +137,12 @@ def test_language_keeps_switched_texts(spark):
     assert p.score < 0.5 and 1000 in kept and 1001 not in kept
 
 
+def test_language_fits_on_every_chosen_text(spark):
+    docs = spark.range(60_000, numPartitions=4).selectExpr("id as doc_id", "'a b' as text", "cast(id % 2 as string) as lang")
+    n = docs.filter(~language.held_out()).selectExpr("lang", "pmod(xxhash64(doc_id), 20000) as b").distinct().count()
+    assert n > 20_000 and len(language.training_rows(docs, "doc_id", "text", "lang", 20_000)) == n
+
+
 def plain(kind, text):
     """The contract's patterns, applied directly."""
     out = []

@@ -94,6 +94,18 @@ def test_greedy_match(spark):
     assert got == {(1, 1, "tooth_id"), (2, 2, "centroid_proximity"), (None, 3, "FP"), (3, None, "FN")}
 
 
+def test_nearest_of_many_references(spark):
+    ref = spark.range(3000, numPartitions=3).selectExpr("cast(id as string) as tooth_id", "cast(id as double) as center_x", "0.0D as center_y")
+    points = spark.createDataFrame([(1, 2900.2, 0.0), (2, 3.1, 0.0)], "id long, x double, y double")
+    assert {r.id: r.tooth_id for r in matching.nearest_reference(points, ref, ["id"]).collect()} == {1: "2900", 2: "3"}
+
+
+def test_bootstrap_drops_no_cell(spark):
+    d = spark.range(100_001).selectExpr("cast(id as string) as y_true", "'a' as y_pred_a", "'b' as y_pred_b")
+    with pytest.raises(ValueError, match="combinations"):
+        metrics.bootstrap(d, 1)
+
+
 #: Published label counts (true, version a, version b, n).
 TRIPLES = """D D D 532,D D M 1,D D O 230,D M D 6,D M M 28,D M O 46,D O O 31,D X X 47,M D D 37,M D M 1,M D O 42,M M D 6,M M M 385,M M O 164,
 M O O 5,M X X 30,O D D 39,O D O 113,O M M 42,O M O 79,O O M 1,O O O 77,O X X 37"""
