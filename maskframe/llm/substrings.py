@@ -1,13 +1,13 @@
-"""Substring dedup on a de Bruijn graph of words.
+"""Substring dedup by windows of 50 words, the edges of a de Bruijn graph.
 
-The k-mers of 50 words are the edges of the graph. An edge that documents share is repeated; its source is the first document
-that has it. In a document, repeated edges that follow each other and have the same source compact into one path, a
-repeated span with its source, after a join of the document's edges with the edge table.
+An edge that documents share is repeated; its source is the first document that has it. A document loses the words of its
+edges that a smaller document has. The graph itself is not compacted: there are no nodes, no branch test and no check of
+words at the source. repeated_spans groups a document's edges that follow each other and have the same source.
 
 Only edges that can be repeated are ever shuffled. Each window of 50 words has an anchor, the smallest hash of its 12-word
 k-mers; equal windows have equal anchors, so an anchor (one for about 20 words) that occurs in one text only rules out all
 its windows. That filter is exact. Equal texts are collapsed before: a later copy of a text has all its windows in the
-first one. Edges are compared by 96 bits of two independent hashes.
+first one. Edges are compared by 95 bits of two independent hashes.
 
 Edge cases: null and empty texts have no words; texts of fewer than 50 words lose nothing; a window that repeats only
 inside its own document stays; rows with equal id and text are one document and get equal results; a null id counts as
