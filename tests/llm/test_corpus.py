@@ -70,12 +70,37 @@ def test_packing_round_trip(spark, odd):
         assert (g["offset"].to_numpy() == (g["length"].cumsum() - g["length"]).to_numpy()).all()
 
 
-@pytest.mark.parametrize("text", ["Héllo Wörld's 12ab, <|endoftext|>x", "İstanbul Σίσυφος ΟΔΟΣ", "a\x85b\xa0c d é", "###abc&&& ²³ x_y don't 'S"])
-def test_word_ids_equal_whole_text(text):
+@pytest.mark.parametrize("text", ["Héllo Wörld's 12ab, <|endoftext|>x", "İstanbul KEDİ. Σίσυφος ΟΔΟΣ", "a\x85b\xa0c d é", "###abc&&& ²³ x_y don't 'S", "\x00 a\x00 a", ""])
+def test_ids_equal_those_of_the_whole_text(text):
     from tokenizers import Tokenizer
 
     path = str(packing.default_tokenizer())
-    assert np.frombuffer(packing.WordIds(path, "<u2").texts([text])[0], "<u2").tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(packing.Coder(path, "<u2").texts([text])[0], "<u2").tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("stretch", [1 << 20, 16])
+def test_ids_of_random_texts(monkeypatch, stretch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "STRETCH", stretch)
+    path, rng = str(packing.default_tokenizer()), random.Random(stretch)
+    whole, code = Tokenizer.from_file(path), packing.Coder(path, "<u2")
+    pool = [chr(c) for c in range(0x250)] + list("İıΣσςΟΔ'’\u0301\u0331\u0300\u2003\u2028\x85\x1c\x0bﬁ中文字😀½²٣") + list(" \n\t.,'<|>") * 10 + ["<|endoftext|>", "'s", "'re", "'ll", "H\u0331", "KEDİ.", "x" * 30] + list("abcXYZ019") * 8
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randrange(60))) for _ in range(1500)]
+    for t, got in zip(texts, code.texts(texts), strict=True):
+        assert np.frombuffer(got, "<u2").tolist() == whole.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_ids_when_pieces_lose_their_places(monkeypatch):
+    from maskframe.llm import pieces
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(pieces, "SLOTS_LOG2", 3)
+    path = str(packing.default_tokenizer())
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}" for i in range(600)]
+    texts = [" ".join(words), " ".join(reversed(words)), None]
+    got = [np.frombuffer(x, "<u2").tolist() for x in packing.Coder(path, "<u2").texts(texts)]
+    assert got == [Tokenizer.from_file(path).encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
 def test_mixture_is_near_its_targets(spark, odd):
