@@ -33,7 +33,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences."""
-    return packing.with_crc(packing.pack(docs, str(packing.default_tokenizer())))
+    return packing.pack(docs, str(packing.default_tokenizer()), digest=True)
 
 
 STAGES = [
