@@ -1,26 +1,36 @@
 """N-gram Jaccard join with PartEnum signatures.
 
 A document's set holds the hashes of its distinct 5-word shingles. Two sets link when their Jaccard similarity is at
-least `percent` / 100, which bounds their Hamming distance by k for sets of one size band. The shingle domain is cut into
-n1 > k parts by a hash; two sets that differ in at most k shingles agree on at least n1 - k parts, so they share the
-signature of at least one of them. (This is PartEnum with subsets of size one on the second level.) A set makes signatures for its own size
-band and for those of smaller partners.
-
-Empty parts make no signature. A set with more than k non-empty parts agrees with each of its partners on one of those;
-a set with fewer ("sparse") makes a signature of every shingle, and two sparse partners meet there. So no link is lost.
-
-Equal sets are one class, named by a 128-bit digest, and only classes are joined. Signatures are grouped by a shuffle and a
-sort and are read as a stream. Groups of up to `GROUP` classes give all their pairs. For larger ones:
-  1. some groups link all members to one of them, which connects copies that resemble each other (a line of pairs);
-  2. classes in such groups are joined once more on rare shingles only: leaving shingles out never adds to the distance,
-     and a shingle that few classes share keeps groups small; sets that are sparse there meet at every rare shingle;
-  3. what is left shares no rare shingle, so both sets together have at most as many as the distance of a linked pair:
-     such pairs of classes that are still in different components are compared in full.
+least `percent` / 100, which bounds their Hamming distance by k for sets of one size band.
+
+Signatures: the shingle domain (hash values) is cut into n1 = k // 2 + 1 + k // 16 first-level parts of three second-level
+parts each. Of the three, each subset of two makes a signature, the digest of the shingles in them. Sets that differ in
+at most k shingles differ in two or more second-level parts of at most k // 2 first-level parts; in any other
+first-level part they agree on a subset. A set makes signatures for its own size band and for those of smaller partners.
+A first-level part counts for a set if two of its three parts have shingles, as then no subset is empty; a set with at
+most k // 2 such parts ("sparse") also makes a signature of every shingle, and two sparse partners meet there.
+
+Equal sets are one class, named by a 128-bit digest, and only classes are joined. Groups of up to GROUP classes with one
+signature give all their pairs. Of a larger group only its members are noted. A class is settled if so few of its parts
+are in large groups that each of its partners must share a small one; pairs that can be missing have both sides open.
+Open classes are those made up of shingles that many classes share: families of near copies, long common passages.
+
+Families: the open classes of large groups with the same first member form a family (later: of groups with the same first
+members). Each set in it is replaced by its
+symmetric difference D with the family's pivot, the set of shingles that most of a bounded sample of members have. Any
+pivot keeps all distances, so this one loses no link, but common shingles cancel out. With excess(A) = |D(A)| -
+|A| (100 - percent) / (100 + percent), two members with excess(A) + excess(B) <= 0 are similar for certain, and if any
+such pair exists, both are similar to the member of least excess: a star links them all without a comparison. Every
+other similar pair shares an element of D. Families of up to FAMILY members are compared at once on their small sets D. In larger
+ones members outside the star meet the rest by the elements of D, in groups like those above; what is open then forms
+smaller families, until nothing is left. A group of the next round shares an element that its family's pivot lacks, so
+families shrink from round to round.
+
 Every candidate is checked exactly on the sets, and links become components by star contraction.
 
 Edge cases: null texts and texts without words have empty sets and link with nothing; fewer than 5 words are one shingle;
 rows with equal ids are one node; rows without id take the component of their equal texts, null if these have no id
-either; very long texts are ordinary sets; an empty table gives an empty result.
+either; very long texts are ordinary sets; further columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,21 +40,28 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import release, small, stored, table
+from .common import small, stored, table
 from .components import components
-from .hashing import mix, ranges, windows, word_hashes, RUN
+from .hashing import RUN, mix, ranges, windows, word_hashes
 
 SHINGLE, PERCENT = 5, 80
-#: Groups of more classes are large; a shingle of more of the large groups' classes is common.
-GROUP, RARE = 16, 16
-#: One in so many large groups links its members to one of them.
-STARS = 8
+#: Groups of more classes are large.
+GROUP = 16
+#: Members of a family that make its pivot; a family of at most so many members is compared in full in one place.
+SAMPLE, FAMILY = 32, 128
+#: Classes that a task remembers to make their signatures once.
 SEEN = 200_000
-#: Cells of a sketch; at most so many sketches are broadcast.
-SKETCH, BROADCAST_SKETCHES = 128, 100_000
+#: Cells of a sketch; at most so many sketches are broadcast; pivots of a family are broadcast up to so many bytes.
+SKETCH, BROADCAST_SKETCHES, BROADCAST_PIVOTS = 128, 100_000, 32 << 20
+#: A signature: 37 bits of a digest, 7 of the band, 20 of the first-level part (or ELEMENT for a single shingle).
+BAND_AT, BAND_BITS, ELEMENT = 20, 7, (1 << 20) - 1
+MOST_ROUNDS = 60
+
+U64 = np.uint64
+LEFT, RIGHT, PLACE = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0x165667B19E3779F9)
 
 
 def shingle_set(words: np.ndarray, n: int = SHINGLE) -> np.ndarray:
@@ -59,8 +76,13 @@ def shingle_set(words: np.ndarray, n: int = SHINGLE) -> np.ndarray:
 def digest(s: np.ndarray) -> tuple[int, int]:
     """128 bits that name a set."""
     with np.errstate(over="ignore"):
-        a, b = mix(s + np.uint64(1)).sum(dtype=np.uint64), mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
-    return int(a.view(np.int64)), int((b ^ np.uint64(len(s))).view(np.int64))
+        a, b = mix(s + U64(1)).sum(dtype=np.uint64), mix(s ^ U64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
+    return int(a.view(np.int64)), int((b ^ U64(len(s))).view(np.int64))
+
+
+def most_distance(size: int, percent: int = PERCENT) -> int:
+    """The largest distance of a set of this size from a partner that is no smaller."""
+    return (size + size * 100 // percent) * (100 - percent) // (100 + percent)
 
 
 @lru_cache(maxsize=None)
@@ -70,32 +92,50 @@ def bands(upto: int, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
     while at <= upto:
         top = at * 100 // percent
         low.append(at)
-        k.append((top + top * 100 // percent) * (100 - percent) // (100 + percent))
+        k.append(most_distance(top, percent))
         at = top + 1
     return np.array(low), np.array(k)
 
 
-def signatures(s: np.ndarray, percent: int = PERCENT, spread: float = 0.0, size: int | None = None) -> tuple[np.ndarray, bool]:
-    """Signatures of a set, and if it was sparse in one of its bands. size: of the whole set, if s is a part of it."""
-    size = len(s) if size is None else size
-    low, ks = bands(1 << size.bit_length(), percent)
+def signatures(s: np.ndarray, percent: int = PERCENT, made: bool = True) -> tuple[np.ndarray, int, list[int]]:
+    """Signatures of a sorted set; its first band; and for each band how many of its parts must be in large groups to leave
+    it open. made=False leaves the signatures out."""
+    size = len(s)
+    low, ks = bands(1 << max(1, size.bit_length()), percent)
     last = int(np.searchsorted(low, size, side="right")) - 1
     first = int(np.searchsorted(low, -(-size * percent // 100), side="right")) - 1
-    out, sparse = [], False
+    out, needs = [], []
+    mixed, high = mix(s ^ LEFT) if made else s, s >> U64(32)
     for band in range(first, last + 1):
         k = int(ks[band])
-        parts = int((k + 1) * spread) if spread else k + 2 + k // 8
-        part = (mix(s ^ np.uint64(0xC2B2AE3D27D4EB4F + 7 * band)) % np.uint64(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        p = part[order]
-        starts = np.flatnonzero(np.diff(p, prepend=-1))
-        if len(starts):
-            sums = np.add.reduceat(mix(s[order] + np.uint64(band)), starts)
-            out.append(mix(sums ^ mix((p[starts] * 4096 + band).astype(np.uint64))))
-        if len(starts) <= k:
-            sparse = True
-            out.append(mix(s ^ np.uint64(0x27D4EB2F165667C5 + 13 * band)))
-    return (np.concatenate(out) if out else np.empty(0, dtype=np.uint64)), sparse
+        if k == 0:  # only equal sets are so close, and they are one class
+            needs.append(1)
+            continue
+        n1 = k // 2 + 1 + k // 16
+        cell = (high * U64(3 * n1) >> U64(32)).astype(np.int64)  # ascending, as s is sorted
+        starts = np.flatnonzero(np.diff(cell, prepend=-1))
+        at = cell[starts]
+        counted = int((np.bincount(at // 3, minlength=n1) >= 2).sum())
+        sparse = counted <= k // 2
+        needs.append(1 if sparse or n1 >= ELEMENT else counted - k // 2)
+        if made:
+            sums = np.zeros(3 * n1, dtype=np.uint64)
+            sums[at] = mix(np.add.reduceat(mixed, starts) + U64(band)) | U64(1)
+            part = np.arange(n1, dtype=np.uint64)
+            tail = U64(band << BAND_AT) | np.minimum(part, U64(ELEMENT - 1))
+            three = sums.reshape(n1, 3)
+            for j, (a, b) in enumerate(((1, 2), (0, 2), (0, 1))):
+                x, y = three[:, a], three[:, b]
+                some = np.flatnonzero((x != 0) | (y != 0))
+                out.append(sealed(mix(x[some] * LEFT + y[some] * RIGHT + (part[some] * U64(3) + U64(j)) * PLACE), tail[some]))
+            if sparse:
+                out.append(sealed(mix(mixed + U64(band)), U64(band << BAND_AT | ELEMENT)))
+    return (np.concatenate(out) if out else np.empty(0, dtype=np.uint64)), first, needs
+
+
+def sealed(h: np.ndarray, tail: np.ndarray) -> np.ndarray:
+    """A digest with band and part in its lowest bits."""
+    return (h & ~U64((1 << BAND_AT + BAND_BITS) - 1)) | tail
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
@@ -110,18 +150,18 @@ def sets_of(batch: pd.Series, n: int = SHINGLE) -> Iterator[np.ndarray]:
         yield shingle_set(words, n)
 
 
-def membership(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, c1, c2, n, sketch): each document's class, set size and sketch."""
+def membership(df: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+    """(doc, c1, c2, n, sketch, band, needs): each document's class, set size, sketch, and what leaves it open."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(*digest(s), len(s), sketch(s).tobytes()) for s in sets_of(b["text"])]
-            out = pd.DataFrame(rows, columns=["c1", "c2", "n", "sketch"])
+            rows = [(*digest(s), len(s), sketch(s).tobytes(), *signatures(s, percent, made=False)[1:]) if len(s) else (0, 0, 0, b"", 0, []) for s in sets_of(b["text"])]
+            out = pd.DataFrame(rows, columns=["c1", "c2", "n", "sketch", "band", "needs"])
             out.insert(0, "doc", b["doc"].array)
             yield out
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).mapInPandas(run, f"doc {kind}, c1 long, c2 long, n long, sketch binary")
+    return df.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).mapInPandas(run, f"doc {kind}, c1 long, c2 long, n long, sketch binary, band int, needs array<int>")
 
 
 def signature_rows(df: DataFrame, text_col: str, percent: int) -> DataFrame:
@@ -130,7 +170,7 @@ def signature_rows(df: DataFrame, text_col: str, percent: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
         for b in batches:
-            sigs, classes = [], []
+            sigs, classes, total = [], [], 0
             for s in sets_of(b["text"]):
                 c = digest(s)[0]
                 if len(s) and c not in seen:
@@ -139,9 +179,10 @@ def signature_rows(df: DataFrame, text_col: str, percent: int) -> DataFrame:
                     seen.add(c)
                     sigs.append(signatures(s, percent)[0])
                     classes.append(c)
-                if len(sigs) >= 500:
+                    total += len(sigs[-1])
+                if total >= 200_000:
                     yield rows_of(sigs, classes)
-                    sigs, classes = [], []
+                    sigs, classes, total = [], [], 0
             yield rows_of(sigs, classes)
 
     return df.select(F.col(text_col).alias("text")).mapInPandas(run, "sig long, cls long")
@@ -152,60 +193,164 @@ def rows_of(sigs: list[np.ndarray], classes: list[int]) -> pd.DataFrame:
     return pd.DataFrame({"sig": flat.view(np.int64), "cls": np.repeat(np.array(classes, dtype=np.int64), [len(s) for s in sigs])})
 
 
-def grouped_pairs(rows: DataFrame, group: int, stars: int) -> DataFrame:
-    """(a, b, large): pairs of classes from the groups of rows (sig, cls); large rows say that class a is in large group b.
+def grouped(rows: DataFrame) -> DataFrame:
+    """From rows (sig, cls) or (sig, cls, fam, outer): the pairs of small groups as (a, b, 0, 0, false), and the members of
+    large groups as (a, b, fam, sig, true), where b names the group: its first member. With outer, only pairs and groups with an
+    outer member count, and b is a hash of the first members, so that only alike groups have one name.
 
-    The groups' rows arrive next to each other, in an order that differs from group to group. A group is held up to `group`
-    classes; then it is large, and later members pass by one at a time.
+    A group's rows arrive next to each other, outer ones first, and are held up to GROUP classes; then the group is large, and later
+    members pass by one at a time.
     """
+    marked = "outer" in rows.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sig, held, large = None, [], False
+        sig, held, large, name, out = None, [], False, 0, []
+
+        def pairs() -> list[tuple]:
+            return [] if large else [(x, y, 0, 0, False) for i, (x, _, o) in enumerate(held) for y, _, p in held[:i] if o or p]
 
-        def pairs() -> list[tuple[int, int, bool]]:
-            return [(x, y, False) for i, x in enumerate(held) for y in held[:i]] if not large else []
+        def frame(found: list[tuple]) -> pd.DataFrame:
+            return pd.DataFrame(found, columns=["a", "b", "fam", "sig", "large"])
 
         for b in batches:
             s, c = b["sig"].to_numpy(), b["cls"].to_numpy()
             if not len(s):
                 continue
-            fresh = np.r_[True, (s[1:] != s[:-1]) | (c[1:] != c[:-1])]
+            fresh = np.flatnonzero(np.r_[True, (s[1:] != s[:-1]) | (c[1:] != c[:-1])])
             s, c = s[fresh], c[fresh]
+            f = b["fam"].to_numpy()[fresh] if marked else np.zeros(len(s), dtype=np.int64)
+            o = b["outer"].to_numpy()[fresh] if marked else np.ones(len(s), dtype=bool)
             starts = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
             ends = np.r_[starts[1:], len(s)]
-            out: list[tuple[int, int, bool]] = []
             live = (ends - starts > 1) | (starts == 0) | (ends == len(s))
             for lo, hi in zip(starts[live].tolist(), ends[live].tolist(), strict=True):
                 if sig is None or s[lo] != sig:
                     out += pairs()
-                    sig, held, large = s[lo], [], False
-                for x in c[lo:hi].tolist():
+                    sig, held, large = int(s[lo]), [], False
+                for x in zip(c[lo:hi].tolist(), f[lo:hi].tolist(), o[lo:hi].tolist(), strict=True):
+                    if held and not held[0][2]:
+                        break  # no outer member
                     if large:
-                        out.append((x, int(sig), True))
-                        if sig % stars == 0 and x != held[0]:
-                            out.append((x, held[0], False))
-                    elif not held or x != held[-1]:
+                        out.append((x[0], name, x[1], sig, True))
+                    elif not held or x[0] != held[-1][0]:
                         held.append(x)
-                        if len(held) > group:
+                        if len(held) > GROUP:
                             large = True
-                            out += [(y, int(sig), True) for y in held]
-                            if sig % stars == 0:
-                                out += [(y, held[0], False) for y in held[1:]]
+                            name = hash(tuple(y[0] for y in held)) if marked else held[0][0]
+                            out += [(y[0], name, y[1], sig, True) for y in held]
                             held = held[:1]
                 if len(out) >= 20_000:
-                    yield pd.DataFrame(out, columns=["a", "b", "large"])
+                    yield frame(out)
                     out = []
-            yield pd.DataFrame(out, columns=["a", "b", "large"])
-        yield pd.DataFrame(pairs(), columns=["a", "b", "large"])
+        yield frame(out + pairs())
+
+    order = ["sig", F.desc("outer"), "cls"] if marked else ["sig", "cls"]
+    return stored(rows.repartition("sig").sortWithinPartitions(*order).mapInPandas(run, "a long, b long, fam long, sig long, large boolean"), "groups")
+
+
+def open_classes(large: DataFrame, member: DataFrame) -> DataFrame:
+    """(to, fam, cls): the open classes with the families that they go to; fam is 0. large: members of large groups."""
+    band, part = F.shiftright("sig", BAND_AT).bitwiseAND(F.lit((1 << BAND_BITS) - 1)), F.col("sig").bitwiseAND(F.lit(ELEMENT))
+    hot = large.groupBy(F.col("a").alias("c1"), band.cast("int").alias("at")).agg(F.size(F.collect_set(part)).alias("hot"), F.collect_set("b").alias("firsts"))
+    known = member.join(large.select(F.col("a").alias("c1")).distinct(), "c1", "left_semi").groupBy("c1").agg(F.first("band").alias("band"), F.first("needs").alias("needs"))
+    left = hot.join(known, "c1").filter(F.col("hot") >= F.coalesce(F.try_element_at("needs", F.col("at") - F.col("band") + 1), F.lit(1)))
+    return left.select(F.explode("firsts").alias("to"), F.lit(0).cast("long").alias("fam"), F.col("c1").alias("cls")).distinct()
+
+
+def in_order(df: DataFrame, key: str) -> DataFrame:
+    return df.repartition(key).sortWithinPartitions(key)
+
+
+def refined(to: DataFrame, items: DataFrame, percent: int) -> DataFrame:
+    """The members of new families, (to, fam, cls), with the differences of their sets, items (fam, cls, n, d, excess, set), from
+    their new pivots: items of the families `to`."""
+    slot = F.pmod(F.xxhash64("cls", "to"), F.lit(SAMPLE))
+    chosen = to.groupBy("to", "fam", slot.alias("slot")).agg(F.min("cls").alias("cls"))
+
+    def majority(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, held = None, []
+
+        def pivot() -> pd.DataFrame:
+            x, n = np.unique(np.concatenate(held), return_counts=True)
+            return pd.DataFrame({"to": [key], "pivot": [x[2 * n > len(held)].tobytes()]})
+
+        for b in batches:
+            for k, s in zip(b["to"].tolist(), b["set"], strict=True):
+                if k != key and held:
+                    yield pivot()
+                    held = []
+                key = k
+                held.append(np.frombuffer(s, dtype="<u8"))
+        if held:
+            yield pivot()
+
+    def apart(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            sets = [np.setxor1d(np.frombuffer(s, dtype="<u8"), np.frombuffer(p, dtype="<u8"), assume_unique=True) for s, p in zip(b["set"], b["pivot"], strict=True)]
+            d = np.array([len(s) for s in sets], dtype=np.int64)
+            yield pd.DataFrame({"fam": b["to"], "cls": b["cls"], "n": b["n"], "d": d, "excess": d * (100 + percent) - b["n"] * (100 - percent), "set": [s.tobytes() for s in sets]})
 
-    near = rows.repartition("sig").sortWithinPartitions("sig", F.xxhash64("cls", "sig"), "cls")
-    found = near.mapInPandas(run, "a long, b long, large boolean")
-    return stored(found.select(F.when(F.col("large"), F.col("a")).otherwise(F.greatest("a", "b")).alias("a"), F.when(F.col("large"), F.col("b")).otherwise(F.least("a", "b")).alias("b"), "large").distinct(), "pairs")
+    pivots = stored(in_order(chosen.join(items, ["fam", "cls"]).select("to", "set"), "to").mapInPandas(majority, "to long, pivot binary"), "pivots")
+    light = (pivots.agg(F.sum(F.length("pivot") + 16)).first()[0] or 0) <= BROADCAST_PIVOTS
+    joined = to.join(items, ["fam", "cls"]).join(F.broadcast(pivots) if light else pivots, "to")
+    return stored(joined.mapInPandas(apart, "fam long, cls long, n long, d long, excess long, set binary"), "items")
+
+
+def within_families(items: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of items: certain links (a, b), candidate pairs (a, b), and what is open as (to, fam, cls)."""
+    ends = items.groupBy("fam").agg(F.min(F.struct("excess", "cls")).alias("least"), F.max("excess").alias("most"), F.count(F.lit(1)).alias("members")).filter("members > 1")
+    star = items.join(small(stored(ends, "ends")), "fam").withColumn("outer", F.col("excess") + F.col("least.excess") > 0)
+    sure = star.filter("not outer").filter(F.col("cls") != F.col("least.cls")).select(F.col("cls").alias("a"), F.col("least.cls").alias("b"))
+    far = F.col("n") + F.floor(F.col("n") * 100 / percent)
+    need = F.greatest(F.lit(1), F.col("d") - F.floor(far * (100 - percent) / (100 + percent)))
+
+    def elements(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for lo in range(0, len(b), 200):
+                some = b.iloc[lo : lo + 200]
+                sets = [mix(np.frombuffer(s, dtype="<u8") ^ mix(np.array([f], dtype=np.int64).view(np.uint64))) for s, f in zip(some["set"], some["fam"].tolist(), strict=True)]
+                size = [len(s) for s in sets]
+                yield pd.DataFrame({"sig": np.concatenate(sets).view(np.int64), **{c: np.repeat(some[c].to_numpy(), size) for c in ("cls", "fam", "outer")}})
+
+    def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, held = None, []
+
+        def links() -> pd.DataFrame:
+            cls, n, outer, sets = (list(x) for x in zip(*held, strict=True))
+            flat, at = np.unique(np.concatenate(sets), return_inverse=True)
+            has = np.zeros((len(sets), len(flat)), dtype=np.float32)
+            has[np.repeat(np.arange(len(sets)), [len(x) for x in sets]), at] = 1
+            d, n, outer, cls = has.sum(axis=1).astype(np.int64), np.array(n), np.array(outer), np.array(cls)
+            apart = d[:, None] + d - 2 * np.rint(has @ has.T).astype(np.int64)
+            near = (apart * (100 + percent) <= (n[:, None] + n) * (100 - percent)) & (outer[:, None] | outer)
+            i, j = np.nonzero(np.tril(near, -1))
+            return pd.DataFrame({"a": cls[i], "b": cls[j]})
+
+        for b in batches:
+            for k, c, n, o, x in zip(b["fam"].tolist(), b["cls"].tolist(), b["n"].tolist(), b["outer"].tolist(), b["set"], strict=True):
+                if k != key and held:
+                    yield links()
+                    held = []
+                key = k
+                held.append((c, n, o, np.frombuffer(x, dtype="<u8")))
+        if held:
+            yield links()
+
+    live = star.filter(F.col("most") + F.col("least.excess") > 0)
+    few = live.filter(F.col("members") <= FAMILY).select("fam", "cls", "n", "outer", "set")
+    sure = sure.unionByName(stored(in_order(few, "fam").mapInPandas(compared, "a long, b long"), "near"))
+    live = live.filter(F.col("members") > FAMILY)
+    found = grouped(live.select("set", "cls", "fam", "outer").mapInPandas(elements, "sig long, cls long, fam long, outer boolean"))
+    hot = found.filter("large").groupBy("fam", F.col("a").alias("cls")).agg(F.count(F.lit(1)).alias("hot"), F.collect_set("b").alias("firsts"))
+    hot = stored(hot.join(live.select("fam", "cls", "outer", need.alias("need")), ["fam", "cls"]), "hot")
+    kept = hot.filter(F.col("outer") & (F.col("hot") >= F.col("need"))).select("fam", F.explode("firsts").alias("first")).distinct()
+    to = hot.select("fam", "cls", F.explode("firsts").alias("first")).join(kept, ["fam", "first"], "left_semi")
+    return sure, found.filter("not large").select("a", "b"), to.select(F.xxhash64("fam", "first").alias("to"), "fam", "cls").distinct()
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
     """Shingles counted in SKETCH cells, up to 255. The cells' differences add up to no more than the sets' distance."""
-    return np.minimum(np.bincount((mix(s ^ np.uint64(0x165667B19E3779F9)) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH), 255).astype(np.uint8)
+    return np.minimum(np.bincount((s >> U64(20) & U64(SKETCH - 1)).astype(np.int64), minlength=SKETCH), 255).astype(np.uint8)
 
 
 def sets_for(docs: DataFrame, need: DataFrame) -> DataFrame:
@@ -223,6 +368,12 @@ def sets_for(docs: DataFrame, need: DataFrame) -> DataFrame:
     return docs.join(small(need), "node").mapInPandas(load, f"node {kind}, c1 long, n long, shingles binary")
 
 
+def chosen_classes(member: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, c1, c2, n, sketch) of the classes in wanted (c1)."""
+    chosen = small(stored(nodes.join(wanted.distinct(), "c1"), "chosen"))
+    return stored(member.withColumnRenamed("doc", "node").join(chosen, ["node", "c1", "c2"]).select("node", "c1", "c2", "n", "sketch").dropDuplicates(["node", "c1", "c2"]), "classes")
+
+
 def checked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Those of pairs (a, b) of classes whose sets are similar, as (a, b) of nodes. Sizes and sketches, which are small, rule
     out most pairs; only sets of classes in a pair that is left are made again from their texts and shuffled."""
@@ -248,84 +399,48 @@ def checked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int)
     sets = sets_for(docs, stored(ends[0].union(ends[1]).distinct(), "need"))
     left, right = (sets.select(F.col("c1").alias(x), F.col("node").alias(f"node_{x}"), F.col("shingles").alias(f"set_{x}")) for x in "ab")
     whole = close.select("a", "b", "node_a", "node_b").join(left, ["a", "node_a"]).join(right, ["b", "node_b"])
-    links = stored(whole.filter(same("set_a", "set_b")).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), "links")
-    return links
+    return stored(whole.filter(same("set_a", "set_b")).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), "links")
 
 
-def second_pass(classes: DataFrame, docs: DataFrame, large: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs from rare shingles of the classes in large groups, and (a, m, n) of classes a that may link without sharing
-    one: those with so few rare shingles (m of n) that they are within the distance of a pair."""
-    need = stored(classes.select("node", "c1", "c2").join(large.select(F.col("a").alias("c1")).distinct(), "c1", "left_semi"), "need")
-    member = stored(sets_for(docs, need), "large")
-
-    def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            s = [np.frombuffer(x, dtype="<i8") for x in b["shingles"]]
-            yield pd.DataFrame({"x": np.concatenate(s) if s else np.empty(0, dtype=np.int64), "c1": np.repeat(b["c1"].to_numpy(), [len(v) for v in s])})
-
-    each = member.mapInPandas(shingles, "x long, c1 long")
-    rare = each.groupBy("x").count().filter(F.col("count") <= RARE).select("x")
-    kept = each.join(rare, "x").groupBy("c1").agg(F.collect_list("x").alias("rare"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            sigs, classes, rest, sizes, left = [], [], [], [], []
-            for c, n, x in zip(b["c1"].tolist(), b["n"].tolist(), b["rare"], strict=True):
-                some = np.unique(np.asarray(x if x is not None else [], dtype=np.int64).view(np.uint64))
-                made, sparse = signatures(some, percent, spread=3.0, size=n)
-                sigs.append(made)
-                classes.append(c)
-                if sparse and len(some) * (100 + percent) <= (n + n * 100 // percent) * (100 - percent):
-                    rest.append(c)
-                    sizes.append(n)
-                    left.append(len(some))
-            out = rows_of(sigs, classes)
-            few = pd.DataFrame({"sig": np.array(left, dtype=np.int64), "cls": np.array(rest, dtype=np.int64), "n": np.array(sizes, dtype=np.int64)})
-            yield pd.concat([out.assign(n=-1), few])
-
-    made = stored(member.select("c1", "n").join(kept, "c1", "left").mapInPandas(run, "sig long, cls long, n long"), "rare")
-    pairs = grouped_pairs(made.filter("n < 0").select("sig", "cls"), RARE, STARS).filter("not large").select("a", "b")
-    return pairs, made.filter("n >= 0").select(F.col("cls").alias("a"), F.col("sig").alias("m"), "n")
+def ordered_pairs(pairs: DataFrame) -> DataFrame:
+    low: Column = F.least("a", "b")
+    return pairs.select(F.greatest("a", "b").alias("a"), low.alias("b")).distinct()
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """(id, n_shingles, component_id) for each row of df."""
-    member = stored(membership(df, id_col, text_col), "member")
+    member = stored(membership(df, id_col, text_col, percent), "member")
     nodes = member.filter("n > 0 and doc is not null").groupBy("c1", "c2").agg(F.min("doc").alias("node"))
-    found = grouped_pairs(signature_rows(df, text_col, percent), GROUP, STARS)
-    pairs, large = found.filter("not large").select("a", "b"), found.filter("large").select("a", "b")
-    wanted = pairs.select(F.col("a").alias("c1")).union(pairs.select(F.col("b").alias("c1"))).union(large.select(F.col("a").alias("c1"))).distinct()
-    chosen = small(stored(nodes.join(wanted, "c1").withColumnRenamed("node", "doc"), "chosen"))
-    classes = stored(member.join(chosen, ["doc", "c1", "c2"]).dropDuplicates(["doc", "c1", "c2"]).withColumnRenamed("doc", "node"), "classes")
     docs = df.select(F.col(id_col).alias("node"), F.col(text_col).alias("text"))  # equal rows only repeat links
-    release(df.sparkSession)
-    links = checked(pairs, classes, docs, percent)
-    if not large.isEmpty():
-        release(df.sparkSession)
-        more, few = second_pass(classes, docs, large, percent)
-        release(df.sparkSession)
-        links = stored(links.unionByName(checked(more, classes, docs, percent)), "links")
-        links = links.unionByName(checked(leftover(large, few, classes, components(links), percent), classes, docs, percent))
-        release(df.sparkSession)
+    found = grouped(signature_rows(df, text_col, percent))
+    pairs, sure = found.filter("not large").select("a", "b"), None
+    to = stored(open_classes(found.filter("large"), member), "open")
+    for round_ in range(MOST_ROUNDS):
+        if to.isEmpty():
+            break
+        if round_ == 0:
+            classes = chosen_classes(member, nodes, to.select(F.col("cls").alias("c1")))
+            sets = sets_for(docs, classes.select("node", "c1", "c2")).dropDuplicates(["c1"])
+            items = stored(sets.select(F.lit(0).cast("long").alias("fam"), F.col("c1").alias("cls"), "n", F.col("shingles").alias("set")), "sets")
+        items = refined(to, items, percent)
+        certain, more, to = within_families(items, percent)
+        sure = certain if sure is None else sure.unionByName(certain)
+        pairs, to = pairs.unionByName(more), stored(to, "open")
+    else:
+        raise RuntimeError("families did not settle")
+    pairs = stored(ordered_pairs(pairs), "pairs")
+    known = pairs.select(F.explode(F.array("a", "b")).alias("c1"))
+    links = checked(pairs, chosen_classes(member, nodes, known), docs, percent)
+    if sure is not None:
+        named = nodes.select("c1", "node")
+        sure = stored(ordered_pairs(sure), "sure")
+        links = links.unionByName(sure.join(named.withColumnsRenamed({"c1": "a", "node": "node_a"}), "a").join(named.withColumnsRenamed({"c1": "b", "node": "node_b"}), "b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
     named = components(links).withColumnRenamed("component", "label")
     labels = nodes.join(named, "node", "left").select("c1", "c2", F.coalesce("label", "node").alias("component_id"))
     out = member.join(labels, ["c1", "c2"], "left")
     return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc")).alias("component_id"))
 
 
-def leftover(large: DataFrame, few: DataFrame, classes: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes that share a large group, are in different components, and have so few rare shingles together that
-    they could link without sharing one."""
-    nodes = classes.select(F.col("c1").alias("a"), "node").join(few, "a")
-    placed = large.join(nodes, "a").join(comps, "node", "left").select("b", "a", "m", "n", F.coalesce("component", "node").alias("comp"))
-    mixed = placed.groupBy("b").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("b")
-    rest = stored(placed.join(mixed, "b").distinct(), "rest")
-    other = rest.select("b", *(F.col(c).alias(f"{c}2") for c in ("a", "m", "n", "comp")))
-    near = (F.col("m") + F.col("m2")) * (100 + percent) <= (F.col("n") + F.col("n2")) * (100 - percent)
-    found = rest.join(other, (rest["b"] == other["b"]) & (F.col("comp") < F.col("comp2")) & near)
-    return found.select(F.greatest("a", "a2").alias("a"), F.least("a", "a2").alias("b")).distinct()
-
-
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """df with one row, that of the smallest id, of each component; columns unchanged.
 

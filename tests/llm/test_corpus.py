@@ -330,40 +330,79 @@ def test_keep_one_loses_no_distinct_document(spark):
     assert sorted((r.doc_id or 0, " ".join(r.text.split())) for r in kept) == [(0, "nine ten"), (0, "seven eight"), (1, "four five six"), (1, "one two three")]
 
 
-def test_ngram_join_large_groups(spark, monkeypatch):
-    for k, v in {"GROUP": 4, "RARE": 4, "STARS": 2}.items():
-        monkeypatch.setattr(ngram_join, k, v)
-    rng = random.Random(4)
-    voc = [f"w{i}" for i in range(3000)]
-    passage, base, docs = rng.choices(voc, k=60), rng.choices(voc, k=80), []
-    for _ in range(30):
-        docs.append(passage + rng.choices(voc, k=rng.choice([2, 5, 9, 15, 30, 60])))
-        x = list(base)
-        for _ in range(rng.choice([0, 1, 1, 2, 3])):
-            x[rng.randrange(80)] = rng.choice(voc)
-        docs.append(x)
-    rows = [(i, " ".join(d)) for i, d in enumerate(docs)]
-    got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).toPandas().sort_values("doc_id")
-    sets = [{tuple(d[i : i + 5]) for i in range(len(d) - 4)} for d in docs]
-    near = [(i, j) for i in range(len(docs)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+def brute_components(docs):
+    """Component of each list of words by comparing all pairs."""
+    sets = [{tuple(d[i : i + 5]) for i in range(max(1, len(d) - 4))} if d else set() for d in docs]
     label = list(range(len(docs)))
+    near = [(i, j) for i in label for j in range(i) if sets[i] & sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
     for _ in docs:
+        before = list(label)
         for i, j in near:
             label[i] = label[j] = min(label[i], label[j])
+        if before == label:
+            break
+    return label, sets
+
+
+def near_copies(rng, voc, n, words, edits):
+    """Copies of one text with few words replaced, in families: also copies of copies."""
+    base, out = rng.choices(voc, k=words), []
+    for _ in range(n):
+        x = list(rng.choice(out)) if out and rng.random() < 0.3 else list(base)
+        for _ in range(rng.choice(edits)):
+            x[rng.randrange(words)] = rng.choice(voc)
+        out.append(x)
+    return out
+
+
+@pytest.mark.parametrize("group, sample, family, seed", [(4, 32, 12, 1), (5, 16, 128, 2)])
+def test_ngram_join_large_groups(spark, monkeypatch, group, sample, family, seed):
+    monkeypatch.setattr(ngram_join, "GROUP", group)
+    monkeypatch.setattr(ngram_join, "SAMPLE", sample)
+    monkeypatch.setattr(ngram_join, "FAMILY", family)
+    rng = random.Random(seed)
+    voc = [f"w{i}" for i in range(3000)]
+    passage, second = rng.choices(voc, k=60), rng.choices(voc, k=40)
+    docs = [passage + rng.choices(voc, k=rng.choice([2, 5, 9, 15, 30, 60])) for _ in range(30)]
+    docs += [passage + second + rng.choices(voc, k=rng.choice([3, 8, 14])) for _ in range(20)]
+    docs += near_copies(rng, voc, 50, 80, [0, 1, 1, 2, 3]) + near_copies(rng, voc, 40, 120, [2, 3, 4, 5]) + near_copies(rng, voc, 30, 12, [0, 0, 1, 1, 2])
+    versions = [rng.choices(voc, k=25) for _ in range(3)]
+    body = rng.choices(voc, k=100)
+    docs += [body[:50] + rng.choice(versions) + body[50:] + rng.choices(voc, k=rng.choice([1, 4, 10])) for _ in range(40)]
+    rng.shuffle(docs)
+    got = ngram_join.jaccard_components(spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")).toPandas().sort_values("doc_id")
+    label, sets = brute_components(docs)
     assert list(got["component_id"]) == label and list(got["n_shingles"]) == [len(s) for s in sets]
 
 
 def test_signatures_lose_no_pair():
     rng = np.random.default_rng(0)
-    for n in (1, 2, 4, 5, 9, 30, 200):
+    for n in (5, 6, 9, 30, 200, 900):
         for _ in range(60):
-            a = rng.integers(0, 2**63, n).astype(np.uint64)
-            b = np.r_[a[: n - int(rng.integers(0, n // 5 + 1))], rng.integers(0, 2**63, int(rng.integers(0, n // 5 + 1))).astype(np.uint64)]
+            a = rng.integers(0, 2**64, n, dtype=np.uint64)
+            b = np.r_[a[: n - int(rng.integers(0, n // 5 + 1))], rng.integers(0, 2**64, int(rng.integers(0, n // 5 + 1)), dtype=np.uint64)]
             a, b = np.unique(a), np.unique(b)
             if len(b) and ngram_join.similar(a, b):
                 assert set(ngram_join.signatures(a)[0]) & set(ngram_join.signatures(b)[0])
 
 
+def test_settled_sets_meet_outside_of_large_groups():
+    """Of a set's parts any `need - 1` may be in large groups: each partner still shares another one."""
+    rng = np.random.default_rng(1)
+    for n in (40, 200, 900):
+        for _ in range(40):
+            a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+            cut = int(rng.integers(0, n // 9 + 1))
+            b = np.unique(np.r_[a[rng.permutation(n)[cut:]], rng.integers(0, 2**64, cut, dtype=np.uint64)])
+            if not ngram_join.similar(a, b) or len(a) == len(np.intersect1d(a, b)) == len(b):
+                continue
+            sa, first, needs = ngram_join.signatures(a)
+            both = np.intersect1d(sa, ngram_join.signatures(b)[0])
+            band = int(np.searchsorted(ngram_join.bands(2048)[0], min(len(a), len(b)), side="right")) - 1
+            shared = {int(x) & ngram_join.ELEMENT for x in both if int(x) >> ngram_join.BAND_AT & 127 == band}
+            assert len(shared) >= needs[band - first]
+
+
 def test_components(spark):
     links = spark.createDataFrame([(1, 2), (2, 3), (9, 8), (7, 8), (3, 10), (5, 5)], "a long, b long")
     got = {r.node: r.component for r in components.components(links).collect()}
