@@ -3,7 +3,7 @@
 A document's set holds the hashes of its distinct 5-word shingles. Two sets link when their Jaccard similarity is at
 least `percent` / 100, which bounds their Hamming distance by k for sets of one size band.
 
-Signatures: the shingle domain (hash values) is cut into n1 = k // 2 + 1 + k // 16 first-level parts of three second-level
+Signatures: the shingle domain (hash values) is cut into n1 = k // 2 + 1 + k // 12 first-level parts of three second-level
 parts each. Of the three, each subset of two makes a signature, the digest of the shingles in them. Sets that differ in
 at most k shingles differ in two or more second-level parts of at most k // 2 first-level parts; in any other
 first-level part they agree on a subset. A set makes signatures for its own size band and for those of smaller partners.
@@ -11,20 +11,21 @@ A first-level part counts for a set if two of its three parts have shingles, as
 most k // 2 such parts ("sparse") also makes a signature of every shingle, and two sparse partners meet there.
 
 Equal sets are one class, named by a 128-bit digest, and only classes are joined. Groups of up to GROUP classes with one
-signature give all their pairs. Of a larger group only its members are noted. A class is settled if so few of its parts
+signature give all their pairs. A set all of whose parts count, none of them in a large group, shares 1 + k // 12 parts with
+each partner, so pairs seen in fewer parts go. Of a larger group only its members are noted. A class is settled if so few of its parts
 are in large groups that each of its partners must share a small one; pairs that can be missing have both sides open.
 Open classes are those made up of shingles that many classes share: families of near copies, long common passages.
 
 Families: the open classes of large groups with the same first member form a family (later: of groups with the same first
-members). Each set in it is replaced by its
-symmetric difference D with the family's pivot, the set of shingles that most of a bounded sample of members have. Any
-pivot keeps all distances, so this one loses no link, but common shingles cancel out. With excess(A) = |D(A)| -
-|A| (100 - percent) / (100 + percent), two members with excess(A) + excess(B) <= 0 are similar for certain, and if any
-such pair exists, both are similar to the member of least excess: a star links them all without a comparison. Every
-other similar pair shares an element of D. Families of up to FAMILY members are compared at once on their small sets D. In larger
-ones members outside the star meet the rest by the elements of D, in groups like those above; what is open then forms
-smaller families, until nothing is left. A group of the next round shares an element that its family's pivot lacks, so
-families shrink from round to round.
+members). Each set S is seen by its difference D from the family's pivot, the set of shingles that most of a bounded
+sample of members have. Any pivot keeps all distances, so this one loses no link, but common shingles cancel out. With
+excess(A) = |D(A)| - |A| (100 - percent) / (100 + percent), two members with excess(A) + excess(B) <= 0 are similar for
+certain, and if any such pair exists, both are similar to the member of least excess: a star links them all without a
+comparison. Every other similar pair shares an element of D. Families of up to FAMILY members are compared at once on their
+small sets D. In larger ones members outside the star meet the rest by the elements of D, in groups like those above; what
+is open then forms smaller families, until nothing is left. A group of the next round shares an element that its family's
+pivot lacks, so families shrink from round to round. Shingles that only one open class has are counted, but neither kept
+nor shuffled, as no two sets D share them.
 
 Every candidate is checked exactly on the sets, and links become components by star contraction.
 
@@ -40,7 +41,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import small, stored, table
@@ -49,15 +50,16 @@ from .hashing import RUN, mix, ranges, windows, word_hashes
 
 SHINGLE, PERCENT = 5, 80
 #: Groups of more classes are large.
-GROUP = 16
+GROUP = 8
 #: Members of a family that make its pivot; a family of at most so many members is compared in full in one place.
-SAMPLE, FAMILY = 32, 128
+SAMPLE, FAMILY = 32, 1024
 #: Classes that a task remembers to make their signatures once.
 SEEN = 200_000
 #: Cells of a sketch; at most so many sketches are broadcast; pivots of a family are broadcast up to so many bytes.
 SKETCH, BROADCAST_SKETCHES, BROADCAST_PIVOTS = 128, 100_000, 32 << 20
-#: A signature: 37 bits of a digest, 7 of the band, 20 of the first-level part (or ELEMENT for a single shingle).
-BAND_AT, BAND_BITS, ELEMENT = 20, 7, (1 << 20) - 1
+#: A signature: 37 bits of a digest, 7 of the band, 20 of the first-level part (or ELEMENT for a single shingle). A row with
+#: NEED tells what leaves its class open in that band, in 16 bits.
+BAND_AT, BAND_BITS, ELEMENT, NEED = 20, 7, (1 << 20) - 1, (1 << 20) - 2
 MOST_ROUNDS = 60
 
 U64 = np.uint64
@@ -74,10 +76,10 @@ def shingle_set(words: np.ndarray, n: int = SHINGLE) -> np.ndarray:
 
 
 def digest(s: np.ndarray) -> tuple[int, int]:
-    """128 bits that name a set."""
+    """127 bits that name a set; the lowest of the first 64 is 0."""
     with np.errstate(over="ignore"):
         a, b = mix(s + U64(1)).sum(dtype=np.uint64), mix(s ^ U64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
-    return int(a.view(np.int64)), int((b ^ U64(len(s))).view(np.int64))
+    return int(a.view(np.int64)) & ~1, int((b ^ U64(len(s))).view(np.int64))
 
 
 def most_distance(size: int, percent: int = PERCENT) -> int:
@@ -97,40 +99,60 @@ def bands(upto: int, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
     return np.array(low), np.array(k)
 
 
-def signatures(s: np.ndarray, percent: int = PERCENT, made: bool = True) -> tuple[np.ndarray, int, list[int]]:
+def signatures(s: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, int, list[int]]:
     """Signatures of a sorted set; its first band; and for each band how many of its parts must be in large groups to leave
-    it open. made=False leaves the signatures out."""
+    it open."""
+    first, found = by_band(s, percent)
+    return np.concatenate([x for x, _, _ in found]), first, [n for _, n, _ in found]
+
+
+def by_band(s: np.ndarray, percent: int = PERCENT) -> tuple[int, list[tuple[np.ndarray, int, bool]]]:
+    """The first band, and for each one the signatures, how many parts leave the set open, and if a part does not count."""
     size = len(s)
     low, ks = bands(1 << max(1, size.bit_length()), percent)
     last = int(np.searchsorted(low, size, side="right")) - 1
     first = int(np.searchsorted(low, -(-size * percent // 100), side="right")) - 1
-    out, needs = [], []
-    mixed, high = mix(s ^ LEFT) if made else s, s >> U64(32)
+    found: list[tuple[np.ndarray, int, bool]] = []
+    mixed, high = mix(s ^ LEFT), s >> U64(32)
     for band in range(first, last + 1):
         k = int(ks[band])
         if k == 0:  # only equal sets are so close, and they are one class
-            needs.append(1)
+            found.append((np.empty(0, dtype=np.uint64), 1, True))
             continue
-        n1 = k // 2 + 1 + k // 16
+        n1 = k // 2 + least_parts(k)
         cell = (high * U64(3 * n1) >> U64(32)).astype(np.int64)  # ascending, as s is sorted
-        starts = np.flatnonzero(np.diff(cell, prepend=-1))
-        at = cell[starts]
-        counted = int((np.bincount(at // 3, minlength=n1) >= 2).sum())
+        starts = np.concatenate([[0], np.flatnonzero(cell[1:] != cell[:-1]) + 1])
+        sums = np.zeros(3 * n1, dtype=np.uint64)
+        sums[cell[starts]] = mix(np.add.reduceat(mixed, starts) + U64(band)) | U64(1)
+        three = sums.reshape(n1, 3)
+        live = three != 0
+        counted = int((live.sum(axis=1) >= 2).sum())
         sparse = counted <= k // 2
-        needs.append(1 if sparse or n1 >= ELEMENT else counted - k // 2)
-        if made:
-            sums = np.zeros(3 * n1, dtype=np.uint64)
-            sums[at] = mix(np.add.reduceat(mixed, starts) + U64(band)) | U64(1)
-            part = np.arange(n1, dtype=np.uint64)
-            tail = U64(band << BAND_AT) | np.minimum(part, U64(ELEMENT - 1))
-            three = sums.reshape(n1, 3)
-            for j, (a, b) in enumerate(((1, 2), (0, 2), (0, 1))):
-                x, y = three[:, a], three[:, b]
-                some = np.flatnonzero((x != 0) | (y != 0))
-                out.append(sealed(mix(x[some] * LEFT + y[some] * RIGHT + (part[some] * U64(3) + U64(j)) * PLACE), tail[some]))
-            if sparse:
-                out.append(sealed(mix(mixed + U64(band)), U64(band << BAND_AT | ELEMENT)))
-    return (np.concatenate(out) if out else np.empty(0, dtype=np.uint64)), first, needs
+        part = np.arange(n1, dtype=np.uint64)
+        place, tail = part * (U64(3) * PLACE), U64(band << BAND_AT) | np.minimum(part, U64(NEED - 1))
+        left, right, out = three * LEFT, three * RIGHT, []
+        for j, (a, b) in enumerate(((1, 2), (0, 2), (0, 1))):
+            made = sealed(mix(left[:, a] + right[:, b] + (place + U64(j) * PLACE)), tail)
+            out.append(made[live[:, a] | live[:, b]])
+        if sparse:
+            out.append(sealed(mix(mixed + U64(band)), U64(band << BAND_AT | ELEMENT)))
+        found.append((np.concatenate(out), 1 if sparse or n1 >= NEED else counted - k // 2, counted < n1 or n1 >= NEED))
+    return first, found
+
+
+def least_parts(k: int) -> int:
+    """Of n1 parts that all count, so many are shared with each partner."""
+    return 1 + k // 12
+
+
+def sealed(h: np.ndarray, tail: np.ndarray) -> np.ndarray:
+    """A digest with band and part in its lowest bits."""
+    return (h & ~U64((1 << BAND_AT + BAND_BITS) - 1)) | tail
+
+
+def need_rows(cls: int, first: int, needs: list[int]) -> np.ndarray:
+    """One row for each band, in the form of a signature that no other class has."""
+    return np.array([(cls & 0x1FFFFF) << 43 | min(n, 0xFFFF) << BAND_AT + BAND_BITS | first + i << BAND_AT | NEED for i, n in enumerate(needs)], dtype=np.uint64)
 
 
 def sealed(h: np.ndarray, tail: np.ndarray) -> np.ndarray:
@@ -150,22 +172,22 @@ def sets_of(batch: pd.Series, n: int = SHINGLE) -> Iterator[np.ndarray]:
         yield shingle_set(words, n)
 
 
-def membership(df: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
-    """(doc, c1, c2, n, sketch, band, needs): each document's class, set size, sketch, and what leaves it open."""
+def membership(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, c1, c2, n, sketch): each document's class, set size and sketch."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(*digest(s), len(s), sketch(s).tobytes(), *signatures(s, percent, made=False)[1:]) if len(s) else (0, 0, 0, b"", 0, []) for s in sets_of(b["text"])]
-            out = pd.DataFrame(rows, columns=["c1", "c2", "n", "sketch", "band", "needs"])
+            rows = [(*digest(s), len(s), sketch(s).tobytes()) if len(s) else (0, 0, 0, b"") for s in sets_of(b["text"])]
+            out = pd.DataFrame(rows, columns=["c1", "c2", "n", "sketch"])
             out.insert(0, "doc", b["doc"].array)
             yield out
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).mapInPandas(run, f"doc {kind}, c1 long, c2 long, n long, sketch binary, band int, needs array<int>")
+    return df.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).mapInPandas(run, f"doc {kind}, c1 long, c2 long, n long, sketch binary")
 
 
 def signature_rows(df: DataFrame, text_col: str, percent: int) -> DataFrame:
-    """(sig, cls) of every text, each class once in a task."""
+    """(sig, cls) of every text, each class once in a task, with the rows of need_rows. cls is odd where not all parts count."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
@@ -177,9 +199,10 @@ def signature_rows(df: DataFrame, text_col: str, percent: int) -> DataFrame:
                     if len(seen) >= SEEN:
                         seen.clear()
                     seen.add(c)
-                    sigs.append(signatures(s, percent)[0])
-                    classes.append(c)
-                    total += len(sigs[-1])
+                    first, found = by_band(s, percent)
+                    sigs += [*(made for made, _, _ in found), need_rows(c, first, [n for _, n, _ in found])]
+                    classes += [*(c | int(weak) for _, _, weak in found), c]
+                    total += sum(len(made) for made, _, _ in found)
                 if total >= 200_000:
                     yield rows_of(sigs, classes)
                     sigs, classes, total = [], [], 0
@@ -193,10 +216,13 @@ def rows_of(sigs: list[np.ndarray], classes: list[int]) -> pd.DataFrame:
     return pd.DataFrame({"sig": flat.view(np.int64), "cls": np.repeat(np.array(classes, dtype=np.int64), [len(s) for s in sigs])})
 
 
+KINDS = PAIR, LARGE, NEEDS = 0, 1, 2
+
+
 def grouped(rows: DataFrame) -> DataFrame:
-    """From rows (sig, cls) or (sig, cls, fam, outer): the pairs of small groups as (a, b, 0, 0, false), and the members of
-    large groups as (a, b, fam, sig, true), where b names the group: its first member. With outer, only pairs and groups with an
-    outer member count, and b is a hash of the first members, so that only alike groups have one name.
+    """From rows (sig, cls) or (sig, cls, fam, outer): (a, b, fam, sig, kind). PAIR: a and b are a pair of a small group. LARGE: a is
+    in a large group. NEEDS: a row of need_rows. With outer, only pairs and groups with an outer member count, and b is a hash
+    of a large group's first members, so that only alike groups have one name.
 
     A group's rows arrive next to each other, outer ones first, and are held up to GROUP classes; then the group is large, and later
     members pass by one at a time.
@@ -204,78 +230,128 @@ def grouped(rows: DataFrame) -> DataFrame:
     marked = "outer" in rows.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sig, held, large, name, out = None, [], False, 0, []
+        sig, held, large, name, out = None, {}, False, 0, []
 
         def pairs() -> list[tuple]:
-            return [] if large else [(x, y, 0, 0, False) for i, (x, _, o) in enumerate(held) for y, _, p in held[:i] if o or p]
+            members = list(held.items())
+            return [] if large else [(x, y, 0, sig, PAIR) for i, (x, (_, o)) in enumerate(members) for y, (_, p) in members[:i] if o or p]
 
         def frame(found: list[tuple]) -> pd.DataFrame:
-            return pd.DataFrame(found, columns=["a", "b", "fam", "sig", "large"])
+            return pd.DataFrame(found, columns=["a", "b", "fam", "sig", "kind"])
 
         for b in batches:
             s, c = b["sig"].to_numpy(), b["cls"].to_numpy()
+            if not marked:
+                told = (s & ELEMENT) == NEED
+                if told.any():
+                    yield pd.DataFrame({"a": c[told], "b": 0, "fam": 0, "sig": s[told], "kind": NEEDS})
+                    s, c = s[~told], c[~told]
             if not len(s):
                 continue
-            fresh = np.flatnonzero(np.r_[True, (s[1:] != s[:-1]) | (c[1:] != c[:-1])])
-            s, c = s[fresh], c[fresh]
-            f = b["fam"].to_numpy()[fresh] if marked else np.zeros(len(s), dtype=np.int64)
-            o = b["outer"].to_numpy()[fresh] if marked else np.ones(len(s), dtype=bool)
-            starts = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
-            ends = np.r_[starts[1:], len(s)]
+            f = b["fam"].to_numpy() if marked else np.zeros(len(s), dtype=np.int64)
+            o = b["outer"].to_numpy() if marked else np.ones(len(s), dtype=bool)
+            starts = np.concatenate([[0], np.flatnonzero(s[1:] != s[:-1]) + 1])
+            ends = np.append(starts[1:], len(s))
             live = (ends - starts > 1) | (starts == 0) | (ends == len(s))
             for lo, hi in zip(starts[live].tolist(), ends[live].tolist(), strict=True):
                 if sig is None or s[lo] != sig:
                     out += pairs()
-                    sig, held, large = int(s[lo]), [], False
-                for x in zip(c[lo:hi].tolist(), f[lo:hi].tolist(), o[lo:hi].tolist(), strict=True):
-                    if held and not held[0][2]:
-                        break  # no outer member
+                    sig, held, large, idle = int(s[lo]), {}, False, not o[lo]
+                if idle:
+                    continue  # no outer member
+                for x, fam, outer in zip(c[lo:hi].tolist(), f[lo:hi].tolist(), o[lo:hi].tolist(), strict=True):
                     if large:
-                        out.append((x[0], name, x[1], sig, True))
-                    elif not held or x[0] != held[-1][0]:
-                        held.append(x)
+                        out.append((x, name, fam, sig, LARGE))
+                    else:
+                        held[x] = (fam, outer)
                         if len(held) > GROUP:
-                            large = True
-                            name = hash(tuple(y[0] for y in held)) if marked else held[0][0]
-                            out += [(y[0], name, y[1], sig, True) for y in held]
-                            held = held[:1]
+                            large, name = True, hash(tuple(held)) if marked else 0
+                            out += [(y, name, k, sig, LARGE) for y, (k, _) in held.items()]
                 if len(out) >= 20_000:
                     yield frame(out)
                     out = []
         yield frame(out + pairs())
 
-    order = ["sig", F.desc("outer"), "cls"] if marked else ["sig", "cls"]
-    return stored(rows.repartition("sig").sortWithinPartitions(*order).mapInPandas(run, "a long, b long, fam long, sig long, large boolean"), "groups")
+    order = ["sig", F.desc("outer"), "cls"] if marked else ["sig"]
+    return stored(rows.repartition("sig").sortWithinPartitions(*order).mapInPandas(run, "a long, b long, fam long, sig long, kind int"), "groups")
+
+
+def band_of(sig: str = "sig") -> Column:
+    return F.shiftright(sig, BAND_AT).bitwiseAND(F.lit((1 << BAND_BITS) - 1)).cast("int")
+
+
+def part_of(sig: str = "sig") -> Column:
+    return F.col(sig).bitwiseAND(F.lit(ELEMENT)).cast("int")
+
+
+def class_of(name: str) -> Column:
+    return F.col(name).bitwiseAND(F.lit(-2))
+
 
+def open_classes(found: DataFrame) -> DataFrame:
+    """(fam, cls): the open classes and the families that they go to, named by the first members of large groups."""
+    first = F.min(class_of("a")).over(Window.partitionBy("sig")).alias("first")
+    large = found.filter(F.col("kind") == LARGE).select(class_of("a").alias("cls"), band_of().alias("band"), part_of().alias("part"), first)
+    hot = large.groupBy("cls", "band").agg(F.size(F.collect_set("part")).alias("hot"), F.collect_set("first").alias("firsts"))
+    need = F.shiftright("sig", BAND_AT + BAND_BITS).bitwiseAND(F.lit(0xFFFF))
+    needs = found.filter(F.col("kind") == NEEDS).select(F.col("a").alias("cls"), band_of().alias("band"), need.alias("need")).distinct()
+    left = hot.join(needs, ["cls", "band"]).filter(F.col("hot") >= F.col("need"))
+    return left.select(F.explode("firsts").alias("fam"), "cls").distinct()
 
-def open_classes(large: DataFrame, member: DataFrame) -> DataFrame:
-    """(to, fam, cls): the open classes with the families that they go to; fam is 0. large: members of large groups."""
-    band, part = F.shiftright("sig", BAND_AT).bitwiseAND(F.lit((1 << BAND_BITS) - 1)), F.col("sig").bitwiseAND(F.lit(ELEMENT))
-    hot = large.groupBy(F.col("a").alias("c1"), band.cast("int").alias("at")).agg(F.size(F.collect_set(part)).alias("hot"), F.collect_set("b").alias("firsts"))
-    known = member.join(large.select(F.col("a").alias("c1")).distinct(), "c1", "left_semi").groupBy("c1").agg(F.first("band").alias("band"), F.first("needs").alias("needs"))
-    left = hot.join(known, "c1").filter(F.col("hot") >= F.coalesce(F.try_element_at("needs", F.col("at") - F.col("band") + 1), F.lit(1)))
-    return left.select(F.explode("firsts").alias("to"), F.lit(0).cast("long").alias("fam"), F.col("c1").alias("cls")).distinct()
+
+def likely_pairs(found: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the pairs of small groups but those that would share more parts if they were similar."""
+    least = F.array(*(F.lit(least_parts(int(k))) for k in bands(1 << 40, percent)[1]))
+    p = found.filter(F.col("kind") == PAIR).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), band_of().alias("band"), part_of().alias("part"))
+    g = p.groupBy("a", "b", "band").agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("lo"), F.max("part").alias("hi"))
+    least = F.element_at(least, F.col("band") + 1)
+    enough = (F.col("n") >= least) & ((least == 1) | (F.col("lo") < F.col("hi")))
+    g = stored(g.select("a", "b", "band", enough.alias("enough")), "seen")
+    hot = small(stored(found.filter(F.col("kind") == LARGE).select(class_of("a").alias("hot"), band_of().alias("band")).distinct(), "hot"))
+    rest = g.filter("not enough")
+    for x in "ab":
+        sure = F.col(x).bitwiseAND(F.lit(1)) == 0
+        held = rest.filter(sure).withColumn("hot", class_of(x)).join(hot, ["hot", "band"], "left_semi").select("a", "b", "band", "enough")
+        rest = rest.filter(~sure).unionByName(held)
+    return g.filter("enough").unionByName(rest).select(class_of("a").alias("a"), class_of("b").alias("b"))
 
 
 def in_order(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(key).sortWithinPartitions(key)
 
 
-def refined(to: DataFrame, items: DataFrame, percent: int) -> DataFrame:
-    """The members of new families, (to, fam, cls), with the differences of their sets, items (fam, cls, n, d, excess, set), from
-    their new pivots: items of the families `to`."""
-    slot = F.pmod(F.xxhash64("cls", "to"), F.lit(SAMPLE))
-    chosen = to.groupBy("to", "fam", slot.alias("slot")).agg(F.min("cls").alias("cls"))
+def shared_parts(sets: DataFrame) -> DataFrame:
+    """(cls, n, common) from (c1, n, shingles): each set's shingles that another one has, too, sorted."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for lo in range(0, len(b), 500):
+                some = b.iloc[lo : lo + 500]
+                s = [np.frombuffer(x, dtype="<i8") for x in some["shingles"]]
+                yield pd.DataFrame({"x": np.concatenate(s), "cls": np.repeat(some["c1"].to_numpy(), [len(v) for v in s])})
+
+    @F.pandas_udf("binary")
+    def packed(x: pd.Series) -> pd.Series:
+        return pd.Series([np.sort(np.asarray(v if v is not None else [], dtype="<i8").view("<u8")).tobytes() for v in x], dtype=object)
+
+    rows = sets.mapInPandas(each, "x long, cls long")
+    shared = rows.groupBy("x").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").select("x")
+    held = rows.join(shared, "x").groupBy("cls").agg(F.collect_list("x").alias("x"))
+    return stored(sets.select(F.col("c1").alias("cls"), "n").join(held, "cls", "left").select("cls", "n", packed("x").alias("common")), "common")
+
+
+def pivots_of(to: DataFrame, sets: DataFrame) -> DataFrame:
+    """(fam, pivot) of the families of to (fam, cls): what most of a sample of up to SAMPLE members have."""
 
     def majority(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, held = None, []
 
         def pivot() -> pd.DataFrame:
             x, n = np.unique(np.concatenate(held), return_counts=True)
-            return pd.DataFrame({"to": [key], "pivot": [x[2 * n > len(held)].tobytes()]})
+            return pd.DataFrame({"fam": [key], "pivot": [x[2 * n > len(held)].tobytes()]})
 
         for b in batches:
-            for k, s in zip(b["to"].tolist(), b["set"], strict=True):
+            for k, s in zip(b["fam"].tolist(), b["common"], strict=True):
                 if k != key and held:
                     yield pivot()
                     held = []
@@ -284,68 +360,78 @@ def refined(to: DataFrame, items: DataFrame, percent: int) -> DataFrame:
         if held:
             yield pivot()
 
-    def apart(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            sets = [np.setxor1d(np.frombuffer(s, dtype="<u8"), np.frombuffer(p, dtype="<u8"), assume_unique=True) for s, p in zip(b["set"], b["pivot"], strict=True)]
-            d = np.array([len(s) for s in sets], dtype=np.int64)
-            yield pd.DataFrame({"fam": b["to"], "cls": b["cls"], "n": b["n"], "d": d, "excess": d * (100 + percent) - b["n"] * (100 - percent), "set": [s.tobytes() for s in sets]})
+    chosen = to.groupBy("fam", F.pmod(F.xxhash64("cls", "fam"), F.lit(SAMPLE)).alias("slot")).agg(F.min("cls").alias("cls"))
+    found = stored(in_order(chosen.join(sets, "cls").select("fam", "common"), "fam").mapInPandas(majority, "fam long, pivot binary"), "pivots")
+    light = (found.agg(F.sum(F.length("pivot") + 16)).first()[0] or 0) <= BROADCAST_PIVOTS
+    return F.broadcast(found) if light else found
 
-    pivots = stored(in_order(chosen.join(items, ["fam", "cls"]).select("to", "set"), "to").mapInPandas(majority, "to long, pivot binary"), "pivots")
-    light = (pivots.agg(F.sum(F.length("pivot") + 16)).first()[0] or 0) <= BROADCAST_PIVOTS
-    joined = to.join(items, ["fam", "cls"]).join(F.broadcast(pivots) if light else pivots, "to")
-    return stored(joined.mapInPandas(apart, "fam long, cls long, n long, d long, excess long, set binary"), "items")
 
+def difference(common: bytes, pivot: bytes) -> np.ndarray:
+    return np.setxor1d(np.frombuffer(common, dtype="<u8"), np.frombuffer(pivot, dtype="<u8"), assume_unique=True)
 
-def within_families(items: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Of items: certain links (a, b), candidate pairs (a, b), and what is open as (to, fam, cls)."""
-    ends = items.groupBy("fam").agg(F.min(F.struct("excess", "cls")).alias("least"), F.max("excess").alias("most"), F.count(F.lit(1)).alias("members")).filter("members > 1")
-    star = items.join(small(stored(ends, "ends")), "fam").withColumn("outer", F.col("excess") + F.col("least.excess") > 0)
-    sure = star.filter("not outer").filter(F.col("cls") != F.col("least.cls")).select(F.col("cls").alias("a"), F.col("least.cls").alias("b"))
-    far = F.col("n") + F.floor(F.col("n") * 100 / percent)
-    need = F.greatest(F.lit(1), F.col("d") - F.floor(far * (100 - percent) / (100 + percent)))
+
+def within_families(to: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of the families of to (fam, cls): certain links (a, b), candidate pairs (a, b), and what is open as (fam, cls)."""
+
+    def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            own = np.array([len(difference(s, p)) - len(s) // 8 for s, p in zip(b["common"], b["pivot"], strict=True)], dtype=np.int64)
+            d = b["n"].to_numpy() + own
+            yield pd.DataFrame({"fam": b["fam"], "cls": b["cls"], "n": b["n"], "d": d, "excess": d * (100 + percent) - b["n"] * (100 - percent)})
 
     def elements(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for lo in range(0, len(b), 200):
-                some = b.iloc[lo : lo + 200]
-                sets = [mix(np.frombuffer(s, dtype="<u8") ^ mix(np.array([f], dtype=np.int64).view(np.uint64))) for s, f in zip(some["set"], some["fam"].tolist(), strict=True)]
-                size = [len(s) for s in sets]
-                yield pd.DataFrame({"sig": np.concatenate(sets).view(np.int64), **{c: np.repeat(some[c].to_numpy(), size) for c in ("cls", "fam", "outer")}})
+            for lo in range(0, len(b), 500):
+                some = b.iloc[lo : lo + 500]
+                made = [mix(difference(s, p) ^ mix(np.array([f], dtype=np.int64).view(np.uint64))) for s, p, f in zip(some["common"], some["pivot"], some["fam"].tolist(), strict=True)]
+                size = [len(x) for x in made]
+                yield pd.DataFrame({"sig": np.concatenate(made).view(np.int64), **{c: np.repeat(some[c].to_numpy(), size) for c in ("cls", "fam", "outer")}})
 
     def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, held = None, []
 
         def links() -> pd.DataFrame:
-            cls, n, outer, sets = (list(x) for x in zip(*held, strict=True))
-            flat, at = np.unique(np.concatenate(sets), return_inverse=True)
-            has = np.zeros((len(sets), len(flat)), dtype=np.float32)
-            has[np.repeat(np.arange(len(sets)), [len(x) for x in sets]), at] = 1
-            d, n, outer, cls = has.sum(axis=1).astype(np.int64), np.array(n), np.array(outer), np.array(cls)
-            apart = d[:, None] + d - 2 * np.rint(has @ has.T).astype(np.int64)
+            cls, n, d, outer, made = (list(x) for x in zip(*held, strict=True))
+            flat, at = np.unique(np.concatenate(made), return_inverse=True)
+            who, both = np.repeat(np.arange(len(made)), [len(x) for x in made]), np.zeros((len(made), len(made)), dtype=np.float32)
+            for lo in range(0, len(flat), 4096):
+                some, has = (at >= lo) & (at < lo + 4096), np.zeros((len(made), 4096), dtype=np.float32)
+                has[who[some], at[some] - lo] = 1
+                both += has @ has.T
+            d, n, outer, cls = np.array(d), np.array(n), np.array(outer), np.array(cls)
+            apart = d[:, None] + d - 2 * np.rint(both).astype(np.int64)
             near = (apart * (100 + percent) <= (n[:, None] + n) * (100 - percent)) & (outer[:, None] | outer)
             i, j = np.nonzero(np.tril(near, -1))
             return pd.DataFrame({"a": cls[i], "b": cls[j]})
 
         for b in batches:
-            for k, c, n, o, x in zip(b["fam"].tolist(), b["cls"].tolist(), b["n"].tolist(), b["outer"].tolist(), b["set"], strict=True):
+            for k, c, n, d, o, s, p in zip(*(b[x].tolist() for x in ("fam", "cls", "n", "d", "outer", "common", "pivot")), strict=True):
                 if k != key and held:
                     yield links()
                     held = []
                 key = k
-                held.append((c, n, o, np.frombuffer(x, dtype="<u8")))
+                held.append((c, n, d, o, difference(s, p)))
         if held:
             yield links()
 
-    live = star.filter(F.col("most") + F.col("least.excess") > 0)
-    few = live.filter(F.col("members") <= FAMILY).select("fam", "cls", "n", "outer", "set")
-    sure = sure.unionByName(stored(in_order(few, "fam").mapInPandas(compared, "a long, b long"), "near"))
+    pivots = pivots_of(to, sets)
+    items = stored(to.join(sets, "cls").join(pivots, "fam").mapInPandas(measured, "fam long, cls long, n long, d long, excess long"), "items")
+    ends = items.groupBy("fam").agg(F.min(F.struct("excess", "cls")).alias("least"), F.max("excess").alias("most"), F.count(F.lit(1)).alias("members")).filter("members > 1")
+    star = stored(items.join(small(stored(ends, "ends")), "fam").withColumn("outer", F.col("excess") + F.col("least.excess") > 0), "star")
+    sure = star.filter("not outer").filter(F.col("cls") != F.col("least.cls")).select(F.col("cls").alias("a"), F.col("least.cls").alias("b"))
+    live = star.filter(F.col("most") + F.col("least.excess") > 0).drop("least", "most", "excess")
+    few = live.filter(F.col("members") <= FAMILY).join(sets.drop("n"), "cls")
+    near = in_order(few.join(pivots, "fam").select("fam", "cls", "n", "d", "outer", "common", "pivot"), "fam")
+    sure = sure.unionByName(stored(near.mapInPandas(compared, "a long, b long"), "near"))
     live = live.filter(F.col("members") > FAMILY)
-    found = grouped(live.select("set", "cls", "fam", "outer").mapInPandas(elements, "sig long, cls long, fam long, outer boolean"))
-    hot = found.filter("large").groupBy("fam", F.col("a").alias("cls")).agg(F.count(F.lit(1)).alias("hot"), F.collect_set("b").alias("firsts"))
+    found = grouped(live.join(sets.drop("n"), "cls").join(pivots, "fam").select("common", "pivot", "cls", "fam", "outer").mapInPandas(elements, "sig long, cls long, fam long, outer boolean"))
+    far = F.col("n") + F.floor(F.col("n") * 100 / percent)
+    need = F.greatest(F.lit(1), F.col("d") - F.floor(far * (100 - percent) / (100 + percent)))
+    hot = found.filter(F.col("kind") == LARGE).groupBy("fam", F.col("a").alias("cls")).agg(F.count(F.lit(1)).alias("hot"), F.collect_set("b").alias("names"))
     hot = stored(hot.join(live.select("fam", "cls", "outer", need.alias("need")), ["fam", "cls"]), "hot")
-    kept = hot.filter(F.col("outer") & (F.col("hot") >= F.col("need"))).select("fam", F.explode("firsts").alias("first")).distinct()
-    to = hot.select("fam", "cls", F.explode("firsts").alias("first")).join(kept, ["fam", "first"], "left_semi")
-    return sure, found.filter("not large").select("a", "b"), to.select(F.xxhash64("fam", "first").alias("to"), "fam", "cls").distinct()
+    kept = hot.filter(F.col("outer") & (F.col("hot") >= F.col("need"))).select("fam", F.explode("names").alias("name")).distinct()
+    left = hot.select("fam", "cls", F.explode("names").alias("name")).join(kept, ["fam", "name"], "left_semi")
+    return sure, found.filter(F.col("kind") == PAIR).select("a", "b"), left.select(F.xxhash64("fam", "name").alias("fam"), "cls").distinct()
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
@@ -409,23 +495,21 @@ def ordered_pairs(pairs: DataFrame) -> DataFrame:
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """(id, n_shingles, component_id) for each row of df."""
-    member = stored(membership(df, id_col, text_col, percent), "member")
+    member = stored(membership(df, id_col, text_col), "member")
     nodes = member.filter("n > 0 and doc is not null").groupBy("c1", "c2").agg(F.min("doc").alias("node"))
     docs = df.select(F.col(id_col).alias("node"), F.col(text_col).alias("text"))  # equal rows only repeat links
     found = grouped(signature_rows(df, text_col, percent))
-    pairs, sure = found.filter("not large").select("a", "b"), None
-    to = stored(open_classes(found.filter("large"), member), "open")
-    for round_ in range(MOST_ROUNDS):
+    pairs, sure, sets = likely_pairs(found, percent), None, None
+    to = stored(open_classes(found), "open")
+    for _ in range(MOST_ROUNDS):
         if to.isEmpty():
             break
-        if round_ == 0:
+        if sets is None:
             classes = chosen_classes(member, nodes, to.select(F.col("cls").alias("c1")))
-            sets = sets_for(docs, classes.select("node", "c1", "c2")).dropDuplicates(["c1"])
-            items = stored(sets.select(F.lit(0).cast("long").alias("fam"), F.col("c1").alias("cls"), "n", F.col("shingles").alias("set")), "sets")
-        items = refined(to, items, percent)
-        certain, more, to = within_families(items, percent)
+            sets = shared_parts(stored(sets_for(docs, classes.select("node", "c1", "c2")).dropDuplicates(["c1"]), "sets"))
+        certain, more, left = within_families(to, sets, percent)
         sure = certain if sure is None else sure.unionByName(certain)
-        pairs, to = pairs.unionByName(more), stored(to, "open")
+        pairs, to = pairs.unionByName(more), stored(left, "open")
     else:
         raise RuntimeError("families did not settle")
     pairs = stored(ordered_pairs(pairs), "pairs")
