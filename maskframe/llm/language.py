@@ -11,10 +11,15 @@ that all its 3-grams are seen and a switch inside it can be: neighbours overlap
 only the first and last have the affixes of the run.
 
 The fit uses at most `per_language` documents of each language (those with the smallest hashes in as many hash
-buckets) and at most `words` words of each; everything else covers all rows.
+buckets) and at most `words` words of each, in short stretches from all over the text (of a run of more than RUN letters its
+first RUN); everything else covers all rows and whole texts. Only these words reach the driver.
+
+A task's memory does not follow its rows: texts are taken in blocks of about BLOCK characters, longer ones in parts that end
+between words, and at most CACHE words (of up to PIECE letters) keep their scores.
 
 Edge cases: null texts and texts without a letter are "und" with score 0; without any labelled row all texts are "und";
-null languages are never learned; equal texts get equal results; very long texts only have more chains.
+null languages are never learned; equal texts get equal results; very long texts only have more chains; an empty table gives
+an empty result; further columns are neither read nor, in keep_known, changed.
 """
 
 from __future__ import annotations
@@ -32,9 +37,9 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS, BREAK = re.compile(r"[^\W\d_]+"), re.compile(r"[\W\d_]")
 COLUMNS, CHAIN, LEXICON = 1 << 15, 64, 200
-CACHE = 400_000
+CACHE, BLOCK, RUN = 120_000, 200_000, 200
 #: Up to so many ids are listed in a filter; more are joined.
 LISTED = 20_000
 #: Letters of a piece of a longer run, and the mark at a piece's end where the run goes on.
@@ -195,24 +200,54 @@ class Predictor:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
         """Languages, scores, and how sure the words are: the average of each word's best marginal, weighted by letters."""
-        langs = self.tagger.languages
-        words = [words_in(t) if t else [] for t in texts]
+        langs, n = self.tagger.languages, len(texts)
+        label, score, sure = ["und"] * n, [0.0] * n, [0.0] * n
+        if not langs:
+            return label, score, sure
+        total, mean, best = np.zeros(n), np.zeros((n, len(langs))), np.zeros(n)
+        which: list[int] = []
+        block: list[str] = []
+        size = 0
+        for i, text in enumerate(texts):
+            for part in parts(text or ""):
+                if size + len(part) > BLOCK and block:
+                    self.add(which, block, total, mean, best)
+                    which, block, size = [], [], 0
+                which.append(i)
+                block.append(part)
+                size += len(part)
+        self.add(which, block, total, mean, best)
+        for i in np.flatnonzero(total).tolist():
+            row = mean[i] / total[i]
+            label[i], score[i], sure[i] = langs[int(row.argmax())], float(min(1.0, row.max())), float(min(1.0, best[i] / total[i]))
+        return label, score, sure
+
+    def add(self, which: list[int], block: list[str], total: np.ndarray, mean: np.ndarray, best: np.ndarray) -> None:
+        """Adds the letters, marginals and best marginals of a block's words to those of their texts."""
+        words = [words_in(t) for t in block]
         words = [w if any(c.isalpha() for x in w for c in x) else [] for w in words]  # ½ and ² are no letters
         lengths = np.array([len(w) for w in words], dtype=np.int64)
-        label, score, sure = ["und"] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
-        if not langs or not lengths.sum():
-            return label, score, sure
-        ids = self.ids(words)
-        post = self.tagger.marginals(self.scores[ids], lengths)
-        letters = np.fromiter((own_letters(x) for t in words for x in t), dtype=np.float64, count=len(post))
+        if not lengths.sum():
+            return
+        post = self.tagger.marginals(self.scores[self.ids(words)], lengths)
+        letters = np.fromiter((own_letters(x) for t in words for x in t), dtype=np.float32, count=len(post))
         live = np.flatnonzero(lengths)
-        starts = (np.cumsum(lengths) - lengths)[live]
-        total = np.add.reduceat(letters, starts)
-        mean = np.add.reduceat(post * letters[:, None], starts, axis=0) / total[:, None]
-        best = np.add.reduceat(post.max(axis=1) * letters, starts) / total
-        for i, row, b in zip(live, mean, best, strict=True):
-            label[i], score[i], sure[i] = langs[int(row.argmax())], float(min(1.0, row.max())), float(min(1.0, b))
-        return label, score, sure
+        starts, text = (np.cumsum(lengths) - lengths)[live], np.array(which)[live]
+        np.add.at(total, text, np.add.reduceat(letters, starts))
+        np.add.at(mean, text, np.add.reduceat(post * letters[:, None], starts, axis=0))
+        np.add.at(best, text, np.add.reduceat(post.max(axis=1) * letters, starts))
+
+
+def parts(text: str) -> Iterator[str]:
+    """A text, a long one in parts of about BLOCK characters that end where no letter follows."""
+    at = 0
+    while len(text) - at > BLOCK:
+        m = BREAK.search(text, at + BLOCK)
+        if not m:
+            break
+        yield text[at : m.end()]
+        at = m.end()
+    yield text[at:] if at else text
 
 
 def held_out(id_col: str = "doc_id"):
@@ -220,8 +255,8 @@ def held_out(id_col: str = "doc_id"):
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2
 
 
-def training_rows(df: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int) -> list[tuple[str, str]]:
-    """At most per_language texts of each language, from rows that are not held out. The first pass reads ids and
+def training_rows(df: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int, words: int = 200) -> list[tuple[str, str]]:
+    """At most `words` words of at most per_language texts of each language, from rows that are not held out. The first pass reads ids and
     languages only and keeps the smallest hash of each bucket; the second reads the texts of those."""
     able = df.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     h = F.xxhash64(id_col)
@@ -229,17 +264,30 @@ def training_rows(df: DataFrame, id_col: str, text_col: str, lang_col: str, per_
     ids = [r["id"] for r in chosen.distinct().collect()]  # per_language x languages
     few = len(ids) <= LISTED
     texts = able.filter(F.col(id_col).isin(ids)) if few else able.join(chosen.distinct().withColumnRenamed("id", id_col), id_col, "left_semi")
-    found = texts.select(id_col, lang_col, F.substring(F.coalesce(F.col(text_col), F.lit("")), 1, 20_000).alias("t")).orderBy(id_col, lang_col, "t").collect()
+
+    @F.pandas_udf("string")
+    def some(texts: pd.Series) -> pd.Series:
+        return pd.Series([" ".join(spread(LETTERS.findall((t or "").lower()), words)) for t in texts], dtype=object)
+
+    found = texts.select(id_col, lang_col, some(text_col).alias("t")).orderBy(id_col, lang_col, "t").collect()
     return [(r["t"], r[lang_col]) for r in found]
 
 
+def spread(runs: list[str], words: int, stretch: int = 16) -> list[str]:
+    """At most `words` runs, in stretches at equal distances."""
+    if len(runs) > words:
+        n = -(-words // stretch)
+        runs = [x for k in range(n) for x in runs[k * (len(runs) - stretch) // max(1, n - 1) :][:stretch]][:words]
+    return [x[:RUN] for x in runs]
+
+
 def detect(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 64, words: int = 200) -> DataFrame:
     """(id, lang_pred, score) for each row of df. The model is fitted at the call, the prediction is lazy."""
     return predict(df, fit(df, id_col, text_col, lang_col, per_language, words), id_col, text_col)
 
 
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 64, words: int = 200) -> Tagger:
-    return Tagger.fit(training_rows(df, id_col, text_col, lang_col, per_language), words)
+    return Tagger.fit(training_rows(df, id_col, text_col, lang_col, per_language, words), words)
 
 
 def predictions(tagger: Tagger):
@@ -249,12 +297,7 @@ def predictions(tagger: Tagger):
     def tag(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         p = Predictor(tagger)
         for texts in batches:
-            label, score, sure = [], [], []
-            for lo in range(0, len(texts), 500):
-                a, b, c = p.predict(list(texts.iloc[lo : lo + 500]))
-                label += a
-                score += b
-                sure += c
+            label, score, sure = p.predict(texts.tolist())
             yield pd.DataFrame({"lang_pred": label, "score": score, "sure": sure})
 
     return tag
