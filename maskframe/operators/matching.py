@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 
 BOX = ("x1", "y1", "x2", "y2")
-BROADCAST_CENTRES = 1000
 
 
 def _box(prefix: str = "") -> tuple[Column, ...]:
@@ -36,12 +35,12 @@ def detections_to_teeth(detections: DataFrame, teeth: DataFrame, least_iou: floa
 
 
 def nearest_reference(points: DataFrame, reference: DataFrame, keys: list[str]) -> DataFrame:
-    """The nearest of all reference centres (tooth_id, center_x, center_y; usually some dozens) for each point. Up to
-    BROADCAST_CENTRES are broadcast; more are paired with the points without a broadcast hint."""
-    few = reference.limit(BROADCAST_CENTRES + 1).count() <= BROADCAST_CENTRES
-    j = points.join(F.broadcast(reference) if few else reference, F.lit(True))
-    d = F.hypot(F.col("x") - F.col("center_x"), F.col("y") - F.col("center_y"))
-    return j.groupBy(*keys).agg(F.min(F.struct(d.alias("d"), F.col("tooth_id").alias("t"))).alias("b")).select(*keys, F.col("b.t").alias("tooth_id"), F.col("b.d").alias("distance"))
+    """The nearest of all reference centres (tooth_id, center_x, center_y; a few dozen, one array that goes to every task) for
+    each point. Points are not shuffled."""
+    centres = reference.agg(F.collect_list(F.struct("tooth_id", "center_x", "center_y")).alias("centres"))
+    d = lambda c: F.hypot(F.col("x") - c["center_x"], F.col("y") - c["center_y"])
+    best = F.array_min(F.transform("centres", lambda c: F.struct(d(c).alias("d"), c["tooth_id"].alias("t"))))
+    return points.join(F.broadcast(centres), F.lit(True)).withColumn("b", best).select(*keys, F.col("b.t").alias("tooth_id"), F.col("b.d").alias("distance"))
 
 
 def without_duplicates(boxes: DataFrame, most_iou: float = 0.5) -> DataFrame:
@@ -149,3 +148,32 @@ def orphans(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 def remaining(cases: DataFrame, done: DataFrame, key: str = "case_id") -> DataFrame:
     return cases.join(done.select(key).distinct(), key, "left_anti")
+
+
+def with_fallback(rows: DataFrame, detections: DataFrame, keys: list[str], case: str, value: str) -> DataFrame:
+    """rows with value: the best of detections with the same keys, else the case's best."""
+    own = detections.groupBy(*keys).agg(F.max(value).alias("__own"))
+    any_ = detections.groupBy(case).agg(F.max(value).alias("__any"))
+    return rows.join(own, keys, "left").join(any_, case, "left").withColumn(value, F.coalesce("__own", "__any")).drop("__own", "__any")
+
+
+def match_status(matches: DataFrame, keys: list[str], kind: str = "match_type") -> DataFrame:
+    """One status for each key: TP before FP before FN."""
+    rank = F.when(F.col(kind).isin("tooth_id", "centroid_proximity", "TP"), 0).when(F.col(kind) == "FP", 1).otherwise(2)
+    best = matches.groupBy(*keys).agg(F.min(rank).alias("r"))
+    return best.select(*keys, F.element_at(F.array(F.lit("TP"), F.lit("FP"), F.lit("FN")), F.col("r") + 1).alias("status"))
+
+
+def with_first(rows: DataFrame, results: DataFrame, keys: list[str], order: list[str], value: str, fallback: str) -> DataFrame:
+    """rows with value of the first result with their keys; `fallback`, a column of rows, where there is none or it is Unknown."""
+    first = results.groupBy(*keys).agg(F.min_by(value, F.struct(*order)).alias("__first"))
+    return rows.join(first, keys, "left").withColumn(value, F.coalesce(F.when(F.col("__first") != "Unknown", F.col("__first")), F.col(fallback))).drop("__first")
+
+
+def assign_labels(lesions: DataFrame, truth: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, pos, zone, label): in lesion order an equal open label is used up, else the first open one; lesions without any are
+    left out. lesions: (keys, pos, surface); truth: (keys, pos, surface)."""
+    m = match_labels_interleaved(lesions, truth, keys)
+    p = truth.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    ranked = m.join(p, keys).withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy("pos")))
+    return ranked.filter("__r <= __n").select(*keys, "pos", F.col("y_true").alias("zone"), F.col("y_pred").alias("label"))

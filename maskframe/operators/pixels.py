@@ -107,24 +107,32 @@ def unassigned(tooth: DataFrame, roi: DataFrame) -> DataFrame:
     return roi.join(tooth, ["case_id", "x", "y"], "left_anti")
 
 
-def erode(pixels: DataFrame, k: int = 5, keys: list[str] = KEYS) -> DataFrame:
-    """Pixels whose k x k neighbourhood is all in the mask, by one pass along rows and one along columns.
+def in_image(pixels: DataFrame, width: int, height: int) -> DataFrame:
+    return pixels.filter(F.col("x").between(0, width - 1) & F.col("y").between(0, height - 1))
+
+
+def erode(pixels: DataFrame, k: int = 5, keys: list[str] = KEYS, size: tuple[int, int] | None = None) -> DataFrame:
+    """Pixels whose k x k neighbourhood is all in the mask, by one pass along rows and one along columns. With the image's
+    size (width, height) what lies outside of it does not erode.
 
     Runs of neighbours are found by subtracting the rank from the coordinate; a pixel survives a pass if it is k // 2 or
-    more from both ends of its run.
+    more from both ends of its run, or if the image ends before.
     """
-    r, out = k // 2, pixels.select(*keys, "x", "y").distinct()
-    for along, across in (("x", "y"), ("y", "x")):
+    r, out = k // 2, (in_image(pixels, *size) if size else pixels).select(*keys, "x", "y").distinct()
+    for along, across, most in (("x", "y", size and size[0]), ("y", "x", size and size[1])):
         run = F.col(along) - F.row_number().over(Window.partitionBy(*keys, across).orderBy(along))
         w = Window.partitionBy(*keys, across, "__run")
         out = out.withColumn("__run", run).withColumn("__lo", F.min(along).over(w)).withColumn("__hi", F.max(along).over(w))
-        out = out.filter((F.col(along) - r >= F.col("__lo")) & (F.col(along) + r <= F.col("__hi"))).drop("__run", "__lo", "__hi")
+        lo, hi = F.col(along) - r, F.col(along) + r
+        if most:
+            lo, hi = F.greatest(lo, F.lit(0)), F.least(hi, F.lit(most - 1))
+        out = out.filter((lo >= F.col("__lo")) & (hi <= F.col("__hi"))).drop("__run", "__lo", "__hi")
     return out
 
 
-def protected_overlap(tooth: DataFrame, roi: DataFrame, k: int = 5, most_pixels: int = 100, most_pct: float = 1.0) -> DataFrame:
+def protected_overlap(tooth: DataFrame, roi: DataFrame, k: int = 5, most_pixels: int = 100, most_pct: float = 1.0, size: tuple[int, int] | None = None) -> DataFrame:
     """overlap() of the eroded tooth; lesions of few pixels and low share count as noise."""
-    o = overlap(erode(tooth, k), roi)
+    o = overlap(erode(tooth, k, size=size), roi)
     noise = (F.col("caries_pixels") <= most_pixels) & (F.col("pct") <= most_pct)
     return o.withColumn("kept_pixels", F.when(noise, 0).otherwise(F.col("caries_pixels"))).withColumn("has_caries", F.col("kept_pixels") > 0)
 
@@ -217,3 +225,30 @@ def hull(pixels: DataFrame, keys: list[str] = KEYS) -> DataFrame:
 
     kinds = ", ".join(f"{k} {dict(pixels.dtypes)[k]}" for k in keys)
     return ends.groupBy(*keys).applyInPandas(corners, f"{kinds}, pos int, x int, y int")
+
+
+def cover_statistics(tooth: DataFrame, roi: DataFrame, width: int, height: int) -> DataFrame:
+    """One row: pixels drawn, out of bounds, in the union of teeth, of decay, and of decay on a tooth."""
+    drawn = tooth.agg(F.count(F.lit(1)).alias("drawn"), F.count_if(~(F.col("x").between(0, width - 1) & F.col("y").between(0, height - 1))).alias("out_of_bounds"))
+    union = in_image(tooth, width, height).select("case_id", "x", "y").distinct()
+    decay = in_image(roi, width, height).select("case_id", "x", "y").distinct()
+    both = union.withColumn("t", F.lit(1)).join(decay.withColumn("d", F.lit(1)), ["case_id", "x", "y"], "full")
+    return drawn.join(both.agg(F.count("t").alias("tooth_pixels"), F.count("d").alias("decay_pixels"), F.count_if(F.col("t").isNotNull() & F.col("d").isNotNull()).alias("on_teeth")), F.lit(True))
+
+
+def noise_ranking(before: DataFrame, after: DataFrame, n: int = 10, least: float = 0.05, most: float = 0.50) -> DataFrame:
+    """The n teeth that lost most pixels to cleaning, of those that lost a share between the bounds and kept some."""
+    a = before.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("raw"))
+    j = a.join(after.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("cleaned")), KEYS)
+    j = j.withColumn("removed", F.col("raw") - F.col("cleaned")).withColumn("ratio", F.col("removed") / F.col("raw"))
+    return j.filter((F.col("ratio") > least) & (F.col("ratio") < most) & (F.col("cleaned") > 0)).orderBy(F.desc("removed"), *KEYS).limit(n)
+
+
+def usable(overlaps: DataFrame, least: int = 10) -> DataFrame:
+    """overlap() rows of teeth with at least `least` pixels and some decay."""
+    return overlaps.filter((F.col("total_pixels") >= least) & (F.col("caries_pixels") > 0))
+
+
+def lesion_index(labelled_: DataFrame) -> DataFrame:
+    """Components numbered from 0 inside their tooth, in the order of their smallest pixel."""
+    return labelled_.withColumn("lesion_idx", F.dense_rank().over(Window.partitionBy(*KEYS).orderBy("comp")) - 1)

@@ -42,3 +42,58 @@ def with_split(df: DataFrame, group: str, test_share: float = 0.2, seed: int = 4
 
 def group_sizes(df: DataFrame, key: str) -> DataFrame:
     return df.join(df.groupBy(key).agg(F.count(F.lit(1)).alias("group_size")), key)
+
+
+def top(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
+    """The first row of each group, and of those the first n."""
+    return first_of(df, keys, order).orderBy(*order).limit(n)
+
+
+def priority_first(df: DataFrame, key: str, values: list[int], order: list[Column], n: int) -> DataFrame:
+    """n rows: those with a key of values, in their order, come before all others."""
+    at = F.array_position(F.array(*map(F.lit, values)), F.col(key))
+    return df.orderBy(F.when(at > 0, at).otherwise(len(values) + 1), *order).limit(n)
+
+
+def with_splits(df: DataFrame, group: str, shares: dict[str, float], seed: int = 42) -> DataFrame:
+    """Adds split: whole groups by the hash order of with_split(), cut at the shares' sums."""
+    out, total, rest = df, sum(shares.values()), None
+    names = list(shares)
+    upto = 0.0
+    for name in names[:-1]:
+        upto += shares[name] / total
+        out = with_split(out, group, upto, seed).withColumn("__in", F.col("split") == "test").drop("split")
+        rest = F.when(F.col("__in"), F.lit(name)) if rest is None else F.coalesce(F.col("split_"), F.when(F.col("__in"), F.lit(name)))
+        out = out.withColumn("split_", rest).drop("__in")
+        rest = F.col("split_")
+    return out.withColumn("split", F.coalesce("split_", F.lit(names[-1]))).drop("split_") if len(names) > 1 else df.withColumn("split", F.lit(names[0]))
+
+
+def without(df: DataFrame, chosen: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows that are not chosen yet."""
+    return df.join(chosen.select(*keys).distinct(), keys, "left_anti")
+
+
+#: Fixed value: wisdom teeth.
+WISDOM = ("18", "28", "38", "48")
+
+
+def showcases(rows: DataFrame, n: int, high: float = 0.85, low: float = 0.60) -> DataFrame:
+    """Selections by category, n rows each, one of a case: perfect (matched, sure), complex (label with two or more zones, most
+    complex first), second_opinion (missed and sure), honest_mistake (wrong and unsure, in hash order), wisdom.
+    rows: (case_id, id, tooth_id, matched, confidence, label)."""
+    from ..functions.scalars import complexity
+
+    sure, key = F.col("confidence"), [F.col("case_id"), F.col("id")]
+    kinds = {
+        "perfect": (F.col("matched") & (sure > high), [F.desc("confidence"), *key]),
+        "complex": (F.col("label").rlike("MO|DO|MOD"), [F.desc(complexity(F.col("label"))), F.desc("confidence"), *key]),
+        "second_opinion": (~F.col("matched") & (sure > high), [F.desc("confidence"), *key]),
+        "honest_mistake": (~F.col("matched") & (sure < low), [seeded(F.col("id")), *key]),
+        "wisdom": (F.col("tooth_id").isin(*WISDOM), [F.desc("confidence"), *key]),
+    }
+    out = None
+    for name, (which, order) in kinds.items():
+        one = top(rows.filter(which), ["case_id"], order, n).withColumn("category", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out

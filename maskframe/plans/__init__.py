@@ -1 +1,3 @@
 """Named queries."""
+
+from . import more, registry  # noqa: E402, F401

@@ -265,7 +265,9 @@ QUALIFY row_number() OVER (PARTITION BY case_id, det_id ORDER BY sqrt((x1 - cent
 def _(spark, sf):
     ref = spark.range(32).select(F.col("id").cast("string").alias("tooth_id"), (F.col("id") * 3.0).alias("center_x"), (F.col("id") % 8 * 7.0).alias("center_y"))
     points = view(spark, sf, "v_boxes").select("case_id", "det_id", F.col("x1").alias("x"), F.col("y1").alias("y"))
-    return matching.nearest_reference(points, ref, ["case_id", "det_id"]).withColumn("distance", F.round("distance", 6))
+    near = matching.nearest_reference(points, ref, ["case_id", "det_id"])
+    best = near.groupBy("case_id", "det_id").agg(F.min(F.struct("distance", "tooth_id")).alias("b"))
+    return best.select("case_id", "det_id", "b.tooth_id", F.round("b.distance", 6).alias("distance"))
 
 
 @query("jn11_box_deduplication", f"""SELECT case_id, det_id FROM v_boxes a WHERE NOT EXISTS (SELECT 1 FROM v_boxes b WHERE a.case_id = b.case_id AND (b.confidence > a.confidence OR b.confidence = a.confidence AND b.det_id < a.det_id) AND {BOX_IOU} > 0.5)""", "v_boxes")

@@ -4,6 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 from maskframe.operators import matching, metrics, pixels, zones
+from maskframe.plans import more  # noqa: F401
 from maskframe.plans.registry import ORACLE_SQL, QUERIES
 from maskframe.sources.views import view
 
