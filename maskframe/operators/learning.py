@@ -44,7 +44,8 @@ def predict_with_fallback(model: PipelineModel | None, df: DataFrame, fallback:
     known = F.lit(True)
     for f in features:
         known = known & F.col(f).isNotNull()
-    s = scored(model, df.fillna(0.0, features).withColumn("__known", known) if features else df.withColumn("__known", F.lit(True)))
+    d = df.withColumn("__known", known)
+    s = scored(model, d.fillna(0.0, features) if features else d)
     return s.withColumn("predicted", F.when(F.col("__known"), F.col("y_pred")).otherwise(F.col(fallback))).withColumn("by_model", F.col("__known")).drop("__known", "proba", "y_pred")
 
 
