@@ -229,7 +229,8 @@ class Predictor:
         lengths = np.array([len(w) for w in words], dtype=np.int64)
         if not lengths.sum():
             return
-        post = self.tagger.marginals(self.scores[self.ids(words)], lengths)
+        ids = self.ids(words)  # may replace scores
+        post = self.tagger.marginals(self.scores[ids], lengths)
         letters = np.fromiter((own_letters(x) for t in words for x in t), dtype=np.float32, count=len(post))
         live = np.flatnonzero(lengths)
         starts, text = (np.cumsum(lengths) - lengths)[live], np.array(which)[live]

@@ -152,6 +152,32 @@ def test_language_of_long_runs():
         assert sum(map(language.own_letters, language.words_in("a" * n))) == n
 
 
+def test_marginals_equal_enumeration():
+    from itertools import product
+
+    rng = np.random.default_rng(2)
+    e, trans = rng.normal(size=(1, 5, 3)), rng.normal(size=(3, 3))
+    want, total = np.zeros((5, 3)), 0.0
+    for path in product(range(3), repeat=5):
+        w = np.exp(sum(e[0, i, y] for i, y in enumerate(path)) + sum(trans[a, b] for a, b in zip(path, path[1:])))
+        total += w
+        for i, y in enumerate(path):
+            want[i, y] += w
+    got = language.forward_backward(e, np.ones((1, 5), dtype=bool), trans)[0][0]
+    assert np.allclose(got, want / total)
+
+
+def test_language_of_very_long_texts(monkeypatch):
+    t = language.Tagger.fit([("the of and to in is that", "en"), ("le la de et les des une", "fr")] * 20)
+    text = " ".join(["le la des"] * 500 + ["the of and"] * 100)
+    whole = language.Predictor(t).predict([text, "the"])
+    monkeypatch.setattr(language, "BLOCK", 300)
+    monkeypatch.setattr(language, "CACHE", 3)
+    cut = language.Predictor(t).predict([text, "the"])
+    assert whole[0] == cut[0] == ["fr", "en"] and abs(whole[1][0] - cut[1][0]) < 0.02
+    assert "".join(language.parts(text)) == text and len(list(language.parts(text))) > 20
+
+
 def test_language_keeps_switched_texts(spark):
     words = {"en": "the of and to in is that", "fr": "le la des et les une", "de": "der und nicht ist das ein"}
     rows = [(i, " ".join([w] * 4), lang) for i, (w, lang) in enumerate([(w, lang) for w, lang in zip(words.values(), words)] * 20)]
