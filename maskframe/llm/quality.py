@@ -3,14 +3,16 @@
 Base rules are fixed. On top, five measures (share of symbols, upper-case letters, bangs, repeated lines, repeated
 words) each get a cutoff for each stratum (language). Documents labelled good are the holdout: a cutoff is certified
 if the exact binomial tail P(Bin(n, risk) <= k) for its k false rejections among n good documents is at most
-delta / (rules x strata) (Bonferroni), and if all laxer cutoffs of the grid are certified too (fixed-sequence test, which
+delta / (rules x (strata + 1)) (Bonferroni), and if all laxer cutoffs of the grid are certified too (fixed-sequence test, which
 needs no further correction). So with probability 1 - delta every stratum loses at most rules x risk of its good
-documents. Of the certified cutoffs, that with most bad documents rejected is used, the laxest on ties; without a
+documents. Strata with too few good holdouts to certify anything are pooled and tested as one more stratum, whose bound
+then holds for them together. Of the certified cutoffs, that with most bad documents rejected is used, the laxest on ties; without a
 certified cutoff a rule stays silent in that stratum. For more than EXACT_TERMS false rejections the tail is summed
 downwards from its largest term, which Stirling's series gives; what is left after EXACT_TERMS terms is bounded.
 
 Edge cases: null texts are empty and fail the base rules; null strata form one stratum; several labels of one
-document count once, as good if one of them is good; without labels only base rules act; equal rows get equal results.
+document count once, as good if one of them is good; without labels only base rules act, also in a stratum that has none; equal rows get equal results; very long texts cost n log n
+steps; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -90,7 +92,7 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
     return F.when((n <= 0) | (k >= n * p), F.lit(1.0)).when(k > EXACT_TERMS, F.least(largest * down, F.lit(1.0))).otherwise(F.least(terms, F.lit(1.0)))
 
 
-def thresholds(measured: DataFrame, labels: DataFrame, id_col: str = "doc_id", stratum: str = "lang", risk: float = 0.004, delta: float = 0.05) -> DataFrame:
+def thresholds(measured: DataFrame, labels: DataFrame, id_col: str = "doc_id", stratum: str = "lang", risk: float = 0.02, delta: float = 0.05) -> DataFrame:
     """(stratum, symbols, upper, ...): the cutoff of each rule, null where the rule is silent.
 
     measured: features(); labels: (id_col, good boolean). risk bounds one rule's false rejections.
@@ -102,13 +104,20 @@ def thresholds(measured: DataFrame, labels: DataFrame, id_col: str = "doc_id", s
         *(F.count_if(F.col("good") & (F.col(r) > c)).alias(f"k_{r}_{i}") for r in RULES for i, c in enumerate(CUTOFFS)),
         *(F.count_if(~F.col("good") & (F.col(r) > c)).alias(f"b_{r}_{i}") for r in RULES for i, c in enumerate(CUTOFFS)),
     )
+    counts = counts.withColumn("strata", F.count(F.lit(1)).over(Window.partitionBy()) + 1)
+    enough = F.ceil(F.log(F.lit(delta / len(RULES)) / F.col("strata")) / math.log1p(-risk))
+    counts = counts.withColumn("pooled", F.col("n") < enough)
+    named = counts.select("stratum", "pooled", F.when(~F.col("pooled"), F.col("stratum")).alias("own"))
+    sums = [x for x in counts.columns if x == "n" or x[:2] in ("k_", "b_")]
+    counts = counts.groupBy("pooled", F.when(~F.col("pooled"), F.col("stratum")).alias("own")).agg(F.max("strata").alias("strata"), *(F.sum(x).alias(x) for x in sums))
     cells = F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.lit(float(c)).alias("cutoff"), F.col(f"k_{r}_{i}").alias("k"), F.col(f"b_{r}_{i}").alias("bad")) for r in RULES for i, c in enumerate(CUTOFFS))))
-    tests = counts.withColumn("strata", F.count(F.lit(1)).over(Window.partitionBy())).select("stratum", "n", "strata", cells.alias("c")).select("stratum", "n", "strata", "c.*")
+    tests = counts.select("pooled", "own", "n", "strata", cells.alias("c")).select("pooled", "own", "n", "strata", "c.*")
     tests = tests.withColumn("p", binomial_tail(F.col("k"), F.col("n"), risk))
-    down = Window.partitionBy("stratum", "rule").orderBy(F.desc("cutoff"))
+    down = Window.partitionBy("pooled", "own", "rule").orderBy(F.desc("cutoff"))
     passed = tests.withColumn("worst", F.max("p").over(down)).filter(F.col("worst") <= F.lit(delta / len(RULES)) / F.col("strata"))
-    best = passed.groupBy("stratum", "rule").agg(F.max_by("cutoff", F.struct("bad", "cutoff")).alias("cutoff"))
-    return best.groupBy("stratum").agg(*(F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"max_{r}") for r in RULES))
+    best = passed.groupBy("pooled", "own", "rule").agg(F.max_by("cutoff", F.struct("bad", "cutoff")).alias("cutoff"))
+    wide = best.groupBy(F.col("pooled").alias("__pooled"), F.col("own").alias("__own")).agg(*(F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"max_{r}") for r in RULES))
+    return named.join(wide, (F.col("pooled") == F.col("__pooled")) & F.col("own").eqNullSafe(F.col("__own"))).select("stratum", *(f"max_{r}" for r in RULES))
 
 
 def judge(measured: DataFrame, cuts: DataFrame, stratum: str = "lang") -> DataFrame:

@@ -308,6 +308,34 @@ def test_quality_keeps_the_good_and_rejects_the_bad(spark):
     assert quality.quality_rules(docs, labels.limit(0)).filter("kept").count() == 3200
 
 
+def test_quality_pools_small_strata(spark):
+    """Cutoffs by a plain version of the tests: strata of 400, 150 and 150 good documents, of which the small ones are pooled."""
+    from math import ceil, comb, log
+
+    rng, rows = random.Random(5), []
+    for lang, n in (("en", 400), ("de", 150), (None, 150)):
+        for i in range(n + 60):
+            rows.append((len(rows), lang, i < n, rng.random() * (0.08 if i < n and i % 97 else 0.6)))
+    zero = {r: 0.0 for r in quality.RULES if r != "symbols"}
+    m = spark.createDataFrame([(i, lang, v, False) for i, lang, _, v in rows], "doc_id long, lang string, symbols double, base_failed boolean")
+    for r, v in zero.items():
+        m = m.withColumn(r, quality.F.lit(v))
+    got = {r.stratum: r.max_symbols for r in quality.thresholds(m, spark.createDataFrame([(i, g) for i, _, g, _ in rows], "doc_id long, good boolean")).collect()}
+    level, risk = 0.05 / 5 / 4, 0.02
+    least = ceil(log(level) / log(1 - risk))
+    assert 150 < least <= 300
+    for own in (["en"], ["de", None]):
+        held = [(g, v) for _, lang, g, v in rows if lang in own]
+        n, best = sum(g for g, _ in held), None
+        for c in quality.CUTOFFS:
+            k, bad = sum(g and v > c for g, v in held), sum(not g and v > c for g, v in held)
+            tail = 1.0 if k >= n * risk else sum(comb(n, j) * risk**j * (1 - risk) ** (n - j) for j in range(k + 1))
+            if tail > level:
+                break
+            best = max(best or (bad, c), (bad, c))
+        assert best and all(got[x] == best[1] for x in own)
+
+
 def test_ngram_join_edges(spark, odd):
     d = ngram_join.jaccard_components(odd).toPandas()
     assert len(d) == 10
