@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -44,13 +43,6 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner delete the shuffle files of finished steps now. It does so only when the driver collects its
-    garbage, which may be long after a step's result is stored."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 #: At most so many rows of ids and numbers are broadcast; more meet the texts by a shuffle.
 BROADCAST_ROWS = 1_000_000
 

@@ -6,7 +6,8 @@ samples), keeps the strongest bin of each frame that tops its neighbours in time
 three: code = (bin 1, bin 2, frames between), stored with the time of the first peak.
 
 Edge cases: a null text is empty (64 zero bytes, no peak of any strength); payloads shorter than a frame are analysed
-with zeros behind them; very long texts are transformed block by block; equal texts give equal values.
+with zeros behind them; very long texts are transformed block by block; equal texts give equal values; an empty table gives an empty result;
+further columns are carried along (the added one replaces one of its name).
 """
 
 from __future__ import annotations
@@ -104,4 +105,4 @@ def with_fingerprints(df: DataFrame, media_col: str = "media") -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = with_fingerprints(with_media(table(spark, sf_dir, "documents").select("doc_id", "text")))
-    return docs.select("doc_id", F.octet_length(text_of()).cast("long").alias("n_bytes"), "fingerprint.payload_bytes", "fingerprint.payload_sha256", "fingerprint.tail_crc32", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "fingerprint.feature")
+    return docs.select("doc_id", F.octet_length(text_of()).cast("long").alias("n_bytes"), "fingerprint.payload_bytes", "fingerprint.payload_sha256", "fingerprint.tail_crc32", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "fingerprint.feature", "fingerprint.times", "fingerprint.codes")

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, table, text_of, words_of
+from .common import WORD, stored, table, text_of, words_of
 
 SYMBOLS = "#*$%&|<>"
 
@@ -60,6 +60,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     row = [F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")] if carry else []
     rows = df.select(F.col(id_col), F.col(source_col).alias("src"), size.alias("size"), (-F.log(u) / weight).alias("key"), *row)
     rows = rows.withColumn("bucket", F.floor(F.log2("key") * 1024).cast("int")).withColumn("no_src", F.col("src").isNull()).withColumn("src_key", F.coalesce("src", F.lit("")))
+    rows = rows if carry else stored(rows, "mix")  # ids, sizes and keys only: words are counted once
     group = ["src_key", "no_src", "bucket"]
     slim = rows.drop("row") if carry else rows
     buckets = slim.groupBy(*group).agg(F.sum("size").alias("in_bucket"))

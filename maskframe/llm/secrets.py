@@ -9,7 +9,8 @@ first and the pieces of the tokenizer's vocabulary by rank, so that words of a s
 
 Edge cases: null texts are empty; very long values cost linear time, as no segment but a repeat or brute force is
 longer than 32 characters; long words that the vocabulary lacks (rare or of other languages) can cost as much as a
-secret; ties between segmentations have equal cost; equal rows get equal results.
+secret; ties between segmentations have equal cost; equal rows get equal results; further columns are not read; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ august september october november december monday tuesday wednesday thursday fri
 this that from have""".split()
 RANK = {w: i + 1 for i, w in enumerate(WORDS)}
 WALK = {(a, b) for row in ROWS for a, b in zip(row, row[1:], strict=False)} | {(b, a) for row in ROWS for a, b in zip(row, row[1:], strict=False)}
-DATE = re.compile(r"(?:(?:19|20)\d\d[-/._]?[01]\d[-/._]?[0-3]\d|[0-3]?\d[-/._][01]?\d[-/._](?:19|20)\d\d|(?:19|20)\d\d)")
+DATES = tuple(re.compile(x) for x in (r"(?:19|20)\d\d[-/._]?[01]\d[-/._]?[0-3]\d", r"[0-3]?\d[-/._][01]?\d[-/._](?:19|20)\d\d", r"(?:19|20)\d\d"))
 LONGEST, LEAST_COST, LEAST_LENGTH = 32, 12.0, 12
 
 
@@ -72,7 +73,7 @@ def guess_cost(value: str, lexicon: dict[str, int] | None = None) -> float:
     dates: dict[int, list[int]] = {}
     for a in range(n):
         if value[a].isdigit():
-            for m in [DATE.match(value, a)]:
+            for m in (d.match(value, a) for d in DATES):
                 if m:
                     dates.setdefault(m.end(), []).append(a)
     for e in range(1, n + 1):
@@ -107,37 +108,50 @@ def base_spans(text: str, hinted: bool) -> list[Span]:
     return ordered(found, KINDS)
 
 
+def judged(text: str) -> list[tuple[int, int, int, float]]:
+    """(start of the context, start and end of the value, guess cost) of every value in a credential context."""
+    out = []
+    for m in CONTEXT.finditer(text) if hinted(text) else ():
+        value = m[1].rstrip("\"'`.,;)")
+        out.append((m.start(), m.start(1), m.start(1) + len(value), guess_cost(value, lexicon())))
+    return out
+
+
+def hinted(text: str) -> bool:
+    low = text.lower()
+    return any(h in low for h in HINTS)
+
+
 def all_spans(text: str, least_cost: float = LEAST_COST) -> tuple[list[Span], list[Span]]:
     """Base spans, and base spans with those that the guess costs add."""
-    low = text.lower()
-    hinted = any(h in low for h in HINTS)
-    base = base_spans(text, hinted)
-    new = []
-    if hinted:
-        for m in CONTEXT.finditer(text):
-            value = m[1].rstrip("\"'`.,;)")
-            if guess_cost(value, lexicon()) >= least_cost:
-                new.append(("assign", m.start(), m.start(1) + len(value)))
+    return with_added(text, judged(text), least_cost)
+
+
+def with_added(text: str, values: list[tuple[int, int, int, float]], least_cost: float) -> tuple[list[Span], list[Span]]:
+    base = base_spans(text, hinted(text))
+    new = [("assign", start, end) for start, _, end, cost in values if cost >= least_cost]
     return base, ordered(base + free_of(new, base), KINDS) if new else base
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_cost: float = LEAST_COST, redact: bool = False) -> DataFrame:
-    """One row for each row of df: id, counts of base spans by kind, base_sha256, spans, and the redacted text if asked."""
+    """One row for each row of df: id, counts of base spans by kind, base_sha256, spans, costs (start:end:cost of every value in a credential
+    context, in log10 of guesses), and the redacted text if asked."""
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for t in b["text"]:
-                base, spans = all_spans(t or "", least_cost)
+                values = judged(t or "")
+                base, spans = with_added(t or "", values, least_cost)
                 count = [sum(s[0] == k for s in base) for k in KINDS]
                 clean = [redacted(t, spans)] if redact else []
-                rows.append((*count, hashlib.sha256(as_text(base).encode()).hexdigest(), as_text(spans), *clean))
-            out = pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans", *["redacted"] * redact])
+                rows.append((*count, hashlib.sha256(as_text(base).encode()).hexdigest(), as_text(spans), ",".join(f"{a}:{b}:{cost:.2f}" for _, a, b, cost in values), *clean))
+            out = pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans", "costs", *["redacted"] * redact])
             out.insert(0, "id", b["id"].array)
             yield out
 
-    schema = f"id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string" + ", redacted string" * redact
+    schema = f"id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, costs string" + ", redacted string" * redact
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, schema).withColumnRenamed("id", id_col)
 
 

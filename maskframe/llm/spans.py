@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterable, Sequence
+from itertools import accumulate
 
 Span = tuple[str, int, int]
 
@@ -16,11 +18,13 @@ def as_text(spans: Iterable[Span]) -> str:
 
 
 def free_of(new: Iterable[Span], old: Iterable[Span]) -> list[Span]:
-    """Those of new that overlap none of old and none kept before them."""
+    """Those of new that overlap none of old and none kept before them. n log n steps."""
+    by_start = sorted((a, b) for _, a, b in old)
+    starts, reach = [a for a, _ in by_start], [0, *accumulate((b for _, b in by_start), max)]
     kept: list[Span] = []
-    taken = [(a, b) for _, a, b in old]
+    end = 0
     for s in sorted(new, key=lambda s: (s[1], -s[2])):
-        if all(s[2] <= a or b <= s[1] for a, b in taken):
+        if s[1] >= end and reach[bisect_left(starts, s[2])] <= s[1]:
             kept.append(s)
-            taken.append(s[1:])
+            end = s[2]
     return kept

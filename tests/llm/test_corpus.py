@@ -246,6 +246,96 @@ def test_words_of_a_sentence_are_no_secrets():
     assert secrets.all_spans(text) == ([], [])
 
 
+def test_guess_cost_equals_enumeration():
+    from functools import cache
+    from math import log10
+
+    rank = {"abc": 4, "ab1": 9, "qwe": 2, "pass": 1}
+
+    def segment(s, one):
+        """Cheapest cost of s as one segment that is no single character."""
+        low, found = s.lower(), []
+        if len(set(low)) == 1 and len(s) >= 3:
+            found.append(one + log10(len(s)))
+        if len(s) >= 3 and all((a, b) in secrets.WALK for a, b in zip(low, low[1:])):
+            found.append(1.7 + log10(len(s)))
+        if len(s) >= 3 and all(abs(ord(a) - ord(b)) == 1 for a, b in zip(low, low[1:])):
+            found.append(1.2 + log10(len(s)))
+        if low in rank:
+            found.append(log10(rank[low] + 1) + 0.3 * (s != low))
+        if re.fullmatch(r"(?:19|20)\d\d(?:[-/._]?[01]\d[-/._]?[0-3]\d)?|[0-3]?\d[-/._][01]?\d[-/._](?:19|20)\d\d", s):
+            found.append(4.6)
+        return min(found, default=float("inf")) + log10(2)
+
+    rng = random.Random(9)
+    for _ in range(1500):
+        s = "".join(rng.choice(["a", "b", "c", "q", "w", "e", "1", "2", "A", "!", "abc", "pass", "1999", "20240131", "aaa", "ab1"]) for _ in range(rng.randrange(1, 5)))
+        size = 10 * any(x.isdigit() for x in s) + 26 * any(x.islower() for x in s) + 26 * any(x.isupper() for x in s) + 33 * any(not x.isalnum() for x in s)
+        one = log10(max(size, 2))
+
+        @cache
+        def least(i):
+            return 0.0 if i == len(s) else min([one + least(i + 1), *(segment(s[i:j], one) + least(j) for j in range(i + 3, len(s) + 1))])
+
+        # a run of equal characters is one segment as a whole, dates are read at their longest
+        got = secrets.guess_cost(s, rank)
+        assert got >= least(0) - 1e-9 and (got <= least(0) + 1e-9 or re.search(r"(.)\1\1\1|\d", s.lower())), s
+
+
+def test_spans_free_of_others_equal_a_plain_search():
+    from maskframe.llm.spans import free_of
+
+    rng = random.Random(3)
+    make = lambda n: [("k", a, a + rng.randrange(1, 6)) for a in (rng.randrange(60) for _ in range(n))]
+    for _ in range(500):
+        old, new, kept = make(rng.randrange(6)), make(rng.randrange(12)), []
+        for s in sorted(new, key=lambda s: (s[1], -s[2])):
+            if all(s[2] <= a or b <= s[1] for _, a, b in old + kept):
+                kept.append(s)
+        assert free_of(new, old) == kept
+
+
+def test_secret_costs_are_reported(spark):
+    d = spark.createDataFrame([(1, "password=Zr8!kQ2pLw9x and pwd: password1", "x"), (2, None, "x")], "doc_id long, text string, spans string")
+    r = {x.doc_id: x.costs for x in secrets.scan(d).collect()}
+    a, b = r[1].split(",")
+    assert r[2] == "" and a.startswith("9:21:") and float(a.split(":")[2]) > 12 > float(b.split(":")[2])
+
+
+def test_rendezvous_equals_plain_hashing(spark):
+    import struct
+    from math import log
+
+    import xxhash
+
+    d = spark.createDataFrame([(i,) for i in [None, *range(300)]], "doc_id long")
+    weights = [1.0, 2.0, 0.5, 1.0]
+
+    def shard(key, weights):
+        times = []
+        for s, w in enumerate(weights):
+            h = xxhash.xxh64_intdigest(struct.pack("<i", s), seed=xxhash.xxh64_intdigest(("" if key is None else str(key)).encode(), seed=42))
+            times.append((-log(((h >> 11) + 0.5) / 2**53) / w, s))
+        return min(times)[1]
+
+    for r in sharding.assign_shards(d, shards=4, weights=weights, new_weight=3.0).collect():
+        assert r.shard == shard(r.doc_id, weights) and r.grown_shard == shard(r.doc_id, [*weights, 3.0])
+
+
+def test_peaks_equal_a_direct_transform():
+    rng = np.random.default_rng(4)
+    raw = rng.integers(0, 256, 64 * 30, dtype=np.uint8)
+    x, power, bins = raw.astype(float) - 128, [], []
+    for lo in range(0, len(x) - 127, 64):
+        f = (x[lo : lo + 128] - x[lo : lo + 128].mean()) * np.hanning(128)
+        s = [abs(sum(f[t] * np.exp(-2j * np.pi * k * t / 128) for t in range(128))) for k in range(1, 65)]
+        bins.append(int(np.argmax(s)) + 1)
+        power.append(max(s))
+    want = [i for i, p in enumerate(power) if all(p > power[j] for j in range(max(0, i - 2), i)) and all(p >= power[j] for j in range(i + 1, min(len(power), i + 3)))]
+    at, b = media.peaks(raw.tobytes())
+    assert at.tolist() == want and b.tolist() == [bins[i] for i in want]
+
+
 def brute_quality(text):
     w = WORD.findall(text or "")
     lines = [x for x in (text or "").split("\n") if WORD.search(x)]
