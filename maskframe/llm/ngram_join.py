@@ -289,9 +289,12 @@ def class_of(name: str) -> Column:
 
 
 def open_classes(found: DataFrame) -> DataFrame:
-    """(fam, cls): the open classes and the families that they go to, named by the first members of large groups."""
-    first = F.min(class_of("a")).over(Window.partitionBy("sig")).alias("first")
-    large = found.filter(F.col("kind") == LARGE).select(class_of("a").alias("cls"), band_of().alias("band"), part_of().alias("part"), first)
+    """(fam, cls): the open classes and the families that they go to. A large group's first member names it, or the smallest
+    first member of the large groups that this one is in: groups that overlap share names, and a class is in few families."""
+    group, own = Window.partitionBy("sig"), Window.partitionBy("cls")
+    large = found.filter(F.col("kind") == LARGE).select("sig", class_of("a").alias("cls"), band_of().alias("band"), part_of().alias("part"))
+    large = large.withColumn("first", F.min("cls").over(group)).withColumn("least", F.min("first").over(own))
+    large = large.withColumn("first", F.max(F.when(F.col("cls") == F.col("first"), F.col("least"))).over(group))
     hot = large.groupBy("cls", "band").agg(F.size(F.collect_set("part")).alias("hot"), F.collect_set("first").alias("firsts"))
     need = F.shiftright("sig", BAND_AT + BAND_BITS).bitwiseAND(F.lit(0xFFFF))
     needs = found.filter(F.col("kind") == NEEDS).select(F.col("a").alias("cls"), band_of().alias("band"), need.alias("need")).distinct()
