@@ -559,7 +559,47 @@ def test_substring_edges(spark, odd):
     g = d.dropna(subset=["doc_id"]).groupby("doc_id").first()
     assert len(d) == 10 and g.loc[7, "n_removed"] == 3000 and g.loc[6, "n_removed"] == 0 and g.loc[7, "kept_text"] == "end"
     s = substrings.repeated_spans(odd).collect()
-    assert [(r.doc, r.source, r.start, r.end) for r in s] == [(7, 6, 0, 3000)]
+    assert [tuple(r) for r in s] == [(7, 6, 0, 3000, 0)]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_compacted_spans_equal_brute_force(spark, monkeypatch, seed):
+    """Windows of 4 words over few words, so that paths branch often; ids repeat and are null; lists of ranges are short."""
+    monkeypatch.setattr(substrings, "RANGES", 2)
+    rng, k = random.Random(seed), 4
+    docs = [(i if i % 17 else None, " ".join(rng.choice("abcd") for _ in range(rng.choice([0, 3, 4, 15, 40])))) for i in range(60)]
+    docs += [(70, docs[2][1]), (71, docs[5][1] + " " + docs[3][1]), (71, docs[5][1] + " a"), (71, docs[5][1] + " a"), (72, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    words = [(i, (t or "").split()) for i, t in docs]
+    first = {}
+    for i, w in sorted((x for x in words if x[0] is not None), key=lambda x: x[0]):
+        for p in range(len(w) - k + 1):
+            first.setdefault(tuple(w[p : p + k]), i)
+    want = []
+    for i, w in words:
+        gone = {q for p in range(len(w) - k + 1) for q in range(p, p + k) if (s := first.get(tuple(w[p : p + k]))) is not None and (i is None or s < i)}
+        kept = " ".join(x for q, x in enumerate(w) if q not in gone)
+        want.append((-1 if i is None else i, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    got = [(-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substrings.deduplicate(df, window=k).collect()]
+    assert sorted(got) == sorted(want)
+    known = {}
+    for i, w in words:
+        known.setdefault(i, []).append(w)
+    spans = substrings.repeated_spans(df.filter("doc_id is not null"), window=k).collect()
+    assert len(spans) > 100
+    for r in spans:
+        own = {tuple(w[r.start : r.end]) for w in known[r.doc]}
+        assert own & {tuple(w[r.source_start : r.source_start + r.end - r.start]) for w in known[r.source]}
+        assert r.source < r.doc and r.end - r.start >= k
+
+
+def test_paths_end_where_the_graph_branches(spark):
+    docs = [(1, "a b c d e f g"), (2, "x a b c d e f y"), (3, "q c d e z"), (4, "r c d e z")]
+    edges = substrings.edges_of(substrings.with_keys(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text"), 3)
+    rows = edges.filter("pos is not null").selectExpr("doc", "cls", "inline(arrays_zip(pos, left, right, h2))")
+    got = sorted((r.s_doc, r.s_pos, r.path) for r in substrings.paths(rows).collect())
+    # c d -> d e is followed by e f (documents 1, 2) and e z (3, 4): d e branches, and so the paths end there
+    assert got == [(1, 0, 0), (1, 1, 0), (1, 2, 0), (1, 3, 3), (3, 2, 2)]
 
 
 def test_word_hashes_follow_words():
