@@ -26,9 +26,12 @@ def words_of(col: str = "text") -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. A temporary one is set only where the session names none (tests)."""
+    """The folder that all executors share. Where the session names none, a local session gets a temporary one (tests); a
+    cluster has none that all its machines see, so there it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(found)
     return found

@@ -155,11 +155,6 @@ def need_rows(cls: int, first: int, needs: list[int]) -> np.ndarray:
     return np.array([(cls & 0x1FFFFF) << 43 | min(n, 0xFFFF) << BAND_AT + BAND_BITS | first + i << BAND_AT | NEED for i, n in enumerate(needs)], dtype=np.uint64)
 
 
-def sealed(h: np.ndarray, tail: np.ndarray) -> np.ndarray:
-    """A digest with band and part in its lowest bits."""
-    return (h & ~U64((1 << BAND_AT + BAND_BITS) - 1)) | tail
-
-
 def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     if min(len(a), len(b)) * 100 < max(len(a), len(b)) * percent:
         return False

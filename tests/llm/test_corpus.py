@@ -9,7 +9,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
-from maskframe.llm import components, hashing, language, media, mixing, ngram_join, packing, pii, quality, queries, secrets, sharding, substrings
+from maskframe.llm import common, components, hashing, language, media, mixing, ngram_join, packing, pii, quality, queries, secrets, sharding, substrings
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -608,6 +608,18 @@ def test_word_hashes_follow_words():
     assert [len(x) for x in h] == [3, 0, 0, 2, 2] and h[0][0] == h[0][2] == h[3][1] and h[0][1] == h[3][0] and h[4][0] == h[4][1]
 
 
+def test_shared_folder_of_a_cluster_must_be_named():
+    class Session:
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+        class sparkContext:
+            master, getCheckpointDir = "spark://host:7077", staticmethod(lambda: None)
+
+    with pytest.raises(RuntimeError):
+        common.shared_dir(Session)
+
+
 def test_empty_tables(spark, odd):
     none = odd.limit(0)
     for f in (lambda: sharding.assign_shards(none), lambda: mixing.mix(none), lambda: packing.pack(none, str(packing.default_tokenizer())), lambda: media.with_media(none), lambda: ngram_join.jaccard_components(none), lambda: substrings.deduplicate(none), lambda: secrets.scan(none), lambda: pii.find(none, pii.trained(none)), lambda: language.detect(none), lambda: quality.quality_rules(none, spark.createDataFrame([], "doc_id long, good boolean"))):
