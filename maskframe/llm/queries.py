@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, media, mixing, ngram_join, packing, pii, quality, secrets, sharding, substrings
+from . import exact, infill, language, media, mixing, negatives, ngram_join, packing, pii, quality, secrets, sharding, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_private_data": pii.query,
@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": language.query,
     "op9_secret_scan": secrets.query,
     "op10_quality_rules": quality.query,
+    "op11_exact_dedup": exact.query,
+    "op12_hard_negatives": negatives.query,
+    "op13_fill_in_middle": infill.query,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_ngram_jaccard": ngram_join.ORACLE, "op4_substring_dedup": substrings.ORACLE, "op6_source_mixing": mixing.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op3_ngram_jaccard": ngram_join.ORACLE, "op4_substring_dedup": substrings.ORACLE, "op6_source_mixing": mixing.ORACLE, "op11_exact_dedup": exact.ORACLE, "op12_hard_negatives": negatives.ORACLE, "op13_fill_in_middle": infill.ORACLE}
