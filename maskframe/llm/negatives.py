@@ -25,7 +25,7 @@ not read. Integers whose scores might leave 63 bits raise an error before any wo
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,7 +37,7 @@ from .common import stored, table
 
 LEVELS, PLANES, SEED = 4, 6, 12
 #: Anchors of a part, anchors and rows that are compared at once, rows of a stripe.
-PART, ANCHORS, BLOCK, STRIPE, LEAST_STRIPES = 32_768, 1024, 1024, 1 << 20, 24
+PART, ANCHORS, BLOCK, STRIPE, LEAST_STRIPES = 32_768, 256, 512, 1 << 20, 12
 #: Pairs are scored once so small a share of them is left, or after the last level.
 FEW = 0.02
 NONE = np.iinfo(np.int64).min
@@ -109,31 +109,43 @@ class Queries:
 
     def along(self, code: np.ndarray) -> np.ndarray:
         """Inner products of the rounded anchors with signs, by popcounts: (anchors, rows)."""
-        found = np.zeros((len(self.low), len(code)), dtype=np.int32)
-        for p, plane in enumerate(self.planes):
+        shape = (len(self.low), len(code))
+        both, count, plane_sum = np.empty(shape, dtype=np.uint64), np.empty(shape, dtype=np.uint8), np.zeros(shape, dtype=np.uint16 if self.wide <= 1024 else np.int32)
+        for plane in reversed(self.planes):
+            plane_sum <<= 1
             for w in range(code.shape[1]):
-                found += np.bitwise_count(plane[:, None, w] & code[None, :, w]).astype(np.int32) << p
+                np.bitwise_and(plane[:, None, w], code[None, :, w], out=both)
+                plane_sum += np.bitwise_count(both, out=count)
         ones = np.bitwise_count(code).sum(axis=1, dtype=np.int64)
-        return self.low[:, None] * (2 * ones - self.wide)[None, :] + self.step[:, None] * (2 * found - self.total[:, None])
-
-    def pairs(self, rows: Rows, counts: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(anchor, row, score) of the pairs for which counts(low, high) holds to the last level."""
-        estimate = 0.0
-        norm = rows.scales[:, 0]
-        slack = self.error[:, None] * norm[None, :] + 1e-7 * np.sqrt(self.square)[:, None] * norm[None, :] + 0.01
-        left = np.zeros(0, dtype=bool)
+        found = plane_sum.astype(np.float32)
+        found *= (2 * self.step)[:, None].astype(np.float32)
+        found += (self.low[:, None] * (2 * ones - self.wide)[None, :] - (self.step * self.total)[:, None]).astype(np.float32)
+        return found
+
+    def pairs(self, rows: Rows, least: np.ndarray, most: np.ndarray, asked: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(anchor, row, score) of the pairs, among those asked for, whose interval meets least to most of the anchor at every level."""
+        scales = rows.scales.astype(np.float32)
+        norm = scales[:, 0]
+        slack = ((self.error + 1e-5 * np.sqrt(self.square))[:, None].astype(np.float32) * norm[None, :]) + np.float32(1)
+        square, least, most = self.square[:, None].astype(np.float32), least[:, None].astype(np.float32), most[:, None].astype(np.float32)
+        estimate, left = np.zeros(slack.shape, dtype=np.float32), None
         for level in range(LEVELS):
             t = self.along(rows.codes[:, level])
-            estimate = estimate + rows.scales[None, :, 1 + level] * t
-            width = rows.scales[None, :, 1 + LEVELS + level] * np.sqrt(np.maximum(self.square[:, None] - t * t / self.wide, 0)) + slack
-            left = counts(estimate - width, estimate + width)
-            if left.mean() <= FEW:
+            estimate += scales[None, :, 1 + level] * t
+            t *= t
+            t *= np.float32(-1 / self.wide)
+            t += square
+            np.maximum(t, 0, out=t)
+            np.sqrt(t, out=t)
+            t *= scales[None, :, 1 + LEVELS + level]
+            t += slack
+            left = (estimate + t >= least) & (estimate - t <= most)
+            if asked is not None:
+                left &= asked
+            if np.count_nonzero(left) <= FEW * left.size:
                 break
         a, r = np.nonzero(left)
-        score = np.empty(len(a), dtype=np.int64)
-        for lo in range(0, len(a), 1 << 16):
-            score[lo : lo + (1 << 16)] = np.einsum("ij,ij->i", self.q[a[lo : lo + (1 << 16)]], rows.q[r[lo : lo + (1 << 16)]])
-        return a, r, score
+        return a, r, np.einsum("ij,ij->i", self.q[a], rows.q[r])
 
 
 class Best:
@@ -168,24 +180,26 @@ class Positives:
 
     def __init__(self, anchors: pd.DataFrame, dim: int, turn: np.ndarray, k: int) -> None:
         anchors = anchors.sort_values("label", kind="stable")
-        self.key, self.rows, self.turn = anchors["key"].to_numpy(np.int64), Rows.of(anchors, dim), turn
-        self.best = Best(len(anchors), k)
+        self.key, self.rows = anchors["key"].to_numpy(np.int64), Rows.of(anchors, dim)
         starts = [*np.flatnonzero(np.diff(self.rows.label, prepend=self.rows.label[0] - 1)), len(anchors)]
-        self.groups = {int(self.rows.label[a]): [(lo, Queries(self.rows.q[lo : min(lo + ANCHORS, b)], turn)) for lo in range(a, b, ANCHORS)] for a, b in zip(starts, starts[1:])}
+        tiles = [(lo, min(lo + ANCHORS, b)) for a, b in zip(starts, starts[1:]) for lo in range(a, b, ANCHORS)]
+        self.tiles: dict[int, list] = {}
+        for lo, hi in tiles:
+            self.tiles.setdefault(int(self.rows.label[lo]), []).append((lo, Queries(self.rows.q[lo:hi], turn), Best(hi - lo, k)))
 
     def add(self, block: Rows) -> None:
         for label in np.unique(block.label):
-            own = None
-            for lo, queries in self.groups.get(int(label), []):
-                own = own or block.at(np.flatnonzero(block.label == label))
-                worst = self.best.worst[lo : lo + len(queries.q), None]
-                a, r, score = queries.pairs(own, lambda _, high, worst=worst: high >= worst)
+            tiles = self.tiles.get(int(label), [])
+            own = block.at(np.flatnonzero(block.label == label)) if tiles else None
+            for lo, queries, best in tiles:
+                a, r, score = queries.pairs(own, best.worst, np.full(len(best.worst), np.inf))
                 other = own.id[r] != self.rows.id[a + lo]
-                self.best.add((a + lo)[other], score[other], own.id[r[other]])
+                best.add(a[other], score[other], own.id[r[other]])
 
     def found(self) -> pd.DataFrame:
-        b = self.best
-        return pd.DataFrame({"anchor": self.rows.id[b.slot], "key": self.key[b.slot], "id": b.id, "score": b.score})
+        parts = [(lo + best.slot, best) for tiles in self.tiles.values() for lo, _, best in tiles]
+        at = np.concatenate([x for x, _ in parts])
+        return pd.DataFrame({"anchor": self.rows.id[at], "key": self.key[at], "id": np.concatenate([b.id for _, b in parts]), "score": np.concatenate([b.score for _, b in parts])})
 
 
 class Negatives:
@@ -200,32 +214,27 @@ class Negatives:
         self.positive = np.full((len(anchors), self.width), -1)  # a negative score has no window
         for i, p in enumerate(positives):
             self.positive[i, : len(p)] = p
-        self.floor = np.where(self.positive < 0, 1, -(-low * self.positive // 100))
-        self.ceiling = np.where(self.positive < 0, 0, high * self.positive // 100)
-        self.best = Best(self.positive.size, k)
-        self.queries = [(lo, Queries(self.rows.q[lo : lo + ANCHORS], turn)) for lo in range(0, len(anchors), ANCHORS)]
+        none = self.positive < 0
+        self.floor = np.where(none, np.iinfo(np.int64).max, -(-low * self.positive // 100))
+        self.ceiling = np.where(none, NONE, high * self.positive // 100)
+        self.tiles = []
+        for lo in range(0, len(anchors), ANCHORS):
+            q = self.rows.q[lo : lo + ANCHORS]
+            self.tiles.append((lo, Queries(q, turn), Best(len(q) * self.width, k)))
 
     def add(self, block: Rows) -> None:
-        for lo, queries in self.queries:
+        for lo, queries, best in self.tiles:
             part = slice(lo, lo + len(queries.q))
-            least = np.maximum(self.floor[part], self.best.worst.reshape(self.positive.shape)[part])
-            most = self.ceiling[part]
+            most, least = self.ceiling[part], np.maximum(self.floor[part], best.worst.reshape(-1, self.width))
             other = (self.rows.label[part, None] != block.label[None, :]) & (self.rows.id[part, None] != block.id[None, :])
-
-            def counts(low: np.ndarray, high: np.ndarray, least=least, most=most, other=other) -> np.ndarray:
-                meets = np.zeros(other.shape, dtype=bool)
-                for j in range(self.width):
-                    meets |= (low <= most[:, None, j]) & (high >= least[:, None, j])
-                return meets & other
-
-            a, r, score = queries.pairs(block, counts)
-            for j in range(self.width):
-                inside = (score >= least[a, j]) & (score <= most[a, j])
-                self.best.add((a[inside] + lo) * self.width + j, score[inside], block.id[r[inside]])
+            a, r, score = queries.pairs(block, least.min(axis=1), most.max(axis=1), other)
+            at, j = np.nonzero((score[:, None] >= least[a]) & (score[:, None] <= most[a]))
+            best.add(a[at] * self.width + j, score[at], block.id[r[at]])
 
     def found(self) -> pd.DataFrame:
-        b = self.best
-        return pd.DataFrame({"key": self.key[b.slot // self.width], "positive_score": self.positive.ravel()[b.slot], "id": b.id, "score": b.score})
+        parts = [(lo * self.width + best.slot, best) for lo, _, best in self.tiles]
+        at = np.concatenate([x for x, _ in parts])
+        return pd.DataFrame({"key": self.key[at // self.width], "positive_score": self.positive.ravel()[at], "id": np.concatenate([b.id for _, b in parts]), "score": np.concatenate([b.score for _, b in parts])})
 
 
 def swept(anchors: DataFrame, rows: DataFrame, stripes: int, dim: int, kind: type, **options) -> DataFrame:
@@ -237,7 +246,7 @@ def swept(anchors: DataFrame, rows: DataFrame, stripes: int, dim: int, kind: typ
     # a key on every row: pandas turns whole numbers beside nulls into floating ones
     both = asked.withColumn("row", F.lit(0)).unionByName(read.withColumns({"row": F.lit(1), "key": F.lit(0).cast("long")}), allowMissingColumns=True)
     both = both.select("part", "stripe", "row", "id", "label", "q", "codes", "scales", *fields)
-    dealt = both.repartition(min(4096, parts * stripes), "part", "stripe").sortWithinPartitions("part", "stripe", "row")
+    dealt = both.repartitionById(parts * stripes, (F.col("part") * stripes + F.col("stripe")).cast("int")).sortWithinPartitions("part", "stripe", "row")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         turn = rotation(dim)

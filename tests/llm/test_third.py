@@ -162,18 +162,14 @@ def test_intervals_hold_and_filter():
     codes, scales = negatives.coded(q, turn)
     assert np.allclose(turn @ turn.T, np.eye(64))
     rows = negatives.Rows(np.arange(3000), np.zeros(3000, dtype=np.int64), q.astype(np.int64), codes, scales)
-    queries, exact_scores, widths = negatives.Queries(q[:40].astype(np.int64), turn), q[:40] @ q.T, []
-
-    def holds(low, high):
-        assert (low <= exact_scores).all() and (exact_scores <= high).all()
-        widths.append((high - low).mean())
-        return np.ones(low.shape, dtype=bool)
-
-    assert queries.pairs(rows, holds)[2].tolist() == exact_scores.ravel().astype(int).tolist()
-    assert len(widths) == negatives.LEVELS and all(b < 0.8 * a for a, b in zip(widths, widths[1:], strict=False))
-    fifth = np.sort(exact_scores, axis=1)[:, -6]
-    a, _, score = queries.pairs(rows, lambda low, high: high >= fifth[:, None])
-    assert len(score) < 0.1 * exact_scores.size and (np.bincount(a, score >= fifth[a]) == 6).all()
+    queries, exact_scores, every = negatives.Queries(q[:40].astype(np.int64), turn), q[:40] @ q.T, np.full(40, -np.inf)
+    assert queries.pairs(rows, every, -every)[2].tolist() == exact_scores.ravel().astype(int).tolist()
+    for rank in (1, 6, 100):  # no pair that reaches a limit is lost, and few others are scored
+        limit = np.sort(exact_scores, axis=1)[:, -rank]
+        a, _, score = queries.pairs(rows, limit, -every)
+        assert (np.bincount(a, score >= limit[a]) == rank).all() and len(score) < (0.1 if rank < 100 else 0.4) * exact_scores.size
+        a, _, score = queries.pairs(rows, every, -limit)
+        assert (np.bincount(a, score <= -limit[a], minlength=40) == (exact_scores <= -limit[:, None]).sum(axis=1)).all()
 
 
 def test_scores_beyond_63_bits_are_an_error(spark):
