@@ -113,7 +113,7 @@ def in_image(pixels: DataFrame, width: int, height: int) -> DataFrame:
 
 def erode(pixels: DataFrame, k: int = 5, keys: list[str] = KEYS, size: tuple[int, int] | None = None) -> DataFrame:
     """Pixels whose k x k neighbourhood is all in the mask, by one pass along rows and one along columns. With the image's
-    size (width, height) what lies outside of it does not erode.
+    size (width, height) what lies outside of it does not erode; without it a mask is taken as if it lay in the open.
 
     Runs of neighbours are found by subtracting the rank from the coordinate; a pixel survives a pass if it is k // 2 or
     more from both ends of its run, or if the image ends before.

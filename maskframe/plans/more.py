@@ -308,8 +308,7 @@ def _(spark, sf):
 
 @query("sta4_verdict", "~c AS (SELECT count(*) AS n, count(*) FILTER (y_true = y_pred_a) AS a, count(*) FILTER (y_true = y_pred_b) AS b FROM v_label_pairs) SELECT CASE WHEN abs(((a - b) / n) / sqrt((a + b) / (2 * n) * (1 - (a + b) / (2 * n)) * 2 / n)) > 1.959963984540054 THEN 'significant' ELSE 'not significant' END AS verdict FROM c", "v_label_pairs")
 def _(spark, sf):
-    z = metrics.two_proportions(view(spark, sf, "v_label_pairs")).first()["z"]
-    return spark.range(1).select(metrics.verdict(F.lit(metrics.two_sided_p(z))).alias("verdict"))
+    return metrics.two_proportions(view(spark, sf, "v_label_pairs")).select(metrics.verdict(metrics.p_value(c("z"))).alias("verdict"))
 
 
 FEATURES = ["x", "y", "frac_m", "frac_c"]
