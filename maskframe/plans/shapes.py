@@ -1,12 +1,18 @@
-"""Queries on runs, polygons, components and quantiles, with SQL by point-in-polygon and by recursive search."""
+"""Queries on runs, polygons, components, quantiles, lists, running counters and showcases, with SQL by point-in-polygon and by
+recursive search."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import metrics, pixels, runs
+from ..operators import metrics, pixels, runs, selectors
+from ..sources import scans
+from ..sources.shared import shared_folder
 from ..sources.views import view, with_views
+from ..streaming import incremental
 from .registry import ORACLE_SQL, K, lesions, query, r6
 
 # polygons: five corners with a notch for each order, and the same shape shifted and bent
@@ -115,3 +121,57 @@ def _(spark, sf):
 def _(spark, sf):
     d = spark.read.parquet(f"{sf}/documents.parquet").select(F.length("text").alias("n"))
     return metrics.quantiles(d, "n", [0.0, 0.01, 0.5, 0.95, 0.999, 1.0]).select("prob", *r6("value"))
+
+
+# lists and streams that are derived from the tables
+
+
+@query("src13_aligned_lists", "SELECT row_number() OVER (ORDER BY sample_id) - 1 AS pos, y_true, y_pred_a, y_pred_b FROM v_label_pairs", "v_label_pairs")
+def _(spark, sf):
+    """The labels as three text lists in the order of their samples, read back line by line."""
+    out, names = f"{shared_folder(spark)}/lists-{uuid.uuid4().hex}", ["y_true", "y_pred_a", "y_pred_b"]
+    rows = view(spark, sf, "v_label_pairs")
+    for name in names:
+        rows.select("sample_id", name).orderBy("sample_id").select(F.concat(F.lit(" "), name, F.lit("\n")).alias("value")).write.text(f"{out}/{name}")
+    return scans.read_aligned(spark, {name: f"{out}/{name}" for name in names})
+
+
+@query("agg2_running_counters", "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total, max(value) AS most FROM events GROUP BY ALL")
+def _(spark, sf):
+    """The events as a stream of files, three batches, and the table of counters after them."""
+    out, events = f"{shared_folder(spark)}/counters-{uuid.uuid4().hex}", spark.read.parquet(f"{sf}/events.parquet").select("event_id", "event_type", "value")
+    events.repartition(12, "event_id").write.parquet(f"{out}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 4).parquet(f"{out}/in")
+    counted = [F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"), F.max("value").alias("most")]
+    incremental.run_counters(stream, ["event_type"], counted, f"{out}/out", f"{out}/checkpoint").awaitTermination()
+    return incremental.counters(spark, f"{out}/out", ["event_type"]).select("event_type", "n", F.round("total", 4).alias("total"), "most")
+
+
+# showcases
+
+EVALUATED = """SELECT case_id, id, concat(cast(1 + id % 4 as int), right(tooth_id, 1)) AS tooth_id, CASE flag WHEN 'R' THEN 'tooth_id' WHEN 'A' THEN 'centroid_proximity' ELSE 'FN' END AS match_type, x > 40 AS pca_clamped,
+  CASE pos % 4 WHEN 0 THEN 'True' WHEN 1 THEN 'True_with_warning' WHEN 2 THEN 'Partial' ELSE 'False' END AS surface_match, pos % 4 = 0 AND y < 8 AS surface_match_strict,
+  CASE pos % 3 WHEN 0 THEN 'MOD' WHEN 1 THEN 'MO' ELSE 'D' END AS detail FROM v_findings"""
+RIGHT = "match_type <> 'FN' AND surface_match IN ('True', 'True_with_warning')"
+PICKED = f"""~e AS ({EVALUATED}), s AS (SELECT *, CASE detail WHEN 'MOD' THEN 3 WHEN 'MO' THEN 2 ELSE 1 END AS score FROM e),
+a AS (SELECT * FROM e WHERE {RIGHT} AND pca_clamped QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY id) = 1),
+b AS (SELECT * FROM s WHERE match_type <> 'FN' AND surface_match IN ('True_with_warning', 'Partial') AND NOT surface_match_strict QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY score DESC, id) = 1),
+w AS (SELECT *, row_number() OVER (PARTITION BY tooth_id ORDER BY case_id, id) AS r FROM e WHERE {RIGHT} AND tooth_id IN ('18', '28', '38', '48')),
+x AS (SELECT *, 1 AS tier, tooth_id AS t FROM w WHERE r = 1 UNION ALL SELECT *, 2, NULL FROM (SELECT * FROM w WHERE r > 1 QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY id) = 1)),
+m AS (SELECT *, count(*) OVER (PARTITION BY case_id) AS k FROM e WHERE match_type = 'FN'), f AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY id) = 1)
+(SELECT 'angle_clamp' AS category, case_id, id, tooth_id FROM a ORDER BY case_id <> 33, case_id, id LIMIT 20) UNION ALL (SELECT 'soft_match', case_id, id, tooth_id FROM b ORDER BY case_id <> 311, score DESC, case_id, id LIMIT 20)
+UNION ALL (SELECT 'squarish_molar', case_id, id, tooth_id FROM x ORDER BY tier, t, case_id, id LIMIT 20) UNION ALL (SELECT 'missing_upstream', case_id, id, tooth_id FROM f ORDER BY k DESC, case_id, id LIMIT 20)"""
+
+
+def evaluated(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.sql(EVALUATED.replace("v_findings", "{findings}"), findings=view(spark, sf, "v_findings"))
+
+
+@query("win11_selectors", PICKED, "v_findings")
+def _(spark, sf):
+    return selectors.showcases(evaluated(spark, sf), 20)
+
+
+@query("win11_dashboards", f"~e AS ({EVALUATED}) SELECT case_id, count(*) AS n_teeth, round(avg((surface_match IN ('True', 'True_with_warning'))::INT), 6) AS soft_accuracy, round(avg(surface_match_strict::INT), 6) AS strict_accuracy FROM e WHERE match_type <> 'FN' GROUP BY ALL HAVING count(*) >= 5 ORDER BY avg((surface_match IN ('True', 'True_with_warning'))::INT) DESC, avg(surface_match_strict::INT) DESC, n_teeth DESC, case_id LIMIT 25", "v_findings")
+def _(spark, sf):
+    return selectors.dashboards(evaluated(spark, sf), 25).select("case_id", "n_teeth", *r6("soft_accuracy", "strict_accuracy"))

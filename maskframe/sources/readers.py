@@ -141,5 +141,7 @@ def write_labels(df: DataFrame, path: str) -> None:
 
 
 def write_manifest(selections: DataFrame, path: str) -> None:
-    """Selections in one JSON folder for each category."""
-    selections.write.mode("overwrite").partitionBy("category").json(path)
+    """Selections in one JSON folder for each category, and their numbers: by category and total_images, in the folder total."""
+    selections.write.mode("overwrite").partitionBy("category").json(f"{path}/selections")
+    n = selections.groupBy(F.coalesce("category", F.lit("")).alias("category")).agg(F.count(F.lit(1)).alias("n"))
+    write_summary(n.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total_images"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", "n")))).alias("images")), f"{path}/total")

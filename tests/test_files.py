@@ -70,7 +70,7 @@ def test_label_lines_and_tables_round_trip(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "s")).first().n == 2
     readers.write_manifest(rows.withColumnRenamed("split", "category"), str(tmp_path / "m"))
     readers.write_cases(rows.withColumnRenamed("class_id", "case_id"), str(tmp_path / "c"))
-    assert spark.read.json(str(tmp_path / "m")).count() == spark.read.json(str(tmp_path / "c")).count() == 2
+    assert spark.read.json(str(tmp_path / "m/selections")).count() == spark.read.json(str(tmp_path / "c")).count() == 2
 
 
 def test_masks(spark, tmp_path):
