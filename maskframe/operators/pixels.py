@@ -6,6 +6,7 @@ All operators are joins and aggregations on (case_id, tooth_id); a case's pixels
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -137,31 +138,41 @@ def protected_overlap(tooth: DataFrame, roi: DataFrame, k: int = 5, most_pixels:
     return o.withColumn("kept_pixels", F.when(noise, 0).otherwise(F.col("caries_pixels"))).withColumn("has_caries", F.col("kept_pixels") > 0)
 
 
+def offsets(radius2: int) -> list[tuple[int, int]]:
+    """Half of the neighbours (dx, dy) at squared distance up to radius2."""
+    r = math.isqrt(radius2)
+    return [(dx, dy) for dy in range(r + 1) for dx in range(-r, r + 1) if (dy or dx > 0) and dx * dx + dy * dy <= radius2]
+
+
+def first_pixels(points: Iterable[tuple[int, int]], near: list[tuple[int, int]]) -> dict[tuple[int, int], tuple[int, int]]:
+    """For each pixel (y, x) the first pixel of its component."""
+    root = {p: p for p in points}
+
+    def find(p: tuple[int, int]) -> tuple[int, int]:
+        while root[p] != p:
+            root[p] = root[root[p]]
+            p = root[p]
+        return p
+
+    for y, x in root:
+        for dx, dy in near:
+            if (q := (y + dy, x + dx)) in root:
+                a, b = sorted((find((y, x)), find(q)))
+                root[b] = a
+    return {p: find(p) for p in root}
+
+
 def labelled(pixels: DataFrame, radius2: int = 2, keys: list[str] = KEYS) -> DataFrame:
     """Pixels with comp, the smallest pixel number (y * 2**31 + x) of their component; pixels at squared distance up to
-    radius2 touch (2: eight neighbours, 4: radius 2). One mask, which an image bounds, is labelled in one piece."""
+    radius2 touch (2: eight neighbours, 4: radius 2). One mask, which an image bounds, is labelled in one piece;
+    runs.components() gives the same labels for masks of any size."""
     import pandas as pd
 
-    r = math.isqrt(radius2)
-    offsets = [(dx, dy) for dy in range(r + 1) for dx in range(-r, r + 1) if (dy or dx > 0) and dx * dx + dy * dy <= radius2]
+    near = offsets(radius2)
 
     def label(g: pd.DataFrame) -> pd.DataFrame:
-        at = dict.fromkeys(zip(g["y"].tolist(), g["x"].tolist(), strict=True))
-        root = {p: p for p in at}
-
-        def find(p: tuple[int, int]) -> tuple[int, int]:
-            while root[p] != p:
-                root[p] = root[root[p]]
-                p = root[p]
-            return p
-
-        for y, x in at:
-            for dx, dy in offsets:
-                if (q := (y + dy, x + dx)) in root:
-                    a, b = sorted((find((y, x)), find(q)))
-                    root[b] = a
-        ends = [find(p) for p in at]
-        return pd.DataFrame({**{k: [g[k].iloc[0]] * len(at) for k in keys}, "x": [x for _, x in at], "y": [y for y, _ in at], "comp": [y * 2**31 + x for y, x in ends]})
+        ends = first_pixels(zip(g["y"].tolist(), g["x"].tolist(), strict=True), near)
+        return pd.DataFrame({**{k: [g[k].iloc[0]] * len(ends) for k in keys}, "x": [x for _, x in ends], "y": [y for y, _ in ends], "comp": [y * 2**31 + x for y, x in ends.values()]})
 
     kinds = ", ".join(f"{k} {dict(pixels.dtypes)[k]}" for k in keys)
     return pixels.select(*keys, "x", "y").groupBy(*keys).applyInPandas(label, f"{kinds}, x int, y int, comp long")
@@ -203,12 +214,8 @@ def mask_iou(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return both.groupBy(*keys).agg((F.count(F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), 1)) / F.count(F.lit(1))).alias("iou"))
 
 
-def hull(pixels: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """Convex hull corners (keys, pos, x, y), counter-clockwise from the smallest x. Only each column's lowest and highest
-    pixel can be a corner, which bounds a group by its mask's width."""
-    import pandas as pd
-
-    ends = pixels.groupBy(*keys, "x").agg(F.min("y").alias("lo"), F.max("y").alias("hi"))
+def hull_corners(points: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Corners of the convex hull, counter-clockwise from the smallest x; points on its edges are no corners."""
 
     def chain(points: list) -> list:
         out: list = []
@@ -218,9 +225,19 @@ def hull(pixels: DataFrame, keys: list[str] = KEYS) -> DataFrame:
             out.append(p)
         return out[:-1]
 
+    p = sorted(set(points))
+    return p if len(p) < 3 else chain(p) + chain(p[::-1])
+
+
+def hull(pixels: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """Convex hull corners (keys, pos, x, y), counter-clockwise from the smallest x. Only each column's lowest and highest
+    pixel can be a corner, which bounds a group by its mask's width."""
+    import pandas as pd
+
+    ends = pixels.groupBy(*keys, "x").agg(F.min("y").alias("lo"), F.max("y").alias("hi"))
+
     def corners(g: pd.DataFrame) -> pd.DataFrame:
-        p = sorted({(int(x), int(y)) for x, lo, hi in zip(g["x"], g["lo"], g["hi"], strict=True) for y in (lo, hi)})
-        h = p if len(p) < 3 else chain(p) + chain(p[::-1])
+        h = hull_corners({(int(x), int(y)) for x, lo, hi in zip(g["x"], g["lo"], g["hi"], strict=True) for y in (lo, hi)})
         return pd.DataFrame({**{k: [g[k].iloc[0]] * len(h) for k in keys}, "pos": range(len(h)), "x": [q[0] for q in h], "y": [q[1] for q in h]})
 
     kinds = ", ".join(f"{k} {dict(pixels.dtypes)[k]}" for k in keys)

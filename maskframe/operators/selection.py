@@ -28,20 +28,30 @@ def sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     return df.orderBy(seeded(F.col(key), seed), key).limit(n)
 
 
-def with_split(df: DataFrame, group: str, test_share: float = 0.2, seed: int = 42) -> DataFrame:
-    """Adds split: whole groups go to test, ceil(share * groups) of them. Groups are ranked inside 256 hash ranges whose
-    counts are summed up, so no task ranks all of them."""
-    g = df.select(group).distinct().withColumn("h", seeded(F.col(group), seed)).withColumn("b", F.substring("h", 1, 2))
+def _joined(df: DataFrame, group: str, named: DataFrame) -> DataFrame:
+    """df with the columns of named (__group, ...); a null group is a group."""
+    return df.join(named, df[group].eqNullSafe(named["__group"])).drop("__group")
+
+
+def _places(df: DataFrame, group: str, seed: int) -> DataFrame:
+    """(__group, place, total): groups numbered from 1 in hash order. They are ranked inside 256 hash ranges whose counts are
+    summed up, so no task ranks all of them."""
+    g = df.select(F.col(group).alias("__group")).distinct().withColumn("h", F.coalesce(seeded(F.col("__group"), seed), F.lit("00"))).withColumn("b", F.substring("h", 1, 2))
     counts = g.groupBy("b").agg(F.count(F.lit(1)).alias("c"))
     all_ = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)  # 256 rows
     starts = counts.select("b", F.coalesce(F.sum("c").over(all_), F.lit(0)).alias("before"), F.sum("c").over(Window.partitionBy()).alias("total"))
-    ranked = g.withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy("h", group))).join(starts, "b")
-    split = F.when(F.col("before") + F.col("r") <= F.ceil(F.col("total") * test_share), "test").otherwise("train")
-    return df.join(ranked.select(group, split.alias("split")), group)
+    own = F.row_number().over(Window.partitionBy("b").orderBy("h", "__group"))
+    return g.withColumn("own", own).join(starts, "b").select("__group", (F.col("before") + F.col("own")).alias("place"), "total")
+
+
+def with_split(df: DataFrame, group: str, test_share: float = 0.2, seed: int = 42) -> DataFrame:
+    """Adds split: whole groups go to test, ceil(share * groups) of them."""
+    split = F.when(F.col("place") <= F.ceil(F.col("total") * test_share), "test").otherwise("train")
+    return _joined(df, group, _places(df, group, seed).select("__group", split.alias("split")))
 
 
 def group_sizes(df: DataFrame, key: str) -> DataFrame:
-    return df.join(df.groupBy(key).agg(F.count(F.lit(1)).alias("group_size")), key)
+    return _joined(df, key, df.groupBy(F.col(key).alias("__group")).agg(F.count(F.lit(1)).alias("group_size")))
 
 
 def top(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
@@ -56,17 +66,15 @@ def priority_first(df: DataFrame, key: str, values: list[int], order: list[Colum
 
 
 def with_splits(df: DataFrame, group: str, shares: dict[str, float], seed: int = 42) -> DataFrame:
-    """Adds split: whole groups by the hash order of with_split(), cut at the shares' sums."""
-    out, total, rest = df, sum(shares.values()), None
-    names = list(shares)
-    upto = 0.0
+    """Adds split: whole groups in the hash order of with_split(), ranked once and cut at the shares' sums."""
+    names, total, upto = list(shares), sum(shares.values()), 0.0
+    if len(names) == 1:
+        return df.withColumn("split", F.lit(names[0]))
+    split = F.when(F.lit(False), "")
     for name in names[:-1]:
         upto += shares[name] / total
-        out = with_split(out, group, upto, seed).withColumn("__in", F.col("split") == "test").drop("split")
-        rest = F.when(F.col("__in"), F.lit(name)) if rest is None else F.coalesce(F.col("split_"), F.when(F.col("__in"), F.lit(name)))
-        out = out.withColumn("split_", rest).drop("__in")
-        rest = F.col("split_")
-    return out.withColumn("split", F.coalesce("split_", F.lit(names[-1]))).drop("split_") if len(names) > 1 else df.withColumn("split", F.lit(names[0]))
+        split = split.when(F.col("place") <= F.ceil(F.col("total") * upto), name)
+    return _joined(df, group, _places(df, group, seed).select("__group", split.otherwise(names[-1]).alias("split")))
 
 
 def without(df: DataFrame, chosen: DataFrame, keys: list[str]) -> DataFrame:

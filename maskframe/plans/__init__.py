@@ -1,3 +1,3 @@
 """Named queries."""
 
-from . import more, registry, shapes  # noqa: E402, F401
+from . import learned, more, registry, shapes  # noqa: E402, F401

@@ -71,10 +71,10 @@ LESION = "p AS (SELECT v.case_id, v.tooth_id, v.x, v.y FROM v_pixels v SEMI JOIN
 BLOB = "p AS (SELECT case_id, 0 AS tooth_id, x, y FROM v_decay d ANTI JOIN v_pixels v USING (case_id, x, y))"
 
 
-def reachable(source: str, radius2: int, then: str, *views: str) -> str:
+def reachable(source: str, radius2: int, then: str, *views: str, name: str = "p") -> str:
     """SQL with l (case_id, tooth_id, x, y, comp) by recursive search from every pixel."""
     r = int(radius2**0.5)
-    search = f"""~{source}, s AS (SELECT case_id, tooth_id, x, y, x AS rx, y AS ry FROM p UNION SELECT s.case_id, s.tooth_id, s.x, s.y, p.x, p.y FROM s JOIN p ON p.case_id = s.case_id AND p.tooth_id = s.tooth_id
+    search = f"""~{source}, s AS (SELECT case_id, tooth_id, x, y, x AS rx, y AS ry FROM {name} UNION SELECT s.case_id, s.tooth_id, s.x, s.y, p.x, p.y FROM s JOIN {name} p ON p.case_id = s.case_id AND p.tooth_id = s.tooth_id
   AND p.x BETWEEN s.rx - {r} AND s.rx + {r} AND p.y BETWEEN s.ry - {r} AND s.ry + {r} AND (p.x - s.rx) ** 2 + (p.y - s.ry) ** 2 <= {radius2}),
 l AS (SELECT case_id, tooth_id, x, y, min(CAST(ry AS BIGINT) * 2147483648 + rx) AS comp FROM s GROUP BY ALL) {then}"""
     return with_views(search, *views).replace("WITH ", "WITH RECURSIVE ", 1)
@@ -89,6 +89,7 @@ ORACLE_SQL.update({
     "geo16_connected_components": reachable(LESION, 2, SIZES, *ON_TEETH),
     "geo17_radius_clusters": reachable(LESION, 4, SIZES, *ON_TEETH),
     "geo18_without_small_clusters": reachable(LESION, 4, ", c AS (SELECT case_id, tooth_id, comp, count(*) AS k FROM l GROUP BY ALL), m AS (SELECT *, max(k) OVER (PARTITION BY case_id, tooth_id) AS most FROM c) SELECT case_id, tooth_id, CAST(sum(k) AS BIGINT) AS n, count(*) AS components FROM m WHERE k >= 15 OR most < 15 GROUP BY ALL", *ON_TEETH),
+    "geo20_noise_ranking": reachable(LESION, 2, ", z AS (SELECT *, count(*) OVER (PARTITION BY case_id, tooth_id, comp) AS k FROM l), g AS (SELECT case_id, tooth_id, count(*) AS raw, count(*) FILTER (k >= 3) AS cleaned FROM z GROUP BY ALL) SELECT case_id, tooth_id, raw, cleaned, raw - cleaned AS removed, (raw - cleaned) / raw AS ratio FROM g WHERE (raw - cleaned) / raw > 0.05 AND (raw - cleaned) / raw < 0.5 AND cleaned > 0 ORDER BY removed DESC, case_id, tooth_id LIMIT 10", *ON_TEETH),
     "geo19_unassigned_blobs": reachable(BLOB, 2, BLOBS, "v_pixels", "v_decay"),
     "win9_lesion_index": reachable(LESION, 4, ", i AS (SELECT *, dense_rank() OVER (PARTITION BY case_id, tooth_id ORDER BY comp) - 1 AS lesion_idx FROM l) SELECT case_id, tooth_id, CAST(lesion_idx AS INTEGER) AS lesion_idx, count(*) AS n FROM i GROUP BY ALL", *ON_TEETH),
 })
