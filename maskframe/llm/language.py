@@ -310,7 +310,8 @@ def predict(df: DataFrame, tagger: Tagger, id_col: str = "doc_id", text_col: str
 
 def keep_known(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least_score: float = 0.5) -> DataFrame:
     """The rows of df whose text has a language and whose words are sure of theirs with least_score on average, all columns
-    unchanged. Texts that switch between languages stay, whatever the share of the leading one."""
+    unchanged. Texts that switch between languages stay, whatever the share of the leading one. Names that begin with
+    two underscores are the operator's own."""
     tag = predictions(fit(df, id_col, text_col, lang_col))
     judged = df.withColumn("__p", tag(F.col(text_col)))
     return judged.filter((F.col("__p.lang_pred") != "und") & (F.col("__p.sure") >= least_score)).drop("__p")

@@ -13,7 +13,8 @@ bucket) before anything is ordered, running sums over buckets give each bucket i
 bucket are sorted together. So a source that holds a third of all rows is spread over thousands of groups.
 
 Edge cases: null texts and texts without words have size 0 and are never taken; a null source is a source of its own;
-a source without words has target 0; rows that are equal in every column are interchangeable; an empty table gives an
+a source without words has target 0; rows that are equal in every column are interchangeable; very long texts count by their words and are cut like
+others; an empty table gives an
 empty result; the id, text and source columns are named by parameters and further columns are carried along.
 """
 

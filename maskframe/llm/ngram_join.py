@@ -524,7 +524,8 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """df with one row, that of the smallest id, of each component; columns unchanged.
+    """df with one row, that of the smallest id, of each component; columns unchanged (names that begin with two underscores
+    are the operator's own).
 
     Where ids are null or repeat, rows are the nodes instead of ids, each with a number of its own: different texts of one
     id stay unless they are similar, and a row without id stays only if no row with an id is in its component (so none has
@@ -534,13 +535,13 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", perc
         found = stored(jaccard_components(df, id_col, text_col, percent), "components")
         gone = stored(found.filter(F.col(id_col) != F.col("component_id")).select(id_col).distinct(), "gone")
         return df.join(small(gone), id_col, "left_anti").select(df.columns)
-    numbered = stored(df.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    found = jaccard_components(numbered, "__row", text_col, percent)
-    named = numbered.select("__row", F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h")).join(found, "__row")
-    empty = F.when(F.col("n_shingles") == 0, F.struct(F.col("id").isNull(), F.coalesce(F.col("id").cast("string"), F.col("__row").cast("string"))))
-    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "h", "__row")).alias("first")
-    kept = stored(named.groupBy(empty.alias("empty"), F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("component")).agg(first).select("first.__row"), "kept")
-    return numbered.join(small(kept), "__row", "left_semi").select(df.columns)
+    numbered = stored(df.withColumn("__row_number", F.monotonically_increasing_id()), "numbered")
+    found = jaccard_components(numbered, "__row_number", text_col, percent)
+    named = numbered.select("__row_number", F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h")).join(found, "__row_number")
+    empty = F.when(F.col("n_shingles") == 0, F.struct(F.col("id").isNull(), F.coalesce(F.col("id").cast("string"), F.col("__row_number").cast("string"))))
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "h", "__row_number")).alias("first")
+    kept = stored(named.groupBy(empty.alias("empty"), F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("component")).agg(first).select("first.__row_number"), "kept")
+    return numbered.join(small(kept), "__row_number", "left_semi").select(df.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

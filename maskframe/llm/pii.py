@@ -281,7 +281,7 @@ def trained(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     ids = [r["id"] for r in able.select(F.col(id_col).alias("id")).orderBy(F.xxhash64("id"), "id").limit(sample).collect()]
     rows = able.filter(F.col(id_col).isin(ids)).select(F.substring(text_col, 1, chars).alias("t")).orderBy("t").limit(2 * sample).collect()
     x, y, count = examples(random.Random(0).sample(texts := [r["t"] for r in rows], len(texts)), windows)
-    return Net.new().train(x, y, epochs) if count >= 20 else None
+    return Net.new().train(x, y, epochs) if count else None  # without any labelled span there is nothing to learn
 
 
 def stretches(text: str) -> list[tuple[int, int]]:

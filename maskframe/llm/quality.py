@@ -12,7 +12,7 @@ downwards from its largest term, which Stirling's series gives; what is left aft
 
 Edge cases: null texts are empty and fail the base rules; null strata form one stratum; several labels of one
 document count once, as good if one of them is good; without labels only base rules act, also in a stratum that has none; equal rows get equal results; very long texts cost n log n
-steps; an empty table gives an empty result.
+steps; an empty table gives an empty result; further columns are carried along, also those named words, lines or stratum.
 """
 
 from __future__ import annotations
@@ -33,41 +33,41 @@ EXACT_TERMS = 100_000
 BROADCAST_STRATA = 10_000
 
 
-def repeat_features(df: DataFrame) -> DataFrame:
-    """Adds n_repeat_words: words covered by 3-word windows that occur at least twice in the row's own `words`.
+def repeat_features(df: DataFrame, words: str = "words") -> DataFrame:
+    """Adds n_repeat_words: words covered by 3-word windows that occur at least twice in the row's own array of words.
 
     Each window becomes a struct of its 64-bit hash and its position, so one sort brings equal windows together; neighbours
     with equal hashes are compared word by word. n log n steps for a text of n words.
     """
-    n = F.size("words")
-    key = lambda x, i: F.struct(F.xxhash64(x, F.get("words", i + 1), F.get("words", i + 2)).alias("h"), i.alias("p"))
-    w = df.withColumn("keys", F.when(n >= 3, F.transform(F.slice("words", 1, F.greatest(n - 2, F.lit(1))), key)).otherwise(F.array().cast("array<struct<h:bigint,p:int>>")))
-    w = w.withColumn("sorted", F.sort_array("keys"))
+    n = F.size(words)
+    key = lambda x, i: F.struct(F.xxhash64(x, F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("p"))
+    w = df.withColumn("__keys", F.when(n >= 3, F.transform(F.slice(words, 1, F.greatest(n - 2, F.lit(1))), key)).otherwise(F.array().cast("array<struct<h:bigint,p:int>>")))
+    w = w.withColumn("__sorted", F.sort_array("__keys"))
 
     def same(x: Column, y: Column) -> Column:
         p, q = x["p"], y["p"]
-        return (x["h"] == y["h"]) & (F.get("words", p) == F.get("words", q)) & (F.get("words", p + 1) == F.get("words", q + 1)) & (F.get("words", p + 2) == F.get("words", q + 2))
+        return (x["h"] == y["h"]) & (F.get(words, p) == F.get(words, q)) & (F.get(words, p + 1) == F.get(words, q + 1)) & (F.get(words, p + 2) == F.get(words, q + 2))
 
-    found = F.transform("sorted", lambda x, i: F.when(F.coalesce(same(x, F.get("sorted", i + 1)), F.lit(False)) | ((i > 0) & F.coalesce(same(x, F.get("sorted", i - 1)), F.lit(False))), x["p"].cast("bigint")))
-    w = w.withColumn("at", F.sort_array(F.filter(found, lambda x: x.isNotNull())))
-    covered = F.aggregate("at", F.struct(F.lit(0).cast("bigint").alias("end"), F.lit(0).cast("bigint").alias("n")), lambda a, p: F.struct((p + 3).alias("end"), (a["n"] + p + 3 - F.greatest(p, a["end"])).alias("n")), lambda a: a["n"])
-    return w.withColumn("n_repeat_words", covered).drop("keys", "sorted", "at")
+    found = F.transform("__sorted", lambda x, i: F.when(F.coalesce(same(x, F.get("__sorted", i + 1)), F.lit(False)) | ((i > 0) & F.coalesce(same(x, F.get("__sorted", i - 1)), F.lit(False))), x["p"].cast("bigint")))
+    w = w.withColumn("__at", F.sort_array(F.filter(found, lambda x: x.isNotNull())))
+    covered = F.aggregate("__at", F.struct(F.lit(0).cast("bigint").alias("end"), F.lit(0).cast("bigint").alias("n")), lambda a, p: F.struct((p + 3).alias("end"), (a["n"] + p + 3 - F.greatest(p, a["end"])).alias("n")), lambda a: a["n"])
+    return w.withColumn("n_repeat_words", covered).drop("__keys", "__sorted", "__at")
 
 
 def features(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds the base counts and the five measures; drops nothing."""
+    """Adds the base counts and the five measures, which replace columns of their names; all others stay."""
     t = text_of(text_col)
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    d = df.withColumn("words", words_of(text_col)).withColumn("lines", lines)
-    d = repeat_features(d)
-    d = d.withColumn("n_words", F.size("words").cast("long")).withColumn("word_chars", F.length(F.regexp_replace(t, r"[\x20\x09-\x0D]+", "")).cast("long"))
+    d = df.withColumn("__words", words_of(text_col)).withColumn("__lines", lines)
+    d = repeat_features(d, "__words")
+    d = d.withColumn("n_words", F.size("__words").cast("long")).withColumn("word_chars", F.length(F.regexp_replace(t, r"[\x20\x09-\x0D]+", "")).cast("long"))
     d = d.withColumn("n_symbols", (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"))
-    d = d.withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"))
+    d = d.withColumn("n_dup_lines", (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"))
     chars = F.greatest(F.col("word_chars"), F.lit(1))
     d = d.withColumn("symbols", F.col("n_symbols") / chars).withColumn("upper", F.length(F.regexp_replace(t, r"\P{Lu}+", "")) / chars)
     d = d.withColumn("bangs", (F.length(t) - F.length(F.translate(t, "!", ""))) / chars)
-    d = d.withColumn("dup_lines", F.col("n_dup_lines") / F.greatest(F.size("lines"), F.lit(1))).withColumn("repeats", F.col("n_repeat_words") / F.greatest(F.col("n_words"), F.lit(1)))
-    return d.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).drop("words", "lines")
+    d = d.withColumn("dup_lines", F.col("n_dup_lines") / F.greatest(F.size("__lines"), F.lit(1))).withColumn("repeats", F.col("n_repeat_words") / F.greatest(F.col("n_words"), F.lit(1)))
+    return d.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).drop("__words", "__lines")
 
 
 def binomial_tail(k: Column, n: Column, p: float) -> Column:
@@ -122,12 +122,12 @@ def thresholds(measured: DataFrame, labels: DataFrame, id_col: str = "doc_id", s
 
 def judge(measured: DataFrame, cuts: DataFrame, stratum: str = "lang") -> DataFrame:
     """Adds kept: false if base_failed or if a measure is above its stratum's cutoff."""
-    cuts = stored(cuts, "cutoffs")
+    cuts = stored(cuts.withColumnRenamed("stratum", "__stratum"), "cutoffs")
     cuts = F.broadcast(cuts) if cuts.count() <= BROADCAST_STRATA else cuts
     over = F.lit(False)
     for r in RULES:
         over = over | F.coalesce(F.col(r) > F.col(f"max_{r}"), F.lit(False))
-    return measured.join(cuts, measured[stratum].eqNullSafe(cuts["stratum"]), "left").withColumn("kept", ~F.col("base_failed") & ~over).drop("stratum", *(f"max_{r}" for r in RULES))
+    return measured.join(cuts, measured[stratum].eqNullSafe(cuts["__stratum"]), "left").withColumn("kept", ~F.col("base_failed") & ~over).drop("__stratum", *(f"max_{r}" for r in RULES))
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum: str = "lang", **options) -> DataFrame:

@@ -7,8 +7,8 @@ repeats, keyboard walks, sequences and brute-force spans, costs in log10 of gues
 first and the pieces of the tokenizer's vocabulary by rank, so that words of a sentence are cheap. A value of at least
 `least_cost` is a secret, whatever its letters, and adds an "assign" span.
 
-Edge cases: null texts are empty; very long values cost linear time, as no segment but a repeat or brute force is
-longer than 32 characters; long words that the vocabulary lacks (rare or of other languages) can cost as much as a
+Edge cases: null texts are empty; very long values cost linear time: words are no longer than the longest of the
+lexicon, and of a run's starts only those are tried that no other one beats wherever the run ends; long words that the vocabulary lacks (rare or of other languages) can cost as much as a
 secret; ties between segmentations have equal cost; equal rows get equal results; further columns are not read; an empty table gives
 an empty result.
 """
@@ -46,7 +46,7 @@ this that from have""".split()
 RANK = {w: i + 1 for i, w in enumerate(WORDS)}
 WALK = {(a, b) for row in ROWS for a, b in zip(row, row[1:], strict=False)} | {(b, a) for row in ROWS for a, b in zip(row, row[1:], strict=False)}
 DATES = tuple(re.compile(x) for x in (r"(?:19|20)\d\d[-/._]?[01]\d[-/._]?[0-3]\d", r"[0-3]?\d[-/._][01]?\d[-/._](?:19|20)\d\d", r"(?:19|20)\d\d"))
-LONGEST, LEAST_COST, LEAST_LENGTH = 32, 12.0, 12
+LEAST_COST, LEAST_LENGTH = 12.0, 12
 
 
 @lru_cache(maxsize=None)
@@ -63,13 +63,42 @@ def lexicon() -> dict[str, int]:
     return rank
 
 
-def guess_cost(value: str, lexicon: dict[str, int] | None = None) -> float:
+@lru_cache(maxsize=None)
+def longest_word() -> int:
+    return max(map(len, lexicon()))
+
+
+class Starts:
+    """Where segments along one kind of run may start, so that the cheapest end is found without trying all starts.
+
+    A segment of k characters costs base + log10(k) + more. Of two starts the later one is better wherever the run ends if its cost is not
+    higher. A place that a segment of the run itself reached is never better than that segment's start. So few starts stay.
+    """
+
+    def __init__(self, base: float, more: float) -> None:
+        self.price, self.places = base + more, [(0, 0.0)]
+
+    def broken(self, at: int, cost: float) -> None:
+        self.places = [(at, cost)]
+
+    def end(self, at: int) -> float:
+        return min((cost + self.price + math.log10(at - a) for a, cost in self.places if at - a >= 3), default=math.inf)
+
+    def add(self, at: int, cost: float, reached: float) -> None:
+        if cost < reached:
+            while self.places and self.places[-1][1] >= cost:
+                self.places.pop()
+            self.places.append((at, cost))
+
+
+def guess_cost(value: str, lexicon: dict[str, int] | None = None, longest: int | None = None) -> float:
     """log10 of the guesses that the cheapest segmentation needs; each further segment doubles the guesses."""
     rank, low, n = RANK if lexicon is None else lexicon, value.lower(), len(value)
+    longest = longest or max(map(len, rank), default=0)
     size = sum(k for k, used in ((10, re.search(r"\d", value)), (26, re.search(r"[a-z]", value)), (26, re.search(r"[A-Z]", value)), (33, re.search(r"[^A-Za-z0-9]", value))) if used)
     one = math.log10(max(size, 2))
     more, best = math.log10(2), [0.0] + [math.inf] * n
-    repeat = walk = step = 1  # lengths of the runs that end here
+    runs = (Starts(one, more), Starts(1.7, more), Starts(1.2, more))  # repeats, walks, sequences
     dates: dict[int, list[int]] = {}
     for a in range(n):
         if value[a].isdigit():
@@ -78,24 +107,22 @@ def guess_cost(value: str, lexicon: dict[str, int] | None = None) -> float:
                     dates.setdefault(m.end(), []).append(a)
     for e in range(1, n + 1):
         c = low[e - 1]
-        best[e] = best[e - 1] + one
         if e > 1:
             p = low[e - 2]
-            repeat = repeat + 1 if c == p else 1
-            walk = walk + 1 if (p, c) in WALK else 1
-            step = step + 1 if abs(ord(c) - ord(p)) == 1 else 1
-        if repeat >= 3:
-            best[e] = min(best[e], best[e - repeat] + one + math.log10(repeat) + more)
-        for run, base in ((walk, 1.7), (step, 1.2)):
-            for k in range(3, min(run, LONGEST) + 1):
-                best[e] = min(best[e], best[e - k] + base + math.log10(k) + more)
+            for run, on in zip(runs, (c == p, (p, c) in WALK, abs(ord(c) - ord(p)) == 1), strict=True):
+                if not on:
+                    run.broken(e - 1, best[e - 1])
+        reached = [run.end(e) for run in runs]
+        best[e] = min(best[e - 1] + one, *reached)
         for a in dates.get(e, ()):
             best[e] = min(best[e], best[a] + 4.6 + more)
-        for k in range(3, min(e, LONGEST) + 1):
+        for k in range(3, min(e, longest) + 1):
             r = rank.get(low[e - k : e])
             if r:
                 cased = 0.3 if value[e - k : e] != low[e - k : e] else 0.0
                 best[e] = min(best[e], best[e - k] + math.log10(r + 1) + cased + more)
+        for run, cost in zip(runs, reached, strict=True):
+            run.add(e, best[e], cost)
     return best[n]
 
 
@@ -113,7 +140,7 @@ def judged(text: str) -> list[tuple[int, int, int, float]]:
     out = []
     for m in CONTEXT.finditer(text) if hinted(text) else ():
         value = m[1].rstrip("\"'`.,;)")
-        out.append((m.start(), m.start(1), m.start(1) + len(value), guess_cost(value, lexicon())))
+        out.append((m.start(), m.start(1), m.start(1) + len(value), guess_cost(value, lexicon(), longest_word())))
     return out
 
 

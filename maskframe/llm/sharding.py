@@ -5,7 +5,8 @@ smallest -ln(u) / weight. A new shard can only win records for itself, so it mov
 records and no record moves between the old shards.
 
 Edge cases: a null key counts as the empty string; a null text has no bytes; equal rows land in the same shard with
-neighbouring slots; an empty table gives an empty result; further columns are carried along untouched.
+neighbouring slots; very long texts only count by their bytes; an empty table gives an empty result; further columns are carried along, but the added
+ones (shard, grown_shard, slot) replace those of their names.
 """
 
 from __future__ import annotations

@@ -1,6 +1,7 @@
 """Corpus operators against brute force, SQL, round trips and held-out accuracy."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -10,6 +11,7 @@ import numpy as np
 import pandas as pd
 import pytest
 from maskframe.llm import common, components, hashing, language, media, mixing, ngram_join, packing, pii, quality, queries, secrets, sharding, substrings
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -277,9 +279,19 @@ def test_guess_cost_equals_enumeration():
         def least(i):
             return 0.0 if i == len(s) else min([one + least(i + 1), *(segment(s[i:j], one) + least(j) for j in range(i + 3, len(s) + 1))])
 
-        # a run of equal characters is one segment as a whole, dates are read at their longest
+        # dates are read at their longest
         got = secrets.guess_cost(s, rank)
-        assert got >= least(0) - 1e-9 and (got <= least(0) + 1e-9 or re.search(r"(.)\1\1\1|\d", s.lower())), s
+        assert got >= least(0) - 1e-9 and (got <= least(0) + 1e-9 or re.search(r"(?:19|20)\d\d", s)), s
+
+
+def test_costs_of_long_runs():
+    """Segments of any length: a long walk, repeat or sequence costs little more than a short one, in linear time."""
+    walk, steps = ("qwertyuiop" + "poiuytrewq")[:19] * 1, "abcdefghijklmnopqrstuvwxyz"
+    assert secrets.guess_cost(walk) < 6 and secrets.guess_cost(steps) < 4
+    for s in ("ab" * 100, "qw" * 5000, "a" * 20_000, ("ab" * 40 + "zz9") * 200):
+        cost = secrets.guess_cost(s)
+        assert 1 < cost < (6.1 if "9" not in s else 3000)
+    assert secrets.guess_cost("ab" * 100) == pytest.approx(1.2 + math.log10(200) + math.log10(2))
 
 
 def test_spans_free_of_others_equal_a_plain_search():
@@ -626,6 +638,29 @@ def test_empty_tables(spark, odd):
         assert f().count() == 0
 
 
+def test_own_columns_stay(spark, odd):
+    own = odd.withColumns({c: F.lit(7) for c in ("words", "lines", "stratum", "keys", "at", "sorted")})
+    d = quality.features(own)
+    assert d.filter("words = 7 and lines = 7 and stratum = 7 and keys = 7 and at = 7 and sorted = 7").count() == own.count()
+    k = quality.judge(d, quality.thresholds(d, spark.createDataFrame([(4, True)], "doc_id long, good boolean")))
+    assert {"stratum", "words", "kept"} <= set(k.columns) and k.filter("stratum = 7").count() == own.count()
+    s = sharding.assign_shards(own.withColumn("shard", F.lit(99)), shards=5)
+    assert s.columns.count("shard") == 1 and s.filter("shard < 5").count() == own.count()
+
+
+def test_stages_on_odd_and_empty_tables(spark, odd):
+    import corpus_pipeline
+
+    for name, stage in [x for x in corpus_pipeline.STAGES if x[0] in ("secret scans", "source mixing", "packing")]:
+        for rows in (odd, odd.limit(0)):
+            out = stage(spark, rows, SF)
+            n = out.count()
+            assert name == "packing" or out.columns == odd.columns
+            assert n == 0 if rows is not odd else n > 0
+            if name == "secret scans":
+                assert n == rows.count()
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
