@@ -38,6 +38,8 @@ from .common import stored, table
 LEVELS, PLANES, SEED = 4, 6, 12
 #: Anchors of a part, anchors and rows that are compared at once, rows of a stripe.
 PART, ANCHORS, BLOCK, STRIPE, LEAST_STRIPES = 32_768, 256, 512, 1 << 20, 12
+#: Intervals are tested from this level on, as those of one code alone rule out hardly any pair.
+FIRST = 2
 #: Pairs are scored once so small a share of them is left, or after the last level.
 FEW = 0.02
 NONE = np.iinfo(np.int64).min
@@ -96,7 +98,7 @@ class Queries:
     """Anchors as bit planes: component = low + step x number, up to an error of known norm."""
 
     def __init__(self, q: np.ndarray, turn: np.ndarray) -> None:
-        self.q = q
+        self.q, self.peak = q, max(int(np.abs(q).max(initial=0)), 1)
         y = q @ turn
         self.low = y.min(axis=1)
         self.step = np.maximum((y.max(axis=1) - self.low) / (2**PLANES - 1), 1e-9)
@@ -117,9 +119,9 @@ class Queries:
                 np.bitwise_and(plane[:, None, w], code[None, :, w], out=both)
                 plane_sum += np.bitwise_count(both, out=count)
         ones = np.bitwise_count(code).sum(axis=1, dtype=np.int64)
-        found = plane_sum.astype(np.float32)
-        found *= (2 * self.step)[:, None].astype(np.float32)
-        found += (self.low[:, None] * (2 * ones - self.wide)[None, :] - (self.step * self.total)[:, None]).astype(np.float32)
+        found = np.multiply(plane_sum, (2 * self.step)[:, None], dtype=np.float32, casting="same_kind")
+        found += self.low[:, None].astype(np.float32) * (2 * ones - self.wide).astype(np.float32)[None, :]
+        found -= (self.step * self.total)[:, None].astype(np.float32)
         return found
 
     def pairs(self, rows: Rows, least: np.ndarray, most: np.ndarray, asked: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -132,6 +134,8 @@ class Queries:
         for level in range(LEVELS):
             t = self.along(rows.codes[:, level])
             estimate += scales[None, :, 1 + level] * t
+            if level + 1 < FIRST:
+                continue
             t *= t
             t *= np.float32(-1 / self.wide)
             t += square
@@ -144,8 +148,11 @@ class Queries:
                 left &= asked
             if np.count_nonzero(left) <= FEW * left.size:
                 break
-        a, r = np.nonzero(left)
-        return a, r, np.einsum("ij,ij->i", self.q[a], rows.q[r])
+        a, r = np.divmod(np.flatnonzero(left), left.shape[1])
+        # whole numbers below 2 ** 24 are exact in 32 bits of floating point, too, which are half as much to gather
+        exact = np.float32 if self.q.shape[1] * self.peak * max(np.abs(rows.q).max(initial=0), 1) < 1 << 24 else np.int64
+        score = np.einsum("ij,ij->i", self.q.astype(exact, copy=False)[a], rows.q.astype(exact, copy=False)[r])
+        return a, r, score.astype(np.int64)
 
 
 class Best:

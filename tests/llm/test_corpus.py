@@ -640,7 +640,7 @@ def test_empty_tables(spark, odd):
 
 def test_own_columns_stay(spark, odd):
     own = odd.withColumns({c: F.lit(7) for c in ("words", "lines", "stratum", "keys", "at", "sorted")})
-    d = quality.features(own)
+    d = common.stored(quality.features(own), "features")
     assert d.filter("words = 7 and lines = 7 and stratum = 7 and keys = 7 and at = 7 and sorted = 7").count() == own.count()
     k = quality.judge(d, quality.thresholds(d, spark.createDataFrame([(4, True)], "doc_id long, good boolean")))
     assert {"stratum", "words", "kept"} <= set(k.columns) and k.filter("stratum = 7").count() == own.count()
