@@ -10,7 +10,7 @@ All kinds need a digit or an @, so windows without either hold only "outside" ta
 
 The fit takes at most `sample` rows with a digit or @ (smallest hashes of the id), of each the first `chars` characters, in
 four forms each up to 4 spans and 2 other places, and `windows` windows in all; everything else covers all rows and whole
-texts. Only ids are sorted, and only the chosen texts reach the driver. With fewer than 20 labelled spans in the sample no
+texts. Only ids are sorted, and only the chosen texts reach the driver. Without any labelled span in the sample no
 model can be trained, and nothing is added. Runs of 14 to 19 digits count as cards for the model even if their check digit is
 wrong, as a mistyped number is still personal.
 
