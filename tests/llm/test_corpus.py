@@ -248,6 +248,52 @@ def test_words_of_a_sentence_are_no_secrets():
     assert secrets.all_spans(text) == ([], [])
 
 
+@pytest.mark.parametrize("text", [
+    "The secret negotiations and the password administration of authentication credentials were straightforward.",
+    "Das secret Sicherheitsbestimmungen und das Passwort Verwaltungsvorschriften, ein Token Gesch\u00e4ftsf\u00fchrerinnen.",
+    "Le mot de passe administrateur-syst\u00e8me et le token d'authentification internationalement reconnus.",
+    "La contrase\u00f1a administrativa, el secret extraordinariamente y el token correspondientemente.",
+])
+def test_prose_of_four_languages_holds_no_secrets(text):
+    assert secrets.all_spans(text) == ([], [])
+
+
+FORMS = ["pwd: {}", "my passphrase -> {} ok", "Passwort: {}", "Kennwort ist {}", "mot de passe = {}", "contrase\u00f1a: {}", "la contrase\u00f1a es {}", "Authorization: Bearer {}", "bearer {}", "ftp://bob:{}@host.example/x", "credentials={}", "api-key is {}"]
+
+
+@pytest.mark.parametrize("form", FORMS)
+def test_random_values_of_unseen_forms_are_found(form):
+    rng = random.Random(form)
+    for _ in range(50):
+        value = "".join(rng.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789!#%&") for _ in range(12)) + "7q"
+        text = form.format(value)
+        assert value not in secrets.redacted(text, secrets.all_spans(text)[1])
+
+
+def test_words_are_learned_from_the_corpus(spark):
+    common = "the quokkaburrow sits by the Wallabydrift and K\u00e4ngurufelsen of the quokkaburrow"
+    docs = spark.createDataFrame([(1, common), (2, common), (3, None), (4, "once zzyzxqvwkj"), (5, 'pwd="qzxjkvbpwmfh" pwd=qzxjkvbpwmfh')] * 2, "doc_id long, text string")
+    words = secrets.learned_words(docs.filter("doc_id <> 4"))
+    assert words[:2] == ("the", "quokkaburrow") and {"wallabydrift", "k\u00e4ngurufelsen"} < set(words) and "qzxjkvbpwmfh" not in words
+    assert "zzyzxqvwkj" not in secrets.learned_words(docs.dropDuplicates(["doc_id"])) and len(secrets.learned_words(docs, most=3)) <= 3
+    text = "pwd=quokkaburrowWallabydrift"
+    assert secrets.all_spans(text)[1] and not secrets.all_spans(text, known=secrets.lexicon(words))[1]
+    assert secrets.all_spans("pwd=qzxjkvbpwmfh", known=secrets.lexicon(words))[1]
+    assert secrets.learned_words(docs.limit(0)) == ()
+
+
+def test_base_spans_equal_plain_patterns():
+    rng = random.Random(17)
+    parts = ["token", "API_KEY", "apikey", "passwd", "Secret", '"', "'", " ", "=", ":", "\n", "AKIA", "A", "Z9", "deadbeef", "0123abcd", "xyz", "+/_.=-", "\u00e9", "K\u0131", "\u212a"]
+    for _ in range(3000):
+        t = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
+        low = "".join(c.lower() if c < "\x80" else c for c in t)
+        want = [("assign", m.start(), m.end()) for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([a-z0-9+/_.=-]+)""", low) if len(m[2]) >= 12]
+        want += [("access", m.start(), m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if m.end() - m.start() >= 18]
+        want += [("hex", m.start(), m.end()) for m in re.finditer("[0-9a-f]+", t) if m.end() - m.start() >= 16]
+        assert secrets.all_spans(t)[0] == sorted(want, key=lambda s: (s[1], secrets.KINDS.index(s[0]))), t
+
+
 def test_guess_cost_equals_enumeration():
     from functools import cache
     from math import log10
