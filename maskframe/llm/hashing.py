@@ -18,12 +18,17 @@ LOWER[65:91] += 32
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
+FIRST, SECOND = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+BY_30, BY_27, BY_31 = np.uint64(30), np.uint64(27), np.uint64(31)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
-    x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> BY_30)
+    x *= FIRST
+    x ^= x >> BY_27
+    x *= SECOND
+    x ^= x >> BY_31
+    return x
 
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -56,6 +61,12 @@ def windows(words: np.ndarray, k: int, base: int = RUN) -> np.ndarray:
 
 def word_hashes(texts: Sequence[str | None], lower: bool = False, chunk: int = 1 << 19) -> Iterator[np.ndarray]:
     """For each text the hashes of its words (runs of other bytes than blanks); lower: A-Z count as a-z."""
+    for hashes, ends in word_chunks(texts, lower, chunk):
+        yield from np.split(hashes, ends[:-1])
+
+
+def word_chunks(texts: Sequence[str | None], lower: bool = False, chunk: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """word_hashes of several texts in a row, and where each text's words end."""
     lo = 0
     while lo < len(texts):
         raw: list[bytes] = []
@@ -71,8 +82,7 @@ def word_hashes(texts: Sequence[str | None], lower: bool = False, chunk: int = 1
         starts, ends = np.flatnonzero(step == -1), np.flatnonzero(step == 1)
         hashes = ranges(data.astype(np.uint64) + np.uint64(1), starts, ends[: len(starts)], BYTE)
         bounds = np.cumsum([len(r) + 1 for r in raw])
-        at = np.searchsorted(starts, bounds)
-        yield from np.split(hashes, at[:-1])
+        yield hashes, np.searchsorted(starts, bounds)
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:

@@ -36,7 +36,7 @@ either; very long texts are ordinary sets; further columns are not read; an empt
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 
 from .common import small, stored, table
 from .components import components
-from .hashing import RUN, mix, ranges, windows, word_hashes
+from .hashing import RUN, mix, ranges, windows, word_chunks
 
 SHINGLE, PERCENT = 5, 80
 #: Groups of more classes are large.
@@ -55,6 +55,8 @@ GROUP = 8
 SAMPLE, FAMILY = 32, 1024
 #: Classes that a task remembers to make their signatures once.
 SEEN = 200_000
+#: Shingles of sets whose signatures are made at once.
+BLOCK = 1 << 18
 #: Cells of a sketch; at most so many sketches are broadcast; pivots of a family are broadcast up to so many bytes.
 SKETCH, BROADCAST_SKETCHES, BROADCAST_PIVOTS = 128, 100_000, 32 << 20
 #: A signature: 37 bits of a digest, 7 of the band, 20 of the first-level part (or ELEMENT for a single shingle). A row with
@@ -72,14 +74,31 @@ def shingle_set(words: np.ndarray, n: int = SHINGLE) -> np.ndarray:
         return np.empty(0, dtype=np.uint64)
     if len(words) < n:
         return ranges(words, np.array([0]), np.array([len(words)]), RUN)
-    return np.unique(windows(words, n))
+    return distinct(windows(words, n))
+
+
+def distinct(hashes: np.ndarray) -> np.ndarray:
+    """The values in order, each once."""
+    s = np.sort(hashes)
+    first = np.ones(len(s), dtype=bool)
+    np.not_equal(s[1:], s[:-1], out=first[1:])
+    return s[first]
 
 
 def digest(s: np.ndarray) -> tuple[int, int]:
     """127 bits that name a set; the lowest of the first 64 is 0."""
-    with np.errstate(over="ignore"):
-        a, b = mix(s + U64(1)).sum(dtype=np.uint64), mix(s ^ U64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
-    return int(a.view(np.int64)) & ~1, int((b ^ U64(len(s))).view(np.int64))
+    return digests([s])[0] if len(s) else (0, 0)
+
+
+def digests(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """The digest of each of several sets, none of them empty."""
+    if not sets:
+        return []
+    flat, sizes = np.concatenate(sets), np.array([len(s) for s in sets])
+    starts = np.cumsum(sizes) - sizes
+    a = np.add.reduceat(mix(flat + U64(1)), starts)
+    b = np.add.reduceat(mix(flat ^ U64(0x5851F42D4C957F2D)), starts) ^ sizes.astype(np.uint64)
+    return list(zip((a.view(np.int64) & ~1).tolist(), b.view(np.int64).tolist(), strict=True))
 
 
 def most_distance(size: int, percent: int = PERCENT) -> int:
@@ -102,45 +121,66 @@ def bands(upto: int, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
 def signatures(s: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, int, list[int]]:
     """Signatures of a sorted set; its first band; and for each band how many of its parts must be in large groups to leave
     it open."""
-    first, found = by_band(s, percent)
-    return np.concatenate([x for x, _, _ in found]), first, [n for _, n, _ in found]
-
-
-def by_band(s: np.ndarray, percent: int = PERCENT) -> tuple[int, list[tuple[np.ndarray, int, bool]]]:
-    """The first band, and for each one the signatures, how many parts leave the set open, and if a part does not count."""
-    size = len(s)
-    low, ks = bands(1 << max(1, size.bit_length()), percent)
-    last = int(np.searchsorted(low, size, side="right")) - 1
-    first = int(np.searchsorted(low, -(-size * percent // 100), side="right")) - 1
-    found: list[tuple[np.ndarray, int, bool]] = []
-    mixed, high = mix(s ^ LEFT), s >> U64(32)
-    for band in range(first, last + 1):
-        k = int(ks[band])
-        if k == 0:  # only equal sets are so close, and they are one class
-            found.append((np.empty(0, dtype=np.uint64), 1, True))
-            continue
-        n1 = k // 2 + least_parts(k)
-        cell = (high * U64(3 * n1) >> U64(32)).astype(np.int64)  # ascending, as s is sorted
-        starts = np.concatenate([[0], np.flatnonzero(cell[1:] != cell[:-1]) + 1])
-        sums = np.zeros(3 * n1, dtype=np.uint64)
-        sums[cell[starts]] = mix(np.add.reduceat(mixed, starts) + U64(band)) | U64(1)
-        three = sums.reshape(n1, 3)
-        live = three != 0
-        counted = int((live.sum(axis=1) >= 2).sum())
-        sparse = counted <= k // 2
-        part = np.arange(n1, dtype=np.uint64)
-        place, tail = part * (U64(3) * PLACE), U64(band << BAND_AT) | np.minimum(part, U64(NEED - 1))
-        left, right, out = three * LEFT, three * RIGHT, []
-        for j, (a, b) in enumerate(((1, 2), (0, 2), (0, 1))):
-            made = sealed(mix(left[:, a] + right[:, b] + (place + U64(j) * PLACE)), tail)
-            out.append(made[live[:, a] | live[:, b]])
-        if sparse:
-            out.append(sealed(mix(mixed + U64(band)), U64(band << BAND_AT | ELEMENT)))
-        found.append((np.concatenate(out), 1 if sparse or n1 >= NEED else counted - k // 2, counted < n1 or n1 >= NEED))
-    return first, found
-
-
-def least_parts(k: int) -> int:
+    found = list(by_band([s], percent))
+    return np.concatenate([f[4] for f in found]), int(found[0][1][0]), np.concatenate([f[2] for f in found]).tolist()
+
+
+Bands = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def by_band(sets: list[np.ndarray], percent: int = PERCENT) -> Iterator[Bands]:
+    """For sorted sets, none of them empty, and each of their bands: the set's place, the band, how many parts leave the set
+    open, and if a part does not count; then signatures, and the place of the band that each is of. Bands come in blocks of
+    about BLOCK shingles, a set's one after another."""
+    sizes = np.array([len(s) for s in sets])
+    low, ks = bands(1 << max(1, int(sizes.max()).bit_length()), percent)
+    first = np.searchsorted(low, -(-sizes * percent // 100), side="right") - 1
+    many = np.searchsorted(low, sizes, side="right") - first
+    doc = np.repeat(np.arange(len(sets)), many)
+    band = first[doc] + places(many)
+    block = np.cumsum(sizes[doc]) // BLOCK
+    cuts = np.flatnonzero(np.diff(block)) + 1
+    flat, starts = np.concatenate(sets), np.cumsum(sizes) - sizes
+    for d, b in zip(np.split(doc, cuts), np.split(band, cuts), strict=True):
+        yield d, b, *parts_of(flat, starts[d], sizes[d], b, ks[b])
+
+
+def places(counts: np.ndarray) -> np.ndarray:
+    """0 to n - 1 for each n of counts, in a row."""
+    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def parts_of(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, band: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The last four of by_band, for bands of the sets flat[start:start + size]."""
+    n1 = np.where(k > 0, k // 2 + least_parts(k), 0)  # with k = 0 only equal sets are so close, and they are one class
+    sizes = np.where(k > 0, sizes, 0)
+    of, high_band = np.repeat(np.arange(len(band)), sizes), band.astype(np.uint64)
+    s = flat[starts[of] + places(sizes)]
+    mixed = mix(s ^ LEFT)
+    cell = 3 * (np.cumsum(n1) - n1)[of] + ((s >> U64(32)) * (3 * n1).astype(np.uint64)[of] >> U64(32)).astype(np.int64)
+    new = np.flatnonzero(np.diff(cell, prepend=-1))  # cells ascend, as sets are sorted
+    sums = np.zeros(3 * n1.sum(), dtype=np.uint64)
+    if len(new):
+        sums[cell[new]] = mix(np.add.reduceat(mixed, new) + high_band[of[new]]) | U64(1)
+    three = sums.reshape(-1, 3)
+    live, row, part = three != 0, np.repeat(np.arange(len(band)), n1), places(n1).astype(np.uint64)
+    counted = np.bincount(row[np.count_nonzero(live, axis=1) >= 2], minlength=len(band))
+    sparse, whole = (counted <= k // 2) & (k > 0), (k > 0) & (n1 < NEED)
+    place = (part[:, None] * U64(3) + np.arange(3, dtype=np.uint64)) * PLACE
+    tail = high_band[row] << U64(BAND_AT) | np.minimum(part, U64(NEED - 1))
+    made = sealed(mix((three * LEFT)[:, SUBSETS[0]] + (three * RIGHT)[:, SUBSETS[1]] + place), tail[:, None])
+    some = live[:, SUBSETS[0]] | live[:, SUBSETS[1]]
+    one = sparse[of]
+    single = sealed(mix(mixed[one] + high_band[of[one]]), high_band[of[one]] << U64(BAND_AT) | U64(ELEMENT))
+    owner = np.concatenate([np.broadcast_to(row[:, None], some.shape)[some], of[one]])
+    return np.where(whole & ~sparse, counted - k // 2, 1), (counted < n1) | ~whole, np.concatenate([made[some], single]), owner
+
+
+#: The subsets of two of three parts: their first and their second parts.
+SUBSETS = np.array([1, 0, 0]), np.array([2, 2, 1])
+
+
+def least_parts(k: int | np.ndarray) -> int | np.ndarray:
     """Of n1 parts that all count, so many are shared with each partner."""
     return 1 + k // 12
 
@@ -150,9 +190,9 @@ def sealed(h: np.ndarray, tail: np.ndarray) -> np.ndarray:
     return (h & ~U64((1 << BAND_AT + BAND_BITS) - 1)) | tail
 
 
-def need_rows(cls: int, first: int, needs: list[int]) -> np.ndarray:
+def need_rows(cls: np.ndarray, band: np.ndarray, need: np.ndarray) -> np.ndarray:
     """One row for each band, in the form of a signature that no other class has."""
-    return np.array([(cls & 0x1FFFFF) << 43 | min(n, 0xFFFF) << BAND_AT + BAND_BITS | first + i << BAND_AT | NEED for i, n in enumerate(needs)], dtype=np.uint64)
+    return ((cls & 0x1FFFFF) << 43 | np.minimum(need, 0xFFFF) << BAND_AT + BAND_BITS | band << BAND_AT | NEED).astype(np.int64)
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
@@ -163,8 +203,11 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
 
 
 def sets_of(batch: pd.Series, n: int = SHINGLE) -> Iterator[np.ndarray]:
-    for words in word_hashes(batch.tolist(), lower=True):
-        yield shingle_set(words, n)
+    for words, ends in word_chunks(batch.tolist(), lower=True):
+        runs, lo = windows(words, n), 0  # a run's hash does not depend on what stands before it
+        for hi in ends.tolist():
+            yield distinct(runs[lo : hi - n + 1]) if hi - lo >= n else shingle_set(words[lo:hi], n)
+            lo = hi
 
 
 def membership(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -172,7 +215,10 @@ def membership(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(*digest(s), len(s), sketch(s).tobytes()) if len(s) else (0, 0, 0, b"") for s in sets_of(b["text"])]
+            rows = []
+            for sets in gathered(sets_of(b["text"])):
+                names = iter(digests([s for s in sets if len(s)]))
+                rows += [(*next(names), len(s), sketch(s).tobytes()) if len(s) else (0, 0, 0, b"") for s in sets]
             out = pd.DataFrame(rows, columns=["c1", "c2", "n", "sketch"])
             out.insert(0, "doc", b["doc"].array)
             yield out
@@ -187,28 +233,31 @@ def signature_rows(df: DataFrame, text_col: str, percent: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
         for b in batches:
-            sigs, classes, total = [], [], 0
-            for s in sets_of(b["text"]):
-                c = digest(s)[0]
-                if len(s) and c not in seen:
-                    if len(seen) >= SEEN:
-                        seen.clear()
-                    seen.add(c)
-                    first, found = by_band(s, percent)
-                    sigs += [*(made for made, _, _ in found), need_rows(c, first, [n for _, n, _ in found])]
-                    classes += [*(c | int(weak) for _, _, weak in found), c]
-                    total += sum(len(made) for made, _, _ in found)
-                if total >= 200_000:
-                    yield rows_of(sigs, classes)
-                    sigs, classes, total = [], [], 0
-            yield rows_of(sigs, classes)
+            for sets in gathered(s for s in sets_of(b["text"]) if len(s)):
+                new = {c: s for (c, _), s in zip(digests(sets), sets, strict=True) if c not in seen}
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.update(new)
+                names = np.array(list(new), dtype=np.int64)
+                for doc, band, need, weak, sig, of in by_band(list(new.values()), percent) if new else ():
+                    cls = names[doc]
+                    sigs = [sig.view(np.int64), need_rows(cls, band, need)]
+                    yield pd.DataFrame({"sig": np.concatenate(sigs), "cls": np.concatenate([(cls | weak)[of], cls])})
 
     return df.select(F.col(text_col).alias("text")).mapInPandas(run, "sig long, cls long")
 
 
-def rows_of(sigs: list[np.ndarray], classes: list[int]) -> pd.DataFrame:
-    flat = np.concatenate(sigs) if sigs else np.empty(0, dtype=np.uint64)
-    return pd.DataFrame({"sig": flat.view(np.int64), "cls": np.repeat(np.array(classes, dtype=np.int64), [len(s) for s in sigs])})
+def gathered(sets: Iterable[np.ndarray], size: int = 1 << 16) -> Iterator[list[np.ndarray]]:
+    """The sets in lists of about so many shingles."""
+    held, total = [], 0
+    for s in sets:
+        held.append(s)
+        total += len(s)
+        if total >= size:
+            yield held
+            held, total = [], 0
+    if held:
+        yield held
 
 
 KINDS = PAIR, LARGE, NEEDS = 0, 1, 2

@@ -588,6 +588,24 @@ def test_signatures_lose_no_pair():
                 assert set(ngram_join.signatures(a)[0]) & set(ngram_join.signatures(b)[0])
 
 
+def test_signatures_of_many_sets(monkeypatch):
+    """Sets of all sizes at once, cut into blocks of bands, get what each gets alone."""
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 2**64, n, dtype=np.uint64)) for n in [*range(1, 40), 300, 5000, 7, 2000, 1]]
+    assert ngram_join.digests(sets) == [ngram_join.digest(s) for s in sets] and len(set(ngram_join.digests(sets))) == len(sets)
+    monkeypatch.setattr(ngram_join, "BLOCK", 700)
+    found = [[[], [], []] for _ in sets]
+    for doc, band, need, _, sig, of in ngram_join.by_band(sets):
+        for d, b, n in zip(doc, band, need, strict=True):
+            found[d][1].append(int(b))
+            found[d][2].append(int(n))
+        for d, x in zip(doc[of], sig, strict=True):
+            found[d][0].append(int(x))
+    for s, (sigs, bands, needs) in zip(sets, found, strict=True):
+        alone, first, wanted = ngram_join.signatures(s)
+        assert sorted(sigs) == sorted(alone.tolist()) and bands == list(range(first, first + len(wanted))) and needs == wanted
+
+
 def test_settled_sets_meet_outside_of_large_groups():
     """Of a set's parts any `need - 1` may be in large groups: each partner still shares another one."""
     rng = np.random.default_rng(1)
