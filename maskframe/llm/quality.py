@@ -7,8 +7,8 @@ delta / (rules x (strata + 1)) (Bonferroni), and if all laxer cutoffs of the gri
 needs no further correction). So with probability 1 - delta every stratum loses at most rules x risk of its good
 documents. Strata with too few good holdouts to certify anything are pooled and tested as one more stratum, whose bound
 then holds for them together. Of the certified cutoffs, that with most bad documents rejected is used, the laxest on ties; without a
-certified cutoff a rule stays silent in that stratum. For more than EXACT_TERMS false rejections the tail is summed
-downwards from its largest term, which Stirling's series gives; what is left after EXACT_TERMS terms is bounded.
+certified cutoff a rule stays silent in that stratum. At every size the tail is summed downwards from its largest term, and
+a geometric series bounds what is left after EXACT_TERMS terms (nothing, with fewer false rejections).
 
 Edge cases: null texts are empty and fail the base rules; null strata form one stratum; several labels of one
 document count once, as good if one of them is good; without labels only base rules act, also in a stratum that has none; equal rows get equal results; very long texts cost n log n
@@ -70,26 +70,27 @@ def features(df: DataFrame, text_col: str = "text") -> DataFrame:
     return d.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).drop("__words", "__lines")
 
 
+def log_factorial(n: Column) -> Column:
+    """log(n!) by Stirling's series at n + 8, less the factors between; right to 12 digits from n = 0 on."""
+    x = n.cast("double") + 8
+    series = (x + 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5) - 1 / (1680 * x**7)
+    for i in range(1, 9):
+        series = series - F.log(n + F.lit(i))
+    return series
+
+
 def binomial_tail(k: Column, n: Column, p: float) -> Column:
-    """P(Bin(n, p) <= k); 1 where k is not below its mean."""
-    odds = math.log(p / (1 - p))
-    terms = F.aggregate(
-        F.sequence(F.lit(0).cast("bigint"), F.least(k, F.lit(EXACT_TERMS))),
-        F.struct((n * math.log1p(-p)).cast("double").alias("term"), F.lit(0.0).alias("sum")),
-        lambda a, j: F.struct((a["term"] + F.log(F.greatest(n - j, F.lit(1)) / (j + 1)) + odds).alias("term"), (a["sum"] + F.exp(a["term"])).alias("sum")),
-        lambda a: a["sum"],
-    )
-    q = k / n
-    chernoff = F.exp(-n * (q * F.log(q / p) + (1 - q) * F.log((1 - q) / (1 - p))))
-    largest = chernoff * F.sqrt(n / (2 * math.pi * k * (n - k))) * F.exp(1 / (12 * n) - 1 / (12 * k) - 1 / (12 * (n - k)))
+    """P(Bin(n, p) <= k), summed downwards from its largest term; 1 where k is not below its mean."""
+    largest = F.exp(log_factorial(n) - log_factorial(k) - log_factorial(n - k) + k * math.log(p) + (n - k) * math.log1p(-p))
     ratio = lambda j: j * (1 - p) / ((n - j + 1) * p)  # noqa: E731  of the term of j - 1 to that of j
     down = F.aggregate(
-        F.sequence(F.lit(0).cast("bigint"), F.least(k, F.lit(EXACT_TERMS))),
+        F.sequence(F.lit(0).cast("bigint"), F.least(k, F.lit(EXACT_TERMS)).cast("bigint")),
         F.struct(F.lit(1.0).alias("term"), F.lit(0.0).alias("sum")),
         lambda a, i: F.struct((a["term"] * ratio(k - i)).alias("term"), (a["sum"] + a["term"]).alias("sum")),
-        lambda a: a["sum"] + a["term"] / (1 - ratio(k - EXACT_TERMS)),  # the rest falls faster than this geometric series
+        # the rest falls faster than this geometric series; its first term is 0 where all terms were summed
+        lambda a: a["sum"] + a["term"] / (1 - ratio(F.greatest(k - EXACT_TERMS, F.lit(0)))),
     )
-    return F.when((n <= 0) | (k >= n * p), F.lit(1.0)).when(k > EXACT_TERMS, F.least(largest * down, F.lit(1.0))).otherwise(F.least(terms, F.lit(1.0)))
+    return F.when((n <= 0) | (k >= n * p), F.lit(1.0)).otherwise(F.least(largest * down, F.lit(1.0)))
 
 
 def thresholds(measured: DataFrame, labels: DataFrame, id_col: str = "doc_id", stratum: str = "lang", risk: float = 0.02, delta: float = 0.05) -> DataFrame:
