@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def quadrant(tooth_id: Column) -> Column:
@@ -51,6 +52,19 @@ def ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
 
 
+@F.udf(DoubleType(), useArrow=False)
+def atan2(y: float | None, x: float | None) -> float | None:
+    """The nearest double to the angle. F.atan2 may be off by the last bit, which decides pixels that lie on a zone's border. For
+    one row a mask."""
+    return None if y is None or x is None else math.atan2(y, x)
+
+
+def half_up(value: Column, digits: int) -> Column:
+    """value to so many digits, halves away from 0, by scaling as in SQL engines: 0.8606374999999999 to 6 is 0.860638. F.round goes by
+    the decimal text."""
+    return F.round(value * 10.0**digits) / 10.0**digits
+
+
 def wrap_angle(a: Column) -> Column:
     return F.when(a > math.pi, a - 2 * math.pi).when(a < -math.pi, a + 2 * math.pi).otherwise(a)
 
