@@ -60,7 +60,7 @@ def detection_scores(matches: DataFrame) -> DataFrame:
 def shares(df: DataFrame, col: str) -> DataFrame:
     """Value counts with percentages."""
     g = df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-    return g.withColumn("pct", F.round(100 * F.col("n") / F.sum("n").over(Window.partitionBy()), 2))
+    return g.withColumn("pct", S.half_up(100 * F.col("n") / F.sum("n").over(Window.partitionBy()), 2))
 
 
 def histogram(df: DataFrame, col: str, low: float, width: float) -> DataFrame:

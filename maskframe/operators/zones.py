@@ -122,4 +122,4 @@ def long_votes(votes: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """One row for each zone with its share."""
     cols = ("mesial", "occlusal", "distal")
     cells = F.explode(F.array(*(F.struct(F.lit(c.title()).alias("zone"), F.col(c).alias("votes")) for c in cols))).alias("z")
-    return votes.select(*keys, "n", cells).select(*keys, "n", "z.zone", "z.votes", F.round(F.col("z.votes") / F.col("n"), 4).alias("share"))
+    return votes.select(*keys, "n", cells).select(*keys, "n", "z.zone", "z.votes", S.half_up(F.col("z.votes") / F.col("n"), 4).alias("share"))

@@ -76,7 +76,7 @@ def _(spark, sf):
     v = v.withColumn("p", S.polygon_box(F.array(*(F.struct(x.alias("x"), y.alias("y")) for x, y in ((b[0], b[1]), (b[2], b[1]), (b[2], b[3]), (b[0], b[3]))))))
     v = v.withColumn("n", S.corners_box((b[2], b[3]), (b[0], b[1]), 40.0, 60.0)).withColumn("k", S.key_points(b))
     return v.select("case_id", "det_id", S.normalised(b[0], 40.0).alias("nx"), "p.cx", "p.cy", "p.w", "p.h", c("n.cx").alias("ncx"), c("k")[4][0].alias("px"), c("k")[4][1].alias("py"), S.in_box(F.lit(30), F.lit(20), b).alias("holds"),
-        F.round(F.hypot(b[0] - 30, b[1] - 20), 6).alias("distance"), S.lesion_area(b, c("confidence")).alias("lesion_area"), S.tooth_area(b).alias("tooth_area"))
+        S.half_up(F.hypot(b[0] - 30, b[1] - 20), 6).alias("distance"), S.lesion_area(b, c("confidence")).alias("lesion_area"), S.tooth_area(b).alias("tooth_area"))
 
 
 @query("prj18_19_names", "SELECT CASE p_size % 3 WHEN 0 THEN 'Occlusal' WHEN 1 THEN p_brand ELSE 'Unknown' END AS class_name, p_size % 50 AS case_id, count(*) AS n FROM part GROUP BY ALL")
@@ -95,7 +95,7 @@ def _(spark, sf):
 def _(spark, sf):
     a, far = S.clamp_angle(c("frac_c") * 1.5 - 0.7)
     tx, _y = S.turned(c("x"), c("y"), F.lit(0.0), F.lit(0.0), c("frac_m"))
-    return finds(spark, sf).select("id", F.round(a, 6).alias("angle"), far.alias("clamped"), F.round(tx, 6).alias("tx"), S.normalised(c("x") - 10, 30.0).alias("rel"))
+    return finds(spark, sf).select("id", S.half_up(a, 6).alias("angle"), far.alias("clamped"), S.half_up(tx, 6).alias("tx"), S.normalised(c("x") - 10, 30.0).alias("rel"))
 
 
 @query("prj30_prediction_fallback", "SELECT event_type, CASE WHEN value > 100 THEN CASE WHEN event_type = 'click' THEN 'Mesial' ELSE 'Center' END ELSE 'Other' END AS surface, count(*) AS n FROM events GROUP BY ALL")
@@ -139,7 +139,7 @@ def _(spark, sf):
 round(max(rel_x) - min(rel_x), 6) AS x_range, round(max(rel_y) - min(rel_y), 6) AS y_range, round(abs(avg(rel_x) - 0.5), 6) AS x_centroid_dist, round((max(rel_x) - min(rel_x)) / (max(rel_y) - min(rel_y) + 1e-6), 4) AS aspect_ratio, round(count(*) / (max(tooth_n) + 1e-6), 6) AS coverage FROM rel GROUP BY ALL""", "v_pixels", "v_roi")
 def _(spark, sf):
     f = pixels.features(rel(spark, sf))
-    return f.select(*K, "is_upper", *r6("x_mean", "y_mean", "x_std", "y_std", "x_min", "x_max", "y_min", "x_range", "y_range", "x_centroid_dist"), F.round("aspect_ratio", 4).alias("aspect_ratio"), *r6("coverage"))
+    return f.select(*K, "is_upper", *r6("x_mean", "y_mean", "x_std", "y_std", "x_min", "x_max", "y_min", "x_range", "y_range", "x_centroid_dist"), S.half_up(F.col("aspect_ratio"), 4).alias("aspect_ratio"), *r6("coverage"))
 
 
 @query("geo25_cover_statistics", """~u AS (SELECT DISTINCT case_id, x, y FROM v_pixels WHERE x BETWEEN 0 AND 40 AND y BETWEEN 0 AND 40), d AS (SELECT DISTINCT case_id, x, y FROM v_decay WHERE x BETWEEN 0 AND 40 AND y BETWEEN 0 AND 40)

@@ -31,7 +31,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def r6(*cols: str) -> list:
-    return [F.round(F.col(c), 6).alias(c) for c in cols]
+    return [S.half_up(F.col(c), 6).alias(c) for c in cols]
 
 
 def lesions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -106,12 +106,12 @@ def _(spark, sf):
 def _(spark, sf):
     p = view(spark, sf, "v_pixels")
     r = pixels.rotated(p, pixels.orientation(p))
-    return r.groupBy(*K).agg(F.round(F.max("rx") - F.min("rx"), 5).alias("bw"), F.round(F.max("ry") - F.min("ry"), 5).alias("bh"))
+    return r.groupBy(*K).agg(S.half_up(F.max("rx") - F.min("rx"), 5).alias("bw"), S.half_up(F.max("ry") - F.min("ry"), 5).alias("bh"))
 
 
 @query("geo12_pixel_overlap", "SELECT case_id, tooth_id, count(*) AS total_pixels, count(h) AS caries_pixels, round(100.0 * count(h) / count(*), 4) AS pct FROM v_pixels LEFT JOIN (SELECT *, 1 AS h FROM v_roi) USING (case_id, x, y) GROUP BY ALL", "v_pixels", "v_roi")
 def _(spark, sf):
-    return pixels.overlap(view(spark, sf, "v_pixels"), view(spark, sf, "v_roi")).withColumn("pct", F.round("pct", 4))
+    return pixels.overlap(view(spark, sf, "v_pixels"), view(spark, sf, "v_roi")).withColumn("pct", S.half_up(F.col("pct"), 4))
 
 
 ERODED = "~e AS (SELECT v.case_id, v.tooth_id, v.x, v.y FROM v_pixels v, range(-2, 3) i(i), range(-2, 3) j(j) JOIN v_pixels w ON w.case_id = v.case_id AND w.tooth_id = v.tooth_id AND w.x = v.x + i AND w.y = v.y + j GROUP BY ALL HAVING count(*) = 25)"
@@ -200,7 +200,7 @@ def _(spark, sf):
 
 @query("cls7_fuzzy", sides("1 / (rel_x ** 2 + (rel_y - 0.5) ** 2 + 0.05)", "1 / ((rel_x - 0.5) ** 2 + (rel_y - CASE WHEN up THEN 0.85 ELSE 0.15 END) ** 2 + 0.05)", "1 / ((rel_x - 1) ** 2 + (rel_y - 0.5) ** 2 + 0.05)") + " SELECT case_id, tooth_id, n, round(mesial, 3) AS mesial, round(occlusal, 3) AS occlusal, round(distal, 3) AS distal, " + PICK + " FROM h", "v_pixels", "v_roi")
 def _(spark, sf):
-    return zones.fuzzy(rel(spark, sf)).select(*K, "n", *(F.round(c, 3).alias(c) for c in ("mesial", "occlusal", "distal")), "surface")
+    return zones.fuzzy(rel(spark, sf)).select(*K, "n", *(S.half_up(F.col(c), 3).alias(c) for c in ("mesial", "occlusal", "distal")), "surface")
 
 
 @query("cls8_lesion_zone", REL + " SELECT case_id, tooth_id, CASE WHEN avg(ux) < 0.4 THEN CASE WHEN bool_or(r) THEN 'Distal' ELSE 'Mesial' END WHEN avg(ux) > 0.6 THEN CASE WHEN bool_or(r) THEN 'Mesial' ELSE 'Distal' END ELSE 'Occlusal' END AS surface FROM rel GROUP BY ALL", "v_pixels", "v_roi")
@@ -267,7 +267,7 @@ def _(spark, sf):
     points = view(spark, sf, "v_boxes").select("case_id", "det_id", F.col("x1").alias("x"), F.col("y1").alias("y"))
     near = matching.nearest_reference(points, ref, ["case_id", "det_id"])
     best = near.groupBy("case_id", "det_id").agg(F.min(F.struct("distance", "tooth_id")).alias("b"))
-    return best.select("case_id", "det_id", "b.tooth_id", F.round("b.distance", 6).alias("distance"))
+    return best.select("case_id", "det_id", "b.tooth_id", S.half_up(F.col("b.distance"), 6).alias("distance"))
 
 
 @query("jn11_box_deduplication", f"""SELECT case_id, det_id FROM v_boxes a WHERE NOT EXISTS (SELECT 1 FROM v_boxes b WHERE a.case_id = b.case_id AND (b.confidence > a.confidence OR b.confidence = a.confidence AND b.det_id < a.det_id) AND {BOX_IOU} > 0.5)""", "v_boxes")
@@ -346,7 +346,7 @@ def _(spark, sf):
 @query("agg1_case_summary", "~g AS (SELECT case_id, tooth_id, count(*) AS t, count(h) AS c FROM v_pixels LEFT JOIN (SELECT *, 1 AS h FROM v_roi) USING (case_id, x, y) GROUP BY ALL) SELECT case_id, count(*) AS teeth, CAST(sum(t) AS BIGINT) AS pixels, CAST(sum((c > 0)::INT) AS BIGINT) AS with_caries, round(avg(100.0 * c / t), 4) AS mean_pct FROM g GROUP BY ALL", "v_pixels", "v_roi")
 def _(spark, sf):
     o = pixels.overlap(view(spark, sf, "v_pixels"), view(spark, sf, "v_roi"))
-    return o.groupBy("case_id").agg(F.count(F.lit(1)).alias("teeth"), F.sum("total_pixels").alias("pixels"), F.count_if(F.col("caries_pixels") > 0).alias("with_caries"), F.round(F.avg("pct"), 4).alias("mean_pct"))
+    return o.groupBy("case_id").agg(F.count(F.lit(1)).alias("teeth"), F.sum("total_pixels").alias("pixels"), F.count_if(F.col("caries_pixels") > 0).alias("with_caries"), S.half_up(F.avg("pct"), 4).alias("mean_pct"))
 
 
 @query("agg3_value_shares", "SELECT y_pred_a, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 2) AS pct FROM v_label_pairs GROUP BY ALL", "v_label_pairs")
@@ -479,7 +479,7 @@ def _(spark, sf):
     b = view(spark, sf, "v_boxes")
     o = b.select("case_id", F.col("det_id").alias("other"), *(F.col(c).alias(f"o_{c}") for c in matching.BOX))
     iou = S.box_iou(tuple(F.col(c) for c in matching.BOX), tuple(F.col(f"o_{c}") for c in matching.BOX))
-    return b.join(o, "case_id").filter("det_id < other").select("case_id", "det_id", "other", F.round(iou, 6).alias("iou"))
+    return b.join(o, "case_id").filter("det_id < other").select("case_id", "det_id", "other", S.half_up(iou, 6).alias("iou"))
 
 
 @query("set1_union_of_versions", "SELECT 'a' AS version, y_pred_a AS label, count(*) AS n FROM v_label_pairs GROUP BY ALL UNION ALL SELECT 'b', y_pred_b, count(*) FROM v_label_pairs GROUP BY ALL", "v_label_pairs")

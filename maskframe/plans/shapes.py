@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
 from ..operators import metrics, pixels, runs, selectors
 from ..sources import scans
 from ..sources.shared import shared_folder
@@ -145,7 +146,7 @@ def _(spark, sf):
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 4).parquet(f"{out}/in")
     counted = [F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"), F.max("value").alias("most")]
     incremental.run_counters(stream, ["event_type"], counted, f"{out}/out", f"{out}/checkpoint").awaitTermination()
-    return incremental.counters(spark, f"{out}/out", ["event_type"]).select("event_type", "n", F.round("total", 4).alias("total"), "most")
+    return incremental.counters(spark, f"{out}/out", ["event_type"]).select("event_type", "n", S.half_up(F.col("total"), 4).alias("total"), "most")
 
 
 # showcases
