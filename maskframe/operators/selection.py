@@ -12,11 +12,12 @@ def first_of(df: DataFrame, keys: list[str], order: list[Column], n: int = 1) ->
 
 
 def diversified(df: DataFrame, kind: str, case: str, order: list[Column], n: int) -> DataFrame:
-    """n rows: first the best one of each kind, then further cases."""
-    ranked = df.withColumn("__r", F.row_number().over(Window.partitionBy(kind).orderBy(*order)))
-    one = ranked.filter("__r = 1").withColumn("tier", F.lit(1))
-    more = first_of(ranked.filter("__r > 1").join(one.select(case).distinct(), case, "left_anti"), [case], order).withColumn("tier", F.lit(2))
-    return one.unionByName(more).drop("__r").orderBy("tier", *order).limit(n)
+    """n rows: first the best one of each kind, then further cases. The rows of a kind are cut to the first before they are
+    shuffled, so no task holds a kind; the first rows themselves leave with their cases."""
+    one = first_of(df, [kind], order).withColumn("tier", F.lit(1))
+    taken = one.select(F.col(case).alias("__taken")).distinct()
+    more = first_of(df.join(taken, df[case].eqNullSafe(taken["__taken"]), "left_anti"), [case], order).withColumn("tier", F.lit(2))
+    return one.unionByName(more).orderBy("tier", *order).limit(n)
 
 
 def seeded(key: Column, seed: int = 42) -> Column:

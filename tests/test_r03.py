@@ -3,7 +3,7 @@
 import math
 
 from maskframe.functions import scalars as S
-from maskframe.operators import pixels
+from maskframe.operators import matching, pixels, selection, zones
 from pyspark.sql import functions as F
 
 
@@ -28,3 +28,31 @@ def test_angles_are_the_nearest_doubles(spark):
 def test_halves_are_rounded_up(spark):
     got = spark.createDataFrame([(0.8606374999999999,), (-0.8606374999999999,), (None,)], "v double").select(S.half_up(F.col("v"), 6).alias("v")).collect()
     assert [r.v for r in got] == [0.860638, -0.860638, None]
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_the_best_of_a_kind_are_cut_before_the_shuffle(spark):
+    rows = [("a", 1, 9), ("a", 2, 8), ("b", 2, 7), ("b", 3, 6), ("b", None, 5), ("a", None, 4), ("a", 3, 1)]
+    d = spark.createDataFrame(rows, "kind string, case_id int, v int")
+    out = selection.diversified(d, "kind", "case_id", [F.desc("v")], 10)
+    assert [tuple(r) for r in out.select("case_id", "v", "tier").collect()] == [(1, 9, 1), (2, 7, 1), (3, 6, 2), (None, 5, 2)]
+    assert plan(out).count("WindowGroupLimit") >= 4  # partial and final, of kinds and of cases
+
+
+def test_greedy_first_keeps_repeated_boxes_without_a_join(spark):
+    rows = [(1, 1, 0.9, 0, 0, 10, 10), (1, 2, 0.8, 1, 1, 11, 11), (1, 3, 0.7, 20, 0, 30, 10), (1, 3, 0.7, 20, 0, 30, 10), (2, 9, 0.5, 5, 5, 5, 5)]
+    d = spark.createDataFrame(rows, "case_id long, det_id long, confidence double, x1 int, y1 int, x2 int, y2 int")
+    out = matching.greedy_first(d)
+    assert sorted((r.case_id, r.det_id) for r in out.collect()) == [(1, 1), (1, 3), (1, 3), (2, 9)]
+    assert "Join" not in plan(out)
+
+
+def test_a_sweep_reads_the_pixels_once(spark):
+    body = spark.createDataFrame([(1, "16", x, y) for x in range(10) for y in range(30)], "case_id int, tooth_id string, x int, y int")
+    made = spark.sparkContext.accumulator(0)
+    seen = F.udf(lambda x: made.add(1) or x, "int", useArrow=False).asNondeterministic()
+    rel = pixels.relative(body, body.filter("x > 7")).withColumn("x", seen("x"))
+    assert zones.sweep(rel).count() == 5 and made.value == 60
