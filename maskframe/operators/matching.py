@@ -54,16 +54,23 @@ def without_duplicates(boxes: DataFrame, most_iou: float = 0.5) -> DataFrame:
 def greedy_first(boxes: DataFrame, most_iou: float = 0.5) -> DataFrame:
     """In order of confidence, a box is dropped if the first kept box that it touches overlaps it by more than most_iou: one fold
     over the few dozen boxes of an image."""
-    order = boxes.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("confidence")).alias("low"), "det_id", *BOX))).alias("b"))
+    rows = boxes.groupBy("case_id").agg(F.collect_list(F.struct(*(c for c in boxes.columns if c != "case_id"))).alias("rows"))
+    low = lambda x: F.struct((-x["confidence"]).alias("low"), x["det_id"].alias("det_id"), *(x[c].alias(c) for c in BOX))
     of = lambda x: tuple(x[c] for c in BOX)
 
-    def step(kept: Column, x: Column) -> Column:
-        first = F.get(F.filter(kept, lambda k: S.box_iou(of(x), of(k)) > 0), 0)
-        drop = first.isNotNull() & (S.box_iou(of(x), of(first)) > most_iou)
-        return F.when(drop, kept).otherwise(F.concat(kept, F.array(x)))
+    def meet(x: Column, k: Column) -> Column:
+        """The boxes share some area, as box_iou() > 0."""
+        return (F.least(x["x2"], k["x2"]) > F.greatest(x["x1"], k["x1"])) & (F.least(x["y2"], k["y2"]) > F.greatest(x["y1"], k["y1"]))
 
-    kept = F.aggregate("b", F.filter("b", lambda x: F.lit(False)), step)
-    return boxes.join(order.select("case_id", F.explode(kept).alias("k")).select("case_id", "k.det_id"), ["case_id", "det_id"], "left_semi")
+    def step(kept: Column, x: Column) -> Column:
+        first = F.get(F.filter(kept, lambda k: meet(x, k)), 0)
+        return F.when(S.box_iou(of(x), of(first)) > most_iou, kept).otherwise(F.concat(kept, F.array(x)))
+
+    sorted_ = rows.withColumn("b", F.array_sort(F.transform("rows", low)))
+    kept = F.transform(F.aggregate("b", F.filter("b", lambda x: F.lit(False)), step), lambda k: k["det_id"])
+    many = sorted_.withColumn("kept", F.when(F.size("b") > 1, kept))
+    stay = F.when(F.col("kept").isNull(), F.col("rows")).otherwise(F.filter("rows", lambda x: F.array_contains("kept", x["det_id"])))
+    return many.select("case_id", F.inline(stay)).select(*boxes.columns)
 
 
 def match_labels(truth: DataFrame, predicted: DataFrame, keys: list[str]) -> DataFrame:
