@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..sources.shared import settled
 from .pixels import KEYS
 
 #: Bounds of the side zones.
@@ -110,7 +111,9 @@ VERSIONS: dict[str, Callable[[DataFrame], DataFrame]] = {"x_thirds": x_thirds, "
 
 
 def sweep(rel: DataFrame, versions: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> DataFrame:
-    """(keys, version, surface) of all versions, callables from relative pixels to surfaces."""
+    """(keys, version, surface) of all versions, callables from relative pixels to surfaces. The pixels are made once, and read
+    by each version."""
+    rel = settled(rel)
     parts = [f(rel).select(*KEYS, F.lit(name).alias("version"), "surface") for name, f in (versions or VERSIONS).items()]
     out = parts[0]
     for p in parts[1:]:
