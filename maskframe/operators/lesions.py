@@ -6,6 +6,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import settled
 from . import learning, matching, pixels, zones
 from .pixels import KEYS
 
@@ -27,10 +28,12 @@ def lesions(decay: DataFrame, least: int = 15, radius2: int = 4) -> DataFrame:
 
 def lesion_table(tooth: DataFrame, decay: DataFrame, least: int = 15, least_tooth: int = 10) -> DataFrame:
     """(keys, lesion_idx, whole, features, zone) of the lesions of teeth with at least least_tooth pixels; zone is the x-thirds
-    surface. Lesions of teeth whose box has no area have no features and the zone Other."""
+    surface. Lesions of teeth whose box has no area have no features and the zone Other. Masks, lesions and their places are
+    made once, and read by each step."""
+    tooth = settled(tooth)
     big = tooth.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least_tooth).select(*KEYS)
-    own = lesions(pixels.lesion_pixels(tooth, decay), least).join(big, KEYS, "left_semi")
-    r = pixels.relative(tooth, own)
+    own = settled(lesions(pixels.lesion_pixels(tooth, decay), least).join(big, KEYS, "left_semi"))
+    r = settled(pixels.relative(tooth, own))
     known = pixels.features(r, LESION).join(zones.x_thirds(r, LESION).select(*LESION, F.col("surface").alias("zone")), LESION)
     named = own.groupBy(*LESION).agg(F.first("whole").alias("whole"))
     return named.join(known, LESION, "left").withColumn("zone", F.coalesce("zone", F.lit("Other")))
