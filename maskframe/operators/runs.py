@@ -8,6 +8,9 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +43,10 @@ def area(runs_: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     return runs_.groupBy(*keys).agg(F.sum(F.col("x2") - F.col("x1") + 1).alias("area"))
 
 
+#: Points of a border that are worked on at once.
+POINTS = 1 << 18
+
+
 def filled(polygons: DataFrame, keys: list[str] = KEYS, polygon: str = "polygon", outline: bool = False) -> DataFrame:
     """Runs of closed polygons (arrays of structs x, y, in order) by the even-odd rule.
 
@@ -47,28 +54,111 @@ def filled(polygons: DataFrame, keys: list[str] = KEYS, polygon: str = "polygon"
     its upper end; a row's crossings in order bound runs in pairs. Corners and level edges are added, so all points of the
     border count. With outline, edges are also drawn as lines one pixel wide (the other coordinate rounded half up), as
     drawing libraries do. Polygons without corners give nothing, and one or two corners a point or a line.
+
+    Only corners are shuffled, to gather the polygons of equal keys; these are one mask. A task then fills some masks at a time.
     """
+
+    def fill(p: pa.Array) -> pa.Array:
+        k, y, x1, x2 = runs_of(p, outline)
+        return in_lists(k, len(p), y=y, x1=x1, x2=x2)
+
+    made = F.arrow_udf(fill, "array<struct<y: int, x1: int, x2: int>>")
+    return gathered([polygons], keys, polygon).select(*keys, F.inline(made("p0")))
+
+
+def covered_rows(polygons: DataFrame, keys: list[str] = KEYS, polygon: str = "polygon", outline: bool = False) -> DataFrame:
+    """(keys, y, first_x, last_x, pixels): the rows of filled() masks, made with the runs."""
+
+    def fill(p: pa.Array) -> pa.Array:
+        k, y, x1, x2 = runs_of(p, outline)
+        first = np.flatnonzero(changes(k, y))
+        n = np.add.reduceat(x2 - x1 + 1, first) if len(first) else first
+        return in_lists(k[first], len(p), y=y[first], first_x=x1[first], last_x=x2[np.append(first, len(k))[1:] - 1], pixels=n)
+
+    made = F.arrow_udf(fill, "array<struct<y: int, first_x: int, last_x: int, pixels: bigint>>")
+    return gathered([polygons], keys, polygon).select(*keys, F.inline(made("p0")))
+
+
+def gathered(sides: list[DataFrame], keys: list[str], polygon: str) -> DataFrame:
+    """(keys, p0, p1, ...): for each side the polygons of equal keys that have corners, as arrays of corners."""
     p = F.transform(F.filter(polygon, lambda c: c["x"].isNotNull() & c["y"].isNotNull()), lambda c: F.struct(c["x"].cast("int").alias("x"), c["y"].cast("int").alias("y")))
-    corners = polygons.select(*keys, p.alias("p")).filter(F.size("p") > 0)
-    nexts = F.concat(F.slice("p", F.lit(2), F.size("p")), F.slice("p", 1, 1))
-    e = corners.select(*keys, F.inline(F.zip_with("p", nexts, lambda a, b: F.struct(a["x"].alias("ax"), a["y"].alias("ay"), b["x"].alias("bx"), b["y"].alias("by")))))
-    row, low, high = F.col("y"), F.least("ay", "by"), F.greatest("ay", "by")
-    slanted = e.filter("ay <> by").withColumn("y", F.explode(F.sequence(low, high - 1)))
-    at = F.col("ax") + (row - F.col("ay")) * (F.col("bx") - F.col("ax")) / (F.col("by") - F.col("ay"))
-    ranked = slanted.select(*keys, "y", at.alias("at")).withColumn("pair", F.floor((F.row_number().over(Window.partitionBy(*keys, "y").orderBy("at")) - 1) / 2))
-    inside = ranked.groupBy(*keys, "y", "pair").agg(F.ceil(F.min("at")).cast("int").alias("x1"), F.floor(F.max("at")).cast("int").alias("x2")).filter("x1 <= x2").drop("pair")
-    level = e.filter("ay = by").select(*keys, F.col("ay").alias("y"), F.least("ax", "bx").alias("x1"), F.greatest("ax", "bx").alias("x2"))
-    points = e.select(*keys, F.col("ay").alias("y"), F.col("ax").alias("x1"), F.col("ax").alias("x2"))
-    parts = inside.unionByName(level).unionByName(points)
+    out = None
+    for i, side in enumerate(sides):
+        one = side.select(*keys, p.alias("p")).filter(F.size("p") > 0)
+        one = one.select(*keys, *(F.when(F.lit(i == j), F.col("p")).alias(f"p{j}") for j in range(len(sides))))
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy(*keys).agg(*(F.collect_list(f"p{j}").alias(f"p{j}") for j in range(len(sides))))
+
+
+Runs = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def runs_of(p: pa.Array, outline: bool) -> Runs:
+    """(mask, y, x1, x2) in order, from an array of masks, each a list of polygons."""
+    mask = np.repeat(np.arange(len(p)), pc.list_value_length(p).to_numpy())
+    size = pc.list_value_length(p.flatten()).to_numpy()
+    ax, ay = (c.to_numpy().astype(np.int64) for c in p.flatten().flatten().flatten())
+    after, ends = np.arange(1, len(ax) + 1), np.cumsum(size)
+    after[ends - 1] = ends - size
+    k, bx, by = np.repeat(mask, size), ax[after], ay[after]
+    work = np.cumsum(np.bincount(k, np.abs(by - ay) + (np.abs(bx - ax) if outline else 0) + 3, len(p)))
+    cuts = np.searchsorted(k, np.flatnonzero(np.diff(work // POINTS)) + 1)
+    parts = [filling(*x, outline) for x in zip(*(np.split(v, cuts) for v in (k, ax, ay, bx, by)), strict=True)]
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def filling(k: np.ndarray, ax: np.ndarray, ay: np.ndarray, bx: np.ndarray, by: np.ndarray, outline: bool) -> Runs:
+    """The runs of masks k from their edges."""
+    low, left = np.minimum(ay, by), np.minimum(ax, bx)
+    of, y = stretched(np.where(ay != by, low, 0), np.abs(by - ay))
+    at = ax[of] + (y - ay[of]) * (bx - ax)[of] / (by - ay)[of]
+    order = np.lexsort((at, y, k[of]))  # each row of a mask has an even number of crossings
+    begin, end = np.ceil(at[order][::2]).astype(np.int64), np.floor(at[order][1::2]).astype(np.int64)
+    real, level = begin <= end, ay == by
+    parts = [(k[of][order][::2][real], y[order][::2][real], begin[real], end[real])]
+    parts += [(k[level], ay[level], left[level], np.maximum(ax, bx)[level]), (k, ay, ax, ax)]
     if outline:
-        flat = F.abs(F.col("bx") - F.col("ax")) >= F.abs(F.col("by") - F.col("ay"))
-        near = lambda t, a, b, c, d: F.floor(F.col(c) + (t - F.col(a)) * (F.col(d) - F.col(c)) / (F.col(b) - F.col(a)) + 0.5).cast("int")
-        along = e.filter(flat & F.expr("ax <> bx")).withColumn("x", F.explode(F.sequence(F.least("ax", "bx"), F.greatest("ax", "bx"))))
-        down = e.filter(~flat).withColumn("y", F.explode(F.sequence(low, high)))
-        parts = parts.unionByName(along.select(*keys, near(F.col("x"), "ax", "bx", "ay", "by").alias("y"), F.col("x").alias("x1"), F.col("x").alias("x2")))
-        x = near(F.col("y"), "ay", "by", "ax", "bx")
-        parts = parts.unionByName(down.select(*keys, "y", x.alias("x1"), x.alias("x2")))
-    return united(parts, keys)
+        flat = np.abs(bx - ax) >= np.abs(by - ay)
+        near = lambda t, i, a, b, c, d: np.floor(c[i] + (t - a[i]) * (d - c)[i] / (b - a)[i] + 0.5).astype(np.int64)
+        i, x = stretched(left, np.where(flat & (ax != bx), np.abs(bx - ax) + 1, 0))
+        parts.append((k[i], near(x, i, ax, bx, ay, by), x, x))
+        i, y = stretched(low, np.where(flat, 0, np.abs(by - ay) + 1))
+        x = near(y, i, ay, by, ax, bx)
+        parts.append((k[i], y, x, x))
+    return joined(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+
+
+def stretched(first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each i the numbers first[i], ... n[i] of them, and i beside them."""
+    of = np.repeat(np.arange(len(n)), n)
+    return of, first[of] + np.arange(len(of)) - (np.cumsum(n) - n)[of]
+
+
+def joined(k: np.ndarray, y: np.ndarray, x1: np.ndarray, x2: np.ndarray) -> Runs:
+    """united() of runs of masks k."""
+    order = np.lexsort((x1, y, k))
+    k, y, x1, x2 = k[order], y[order], x1[order], x2[order]
+    new = changes(k, y)
+    base = np.cumsum(new) * (np.ptp(x2) + 1 if len(x2) else 0)
+    reach = np.maximum.accumulate(x2 + base) - base  # the largest end so far in the row
+    begins = new.copy()
+    begins[1:] |= reach[:-1] + 1 < x1[1:]
+    first = np.flatnonzero(begins)
+    return k[first], y[first], x1[first], reach[np.append(first, len(k))[1:] - 1]
+
+
+def changes(k: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """True where a row of a mask begins."""
+    new = np.ones(len(k), dtype=bool)
+    new[1:] = (k[1:] != k[:-1]) | (y[1:] != y[:-1])
+    return new
+
+
+def in_lists(k: np.ndarray, n: int, **columns: np.ndarray) -> pa.Array:
+    """n lists of structs, k in order being the list of each; whole numbers, pixels as long."""
+    fields = [pa.array(v.astype(np.int64 if name == "pixels" else np.int32)) for name, v in columns.items()]
+    offsets = np.searchsorted(k, np.arange(n + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(fields, list(columns)))
 
 
 def shares(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
@@ -88,9 +178,23 @@ def shares(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return g.withColumn("iou", F.when(F.col("total") > 0, F.col("shared") / F.col("total")).otherwise(0.0))
 
 
-def polygon_iou(a: DataFrame, b: DataFrame, keys: list[str], polygon: str = "polygon", **options) -> DataFrame:
-    """shares() of polygons with equal keys."""
-    return shares(filled(a, keys, polygon, **options), filled(b, keys, polygon, **options), keys)
+def polygon_iou(a: DataFrame, b: DataFrame, keys: list[str], polygon: str = "polygon", outline: bool = False) -> DataFrame:
+    """shares() of polygons with equal keys, without a shuffle of their runs."""
+
+    def swept(p: pa.Array, q: pa.Array) -> pa.Array:
+        sides = runs_of(p, outline), runs_of(q, outline)
+        k, y, x1, x2 = (np.concatenate(v) for v in zip(*sides, strict=True))
+        area = np.bincount(k, x2 - x1 + 1, len(p)).astype(np.int64)
+        k, y, x = np.tile(k, 2), np.tile(y, 2), np.append(x1, x2 + 1)
+        inside = np.repeat([1, -1], len(x1))
+        order = np.lexsort((x, y, k))
+        both = np.cumsum(inside[order])[:-1] == 2  # the runs of one side do not overlap
+        shared = np.bincount(k[order][:-1][both], np.diff(x[order])[both], len(p)).astype(np.int64)
+        return pa.StructArray.from_arrays([pa.array(shared), pa.array(area - shared)], ["shared", "total"])
+
+    made = F.arrow_udf(swept, "struct<shared: bigint, total: bigint>")
+    g = gathered([a, b], keys, polygon).select(*keys, made("p0", "p1").alias("s")).select(*keys, "s.*")
+    return g.withColumn("iou", F.when(F.col("total") > 0, F.col("shared") / F.col("total")).otherwise(0.0))
 
 
 # components
