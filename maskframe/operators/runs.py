@@ -1,12 +1,14 @@
 """Masks as runs of pixels in a row (keys, y, x1, x2): filling of polygons, unions, shares, components of any size.
 
-A run stands for x1 to x2, both included. All is windows and equi-joins on (keys, row), so one mask may be spread over
-tasks: no task holds more than the runs of one or two rows of one mask.
+A run stands for x1 to x2, both included. Runs, unions, shares and links are windows and equi-joins on (keys, row), so one mask may be
+spread over tasks. Polygons, which come as one row each, are filled in their task; links are contracted in pieces of bounded size.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -231,14 +233,80 @@ def links(runs_: DataFrame, keys: list[str], radius2: int = 2) -> DataFrame:
     return out
 
 
-def smallest_reachable(edges: DataFrame, keys: list[str], most_rounds: int = 60) -> DataFrame:
+#: Edges that a task contracts at once.
+EDGES = 1 << 18
+
+
+def contracted(edges: DataFrame, keys: list[str], most: int = EDGES) -> DataFrame:
+    """(keys, a, b, open): each node a of edges (keys, a, b) with b, the smallest node that it reaches by edges seen together.
+    A mask's edges come one after another in one task, which holds up to about `most`; only a mask with more is open, its b not final."""
+    names = [*keys, "a", "b"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, carried = [], 0, False
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                held.append(batch)
+                size += batch.num_rows
+                if size < most:
+                    continue
+            if not size:
+                continue
+            t = pa.Table.from_batches(held).combine_chunks()
+            new = np.zeros(size, dtype=bool)
+            for c in keys:
+                codes = t.column(c).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+                new[1:] |= codes[1:] != codes[:-1]
+            mask, last = np.cumsum(new), size
+            if batch is not None:
+                last = int(np.flatnonzero(new)[-1]) if new.any() else size - 1  # one edge stays, to tell if its mask goes on
+            cut = batch is not None and not new.any()
+            if last:
+                row, a, b = least(mask[:last], t.column("a").to_numpy()[:last], t.column("b").to_numpy()[:last])
+                still = (mask[row] == 0) & (carried or cut)
+                out = [t.column(c).combine_chunks().take(pa.array(row)) for c in keys]
+                yield pa.RecordBatch.from_arrays([*out, pa.array(a), pa.array(b), pa.array(still)], names=[*names, "open"])
+            carried = cut or (carried and not new[: last + 1].any())
+            held = t.slice(last).to_batches()
+            size -= last
+
+    d = edges.select(*names)
+    return settled(d.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, d.schema.add("open", "boolean")))
+
+
+def least(mask: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each node of edges a, b of masks in order: a row of its mask, the node, and the smallest node that it reaches."""
+    rows = np.tile(np.arange(len(a)), 2)
+    ids = np.append(a, b)
+    order = np.lexsort((ids, mask[rows]))
+    new = changes(mask[rows][order], ids[order])
+    at = np.empty(len(ids), dtype=np.int64)
+    at[order] = np.cumsum(new) - 1
+    u, v, up = at[: len(a)], at[len(a) :], np.arange(new.sum())
+    while True:
+        low, high = np.minimum(up[u], up[v]), np.maximum(up[u], up[v])
+        if (low == high).all():
+            break
+        np.minimum.at(up, high, low)
+        while (up[up] != up).any():
+            up = up[up]
+    first = order[new]
+    return rows[first], ids[first], ids[first][up]
+
+
+def smallest_reachable(edges: DataFrame, keys: list[str], most_rounds: int = 60, most: int = EDGES) -> DataFrame:
     """(keys, id, comp): for each node of edges (keys, a, b) the smallest node that it reaches.
 
-    Large and small stars alternate: a node's larger neighbours go to its smallest one, then so do its smaller ones. Rounds
-    grow with the logarithm of a component's length; each is settled in the shared folder. More than most_rounds is an error.
+    Masks of up to `most` edges are contracted in their tasks. Of larger ones, large and small stars alternate: a node's larger
+    neighbours go to its smallest one, then so do its smaller ones. Rounds grow with the logarithm of a component's length; each is
+    settled in the shared folder. More than most_rounds is an error.
     """
     pair = lambda d: d.filter("a <> b").select(*keys, F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    now, seen = settled(pair(edges)), None
+    whole = contracted(edges, keys, most)
+    named = whole.filter("not open").select(*keys, F.col("a").alias("id"), F.col("b").alias("comp"))
+    if whole.filter("open").isEmpty():
+        return named
+    now, seen = settled(pair(whole.filter("open"))), None
     for _ in range(most_rounds):
         both = now.unionByName(now.select(*keys, F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy(*keys, "a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -249,7 +317,7 @@ def smallest_reachable(edges: DataFrame, keys: list[str], most_rounds: int = 60)
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*keys, "a", "b").cast("decimal(38,0)"))).first()
         if mark == seen:
             ends = now.select(*keys, F.col("b").alias("id"), F.col("b").alias("comp")).distinct()
-            return now.select(*keys, F.col("a").alias("id"), F.col("b").alias("comp")).unionByName(ends)
+            return named.unionByName(now.select(*keys, F.col("a").alias("id"), F.col("b").alias("comp"))).unionByName(ends)
         seen = mark
     raise RuntimeError("components did not settle")
 
