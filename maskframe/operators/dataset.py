@@ -27,8 +27,16 @@ def conversion_totals(converted: DataFrame) -> DataFrame:
 
 
 def label_statistics(labels: DataFrame, split: str = "split", label: str = "label", case: str = "case_id") -> DataFrame:
-    """(split, label, annotations, cases), with null for all splits or labels."""
-    return labels.groupingSets([[split, label], [split], [label], []], split, label).agg(F.count(F.lit(1)).alias("annotations"), F.countDistinct(case).alias("cases"))
+    """(split, label, annotations, cases), with null for all splits or labels. Each row is shuffled once, to its case; the sets of a case
+    are counted there, and only their sums go on."""
+    one = labels.select(F.col(case).alias("case"), F.col(split).alias("split"), F.col(label).alias("label")).repartition("case").groupBy("case", "split", "label").agg(F.count(F.lit(1)).alias("n"))
+    none = {c: F.lit(None).cast(one.schema[c].dataType) for c in ("split", "label")}
+    cell = lambda k, **c: F.struct(F.lit(k).alias("k"), *({**none, **c}[x].alias(x) for x in none))
+    a, b = F.col("split"), F.col("label")
+    cells = one.select("case", "n", F.inline(F.array(cell(0, split=a, label=b), cell(1, split=a), cell(2, label=b), cell(3))))
+    held = cells.groupBy("case", "k", "split", "label").agg(F.sum("n").alias("n"))
+    out = held.groupBy("k", "split", "label").agg(F.sum("n").alias("annotations"), F.count("case").alias("cases"))
+    return out.select(F.col("split").alias(split), F.col("label").alias(label), "annotations", "cases")
 
 
 def conformance(df: DataFrame, expected: list[str], required: list[str]) -> DataFrame:

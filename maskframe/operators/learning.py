@@ -25,7 +25,7 @@ def weighted(df: DataFrame, label: str = "label") -> DataFrame:
 
 def train_forest(df: DataFrame, features: list[str], label: str = "label", trees: int = 200, depth: int = 5, seed: int = 42) -> PipelineModel:
     """A forest on balanced weights. The model is a pipeline: features to a vector, label to an index, and back."""
-    d = settled(weighted(df.select(*features, label), label))  # read once for each level of the trees
+    d = settled(weighted(settled(df.select(*features, label)), label))  # df is made once; d is read once for each level of the trees
     index = StringIndexer(inputCol=label, outputCol="__y", stringOrderType="alphabetAsc", handleInvalid="keep").fit(d)
     assemble = VectorAssembler(inputCols=features, outputCol="__x", handleInvalid="keep")
     forest = RandomForestClassifier(featuresCol="__x", labelCol="__y", weightCol="weight", numTrees=trees, maxDepth=depth, seed=seed, probabilityCol="__p", rawPredictionCol="__r", predictionCol="__c")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..sources.shared import settled
 
 
 def per_label(pairs: DataFrame, true: str = "y_true", pred: str = "y_pred", by: list[str] | None = None, weight: Column | None = None) -> DataFrame:
@@ -29,7 +30,7 @@ def macro(pairs: DataFrame, by: list[str] | None = None, **names) -> DataFrame:
 
 def report(pairs: DataFrame, **names) -> DataFrame:
     """Per label, then macro and weighted averages: (label, precision, recall, f1, support)."""
-    p = per_label(pairs, **names)
+    p = settled(per_label(pairs, **names))  # pairs are made once for the labels and both averages
     cols = ("precision", "recall", "f1")
     total = F.sum("support").alias("support")
     avg = p.agg(*(F.avg(c).alias(c) for c in cols), total).select(F.lit("macro avg").alias("label"), *cols, "support")

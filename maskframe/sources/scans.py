@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .readers import SEGMENTATION
-from .shared import shared_folder
+from .shared import settled, shared_folder
 
 REJECTED = "file string, bytes long, reason string"
 
@@ -53,16 +53,15 @@ def read_list(spark: SparkSession, path: str) -> DataFrame:
     """(pos, value): the lines of a text file, or of a folder's files in the order of their names, without blanks around them;
     blank lines are skipped, the others numbered from 0.
 
-    A file may be read in splits. Each split's lines are numbered by themselves and begin where the counts of the splits before
-    it end, so no task holds a file; what one task orders is one row for each split.
+    A file may be read in splits. Their lines are written once with numbers that ascend within a split, without gaps, so a line's
+    place is its distance from its split's first line, after the counts of the splits before; no task holds a split.
     """
     raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.regexp_replace("value", r"(?U)^\s+|\s+$", "").alias("value"))
-    lines = raw.filter("value <> ''").withColumn("at", F.monotonically_increasing_id())
-    split = Window.partitionBy("file", "block")
-    numbered = lines.withColumn("own", F.row_number().over(split.orderBy("at")) - 1)
-    counts = numbered.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"))
+    lines = settled(raw.filter("value <> ''").withColumn("at", F.monotonically_increasing_id()))
+    splits = lines.groupBy("file", "block").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return numbered.join(counts.select("file", "block", before.alias("before")), ["file", "block"]).select((F.col("before") + F.col("own")).alias("pos"), "value")
+    starts = F.broadcast(splits.select("file", "block", (before - F.col("first")).alias("shift")))
+    return lines.join(starts, ["file", "block"]).select((F.col("at") + F.col("shift")).alias("pos"), "value")
 
 
 def aligned(lists: dict[str, DataFrame]) -> DataFrame:
