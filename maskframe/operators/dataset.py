@@ -27,16 +27,20 @@ def conversion_totals(converted: DataFrame) -> DataFrame:
 
 
 def label_statistics(labels: DataFrame, split: str = "split", label: str = "label", case: str = "case_id") -> DataFrame:
-    """(split, label, annotations, cases), with null for all splits or labels. Each row is shuffled once, to its case; the sets of a case
-    are counted there, and only their sums go on."""
-    one = labels.select(F.col(case).alias("case"), F.col(split).alias("split"), F.col(label).alias("label")).repartition("case").groupBy("case", "split", "label").agg(F.count(F.lit(1)).alias("n"))
-    none = {c: F.lit(None).cast(one.schema[c].dataType) for c in ("split", "label")}
+    """(split, label, annotations, cases), with null for all splits or labels. Each row is shuffled once, to its case, which holds its
+    pairs of split and label once; only sums go on."""
+    d = labels.select(F.col(case).alias("case"), F.col(split).alias("split"), F.col(label).alias("label"))
+    none = {c: F.lit(None).cast(d.schema[c].dataType) for c in ("split", "label")}
     cell = lambda k, **c: F.struct(F.lit(k).alias("k"), *({**none, **c}[x].alias(x) for x in none))
     a, b = F.col("split"), F.col("label")
-    cells = one.select("case", "n", F.inline(F.array(cell(0, split=a, label=b), cell(1, split=a), cell(2, label=b), cell(3))))
-    held = cells.groupBy("case", "k", "split", "label").agg(F.sum("n").alias("n"))
-    out = held.groupBy("k", "split", "label").agg(F.sum("n").alias("annotations"), F.count("case").alias("cases"))
-    return out.select(F.col("split").alias(split), F.col("label").alias(label), "annotations", "cases")
+    n = d.groupBy("split", "label").agg(F.count(F.lit(1)).alias("n"))
+    n = n.select("n", F.inline(F.array(cell(0, split=a, label=b), cell(1, split=a), cell(2, label=b), cell(3)))).groupBy("k", "split", "label").agg(F.sum("n").alias("annotations"))
+    held = d.filter("case is not null").select("case", F.struct("split", "label").alias("v")).repartition("case").groupBy("case").agg(F.collect_set("v").alias("v"))
+    each = lambda f: F.array_distinct(F.transform("v", f))
+    sets = F.concat(each(lambda v: cell(0, split=v["split"], label=v["label"])), each(lambda v: cell(1, split=v["split"])), each(lambda v: cell(2, label=v["label"])), F.array(cell(3)))
+    cases = held.select(F.inline(sets)).groupBy("k", "split", "label").agg(F.count(F.lit(1)).alias("cases"))
+    same = n["k"].eqNullSafe(cases["k"]) & n["split"].eqNullSafe(cases["split"]) & n["label"].eqNullSafe(cases["label"])
+    return n.join(cases, same, "left").select(n["split"].alias(split), n["label"].alias(label), "annotations", F.coalesce("cases", F.lit(0)).alias("cases"))
 
 
 def conformance(df: DataFrame, expected: list[str], required: list[str]) -> DataFrame:
