@@ -23,9 +23,11 @@ excess(A) = |D(A)| - |A| (100 - percent) / (100 + percent), two members with exc
 certain, and if any such pair exists, both are similar to the member of least excess: a star links them all without a
 comparison. Every other similar pair shares an element of D. Families of up to FAMILY members are compared at once on their
 small sets D. In larger ones members outside the star meet the rest by the elements of D, in groups like those above; what
-is open then forms smaller families, until nothing is left. A group of the next round shares an element that its family's
-pivot lacks, so families shrink from round to round. Shingles that only one open class has are counted, but neither kept
-nor shuffled, as no two sets D share them.
+is open then forms smaller families, until nothing is left. A pair still missing shares only elements of large groups, and no fewer
+than either side needs. So a member with h of them that needs m goes by its first h - m + 1, those of the smallest groups (the order is
+the same for all): the first that the pair shares is among these on both sides. With fewer than m it is settled. A group of the
+next round shares an element that its family's pivot lacks, so families shrink from round to round. Shingles that only one
+open class has are counted, but neither kept nor shuffled, as no two sets D share them.
 
 Every candidate is checked exactly on the sets, and links become components by star contraction.
 
@@ -466,18 +468,23 @@ def within_families(to: DataFrame, sets: DataFrame, percent: int) -> tuple[DataF
     ends = items.groupBy("fam").agg(F.min(F.struct("excess", "cls")).alias("least"), F.max("excess").alias("most"), F.count(F.lit(1)).alias("members")).filter("members > 1")
     star = stored(items.join(small(stored(ends, "ends")), "fam").withColumn("outer", F.col("excess") + F.col("least.excess") > 0), "star")
     sure = star.filter("not outer").filter(F.col("cls") != F.col("least.cls")).select(F.col("cls").alias("a"), F.col("least.cls").alias("b"))
-    live = star.filter(F.col("most") + F.col("least.excess") > 0).drop("least", "most", "excess")
+    # A pair shares (its excesses together) / 2 (100 + percent) elements at least, and one of it is outer.
+    partner = F.when(F.col("outer"), F.col("least.excess")).otherwise(1 - F.col("least.excess"))
+    far = F.col("n") + F.floor(F.col("n") * 100 / percent)
+    need = F.greatest(F.lit(1), F.col("d") - F.floor(far * (100 - percent) / (100 + percent)), F.ceil((F.col("excess") + partner) / (2 * (100 + percent))))
+    live = star.filter(F.col("most") + F.col("least.excess") > 0).withColumn("need", need).drop("least", "most", "excess")
     few = live.filter(F.col("members") <= FAMILY).join(sets.drop("n"), "cls")
     near = in_order(few.join(pivots, "fam").select("fam", "cls", "n", "d", "outer", "common", "pivot"), "fam")
     sure = sure.unionByName(stored(near.mapInPandas(compared, "a long, b long"), "near"))
     live = live.filter(F.col("members") > FAMILY)
     found = grouped(live.join(sets.drop("n"), "cls").join(pivots, "fam").select("common", "pivot", "cls", "fam", "outer").mapInPandas(elements, "sig long, cls long, fam long, outer boolean"))
-    far = F.col("n") + F.floor(F.col("n") * 100 / percent)
-    need = F.greatest(F.lit(1), F.col("d") - F.floor(far * (100 - percent) / (100 + percent)))
-    hot = found.filter(F.col("kind") == LARGE).groupBy("fam", F.col("a").alias("cls")).agg(F.count(F.lit(1)).alias("hot"), F.collect_set("b").alias("names"))
-    hot = stored(hot.join(live.select("fam", "cls", "outer", need.alias("need")), ["fam", "cls"]), "hot")
-    kept = hot.filter(F.col("outer") & (F.col("hot") >= F.col("need"))).select("fam", F.explode("names").alias("name")).distinct()
-    left = hot.select("fam", "cls", F.explode("names").alias("name")).join(kept, ["fam", "name"], "left_semi")
+    large = found.filter(F.col("kind") == LARGE).select("fam", F.col("a").alias("cls"), "sig", F.col("b").alias("name"))
+    sizes = small(stored(large.groupBy("sig").agg(F.count(F.lit(1)).alias("size")), "sizes"))
+    hot = large.join(sizes, "sig").groupBy("fam", "cls").agg(F.sort_array(F.collect_list(F.struct("size", "name", "sig"))).alias("hot"))
+    hot = hot.join(live.select("fam", "cls", "outer", "need"), ["fam", "cls"]).filter(F.size("hot") >= F.col("need"))
+    first = F.slice("hot", F.lit(1), (F.size("hot") - F.col("need") + 1).cast("int"))
+    hot = stored(hot.select("fam", "cls", "outer", F.explode(F.array_distinct(first["name"])).alias("name")), "hot")
+    left = hot.join(hot.filter("outer").select("fam", "name").distinct(), ["fam", "name"], "left_semi")
     return sure, found.filter(F.col("kind") == PAIR).select("a", "b"), left.select(F.xxhash64("fam", "name").alias("fam"), "cls").distinct()
 
 

@@ -577,6 +577,28 @@ def test_ngram_join_large_groups(spark, monkeypatch, group, sample, family, seed
     assert list(got["component_id"]) == label and list(got["n_shingles"]) == [len(s) for s in sets]
 
 
+def test_ngram_join_further_families_hold_few(spark, monkeypatch):
+    """Copies of one text whose edits many others share, too: a member goes on by few of its edits, and no link is lost."""
+    for name, value in (("GROUP", 4), ("SAMPLE", 16), ("FAMILY", 12)):
+        monkeypatch.setattr(ngram_join, name, value)
+    rng, within, rows = random.Random(7), ngram_join.within_families, []
+
+    def counted(to, sets, percent):
+        rows.append(to.count())
+        return within(to, sets, percent)
+
+    monkeypatch.setattr(ngram_join, "within_families", counted)
+    base, docs = [f"w{i}" for i in range(100)], []
+    for _ in range(160):
+        x = list(base)
+        for at in rng.sample(range(3, 97, 4), rng.choice([0, 1, 2, 3, 4, 5])):
+            x[at] = f"v{at}"
+        docs.append(x)
+    got = ngram_join.jaccard_components(spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")).toPandas().sort_values("doc_id")
+    assert list(got["component_id"]) == brute_components(docs)[0]
+    assert len(rows) > 1 and sum(rows[1:]) <= 10 * rows[0], rows  # were 63 times
+
+
 def test_signatures_lose_no_pair():
     rng = np.random.default_rng(0)
     for n in (5, 6, 9, 30, 200, 900):
